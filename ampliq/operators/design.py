@@ -227,7 +227,8 @@ def best_pairs(templates: DataFrame, make_primers, make_pairs, n: int, opt_tm: f
         if bound is None:
             done.append(got)
             break
-        full = got.filter(F.col("rank") == n).select("region_id")
+        # Strictly within: at the bound itself a pair beyond it could tie after rounding.
+        full = got.filter((F.col("rank") == n) & (F.round("penalty", 6) < bound)).select("region_id")
         done.append(got.join(full, "region_id", "left_semi"))
         rest = rest.join(full, "region_id", "left_anti")
     out = done[0]

@@ -129,3 +129,52 @@ def methylation(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).filter(F.substring("seq", F.col("i"), F.lit(2)) == "CG")
     pos = (F.col("tile_start") + F.col("i") - 1).cast("bigint")
     return sites.select("chrom", pos.alias("pos")).filter("pos % 3 < 2").withColumn("methylated", F.col("pos") % 3 == 0)
+
+
+def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Oligo spans per contig: two inside, one at its start and one at its end."""
+    cg = contigs(spark, sf_dir).filter(F.length("seq") >= 249).withColumn("n", F.length("seq"))
+
+    def span(strand: str, start, end):
+        return F.struct(F.lit(strand).alias("strand"), start.cast("int").alias("start"), end.cast("int").alias("end"))
+
+    rows = F.array(
+        span("forward", F.lit(149), F.lit(168)), span("reverse", F.lit(229), F.lit(248)),
+        span("reverse", F.lit(0), F.lit(19)), span("forward", F.col("n") - 20, F.col("n") - 1),
+    )
+    return cg.select("chrom", "seq", F.inline(rows))
+
+
+def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per contig a forward primer set against a neighbouring place, once with a gap in the query."""
+    cg = contigs(spark, sf_dir).filter(F.length("seq") >= 249)
+    primer = _cut(150, 20)
+
+    def row(label: str, qstart: int, qseq, sseq, start: int, minus: bool):
+        size = 20
+        first, last = (start + size - 1, start) if minus else (start, start + size - 1)
+        return F.struct(
+            F.lit(label).alias("label"), F.lit(qstart).alias("qstart"), qseq.alias("qseq"), sseq.alias("sseq"),
+            F.lit(first).alias("sstart"), F.lit(last).alias("send"),
+        )
+
+    rows = F.array(
+        row("near", 1, primer, _cut(154, 20), 154, False),
+        row("part", 4, F.substring("seq", 153, 17), _cut(157, 17), 157, True),
+        row("gap", 1, F.concat(_cut(150, 6), F.lit("-"), _cut(156, 10)), _cut(150, 17), 150, False),
+    )
+    return cg.select("chrom", primer.alias("primer"), F.inline(rows))
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One design request per document with some values given."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    n = F.col("n_chars")
+    return docs.select(
+        "doc_id",
+        F.when(n % 2 == 0, (60 + n % 30).cast("int")).alias("min_amplicon_length"),
+        F.when(n % 3 == 0, (100 + n % 50).cast("int")).alias("max_amplicon_length"),
+        F.when(n % 5 == 0, (40 + n % 10).cast("double")).alias("primer_min_gc"),
+        F.when(n % 7 == 0, F.lit(True)).alias("bisulfite"),
+        F.when(n % 7 == 0, F.lit("unmethyl")).alias("cpg_default"),
+    )

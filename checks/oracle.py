@@ -25,7 +25,7 @@ def steps(s: str) -> tuple[str, str]:
     def total(values: dict[str, int]) -> str:
         table = "[" + ",".join(str(values[a + b]) for a in BASES for b in BASES) + "]"
         at = f"(strpos('ACGT',substr({s},i::BIGINT,1))-1)*4+strpos('ACGT',substr({s},(i+1)::BIGINT,1))"
-        return f"coalesce(list_sum(list_transform(range(1,length({s})),i->{table}[{at}])),0)"
+        return f"coalesce(list_sum(list_transform(range(1,length({s})),lambda i: {table}[{at}])),0)"
 
     return total(NN_DH), total(NN_DS)
 
@@ -116,19 +116,217 @@ cte("seed", ["pair_oligo"], f"""
     SELECT sequence, strand, t, unnest(range(0,length(t)-7)) AS off FROM (
       SELECT sequence, '+' AS strand, sequence AS t FROM pair_oligo
       UNION ALL SELECT sequence, '-', {rc('sequence')} FROM pair_oligo))""")
-cte("place", ["genome"], """
-  SELECT chrom, p, substr(seq,p,8) AS w FROM (SELECT chrom, seq, unnest(range(1,length(seq)-6)) AS p FROM genome WHERE length(seq)>=8)""")
-cte("candidate", ["seed", "place"], """
-  SELECT DISTINCT s.sequence, s.strand, s.t, s.n, g.chrom, g.p-s.off AS start FROM seed s JOIN place g USING (w) WHERE g.p-s.off>=1""")
-cte("hit_any", ["candidate", "genome"], f"""
-  SELECT sequence, strand, chrom, start, n, mm, 100.0::DOUBLE*(n-mm)/n AS pident,
+# Contigs in pieces, only because SQL cuts short texts faster than long ones.
+cte("piece", ["genome"], """
+  SELECT row_number() OVER () AS pid, chrom, base, first, substr(seq,base+1,first-base+256+32) AS s FROM (
+    SELECT chrom, seq, first, greatest(first-32,0) AS base FROM (SELECT chrom, seq, unnest(range(0,length(seq),256)) AS first FROM genome))""")
+cte("place", ["piece"], """
+  SELECT pid, p, substr(s,p-base,8) AS w FROM (
+    SELECT pid, base, s, unnest(range(first+1,least(first+256,base+length(s)-7)+1)) AS p FROM piece)""")
+
+
+def hits_for(seed: str) -> str:
+    return f"""
+  SELECT sequence, strand, chrom, start, n, hamming(t,here) AS mm, 100.0::DOUBLE*(n-hamming(t,here))/n AS pident,
          CASE WHEN strand='+' THEN start ELSE start+n-1 END AS sstart, CASE WHEN strand='+' THEN start+n-1 ELSE start END AS send,
          CASE WHEN strand='+' THEN here ELSE {rc('here')} END AS sseq
-  FROM (SELECT c.*, substr(g.seq,c.start,c.n) AS here, hamming(c.t,substr(g.seq,c.start,c.n)) AS mm
-        FROM candidate c JOIN genome g ON c.chrom=g.chrom WHERE c.start+c.n-1<=length(g.seq))""")
+  FROM (SELECT DISTINCT x.sequence, x.strand, x.t, x.n, g.chrom, x.start, here FROM (
+          SELECT s.sequence, s.strand, s.t, s.n, s.off, q.pid, q.p-s.off AS start FROM {seed} s JOIN place q USING (w)) x
+        JOIN (SELECT pid, chrom, base, s FROM piece) g USING (pid), LATERAL (SELECT substr(g.s,x.start-g.base,x.n) AS here) h
+        WHERE x.start>g.base AND length(here)=x.n AND hamming(x.t,here)*5<=x.n)"""
+
+
+cte("hit_any", ["seed", "place", "piece"], hits_for("seed"))
 for _profile, _identity, _length in (("strict", 80, 10), ("flags", 85, 12)):
     cte(f"hit_{_profile}", ["hit_any"], f"""
       SELECT * FROM (
-        SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY pident DESC, chrom, start, strand) AS rnk
-        FROM hit_any WHERE pident>=80)
+        SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY pident DESC, chrom, start, strand) AS rnk FROM hit_any)
       WHERE rnk<=200 AND pident>={_identity} AND n>={_length}""")
+cte("anchored", ["hit_strict"], "SELECT *, greatest(sstart,send) AS anchor, least(sstart,send) AS beg FROM hit_strict")
+cte("anchored_flags", ["hit_flags"], "SELECT *, greatest(sstart,send) AS anchor, least(sstart,send) AS beg FROM hit_flags")
+cte("upair", ["pair"], "SELECT DISTINCT f_seq, r_seq FROM pair")
+cte("fr", ["upair", "anchored"], """
+  SELECT f_seq, r_seq, 'FR' AS kind, 0 AS kind_order, f.chrom, size,
+         f.anchor AS i_anchor, f.strand AS i_strand, f.beg AS i_begin, r.anchor AS j_anchor, r.strand AS j_strand, r.beg AS j_begin,
+         'FR:'||f.chrom||':'||f.anchor||'('||f.strand||')-'||r.anchor||'('||r.strand||')('||size||'bp)' AS info
+  FROM upair JOIN anchored f ON f.sequence=f_seq JOIN anchored r ON r.sequence=r_seq AND r.chrom=f.chrom AND r.strand<>f.strand,
+       LATERAL (SELECT (abs(r.anchor-f.anchor)+1+length(f_seq)+length(r_seq))::INTEGER AS size) z
+  WHERE ((f.strand='+' AND f.anchor<r.anchor) OR (f.strand='-' AND r.anchor<f.anchor)) AND size BETWEEN 50 AND 300""")
+cte("fr_flags", ["upair", "anchored_flags"], """
+  SELECT f_seq, r_seq, 'FR' AS kind, 0 AS kind_order, f.chrom, size,
+         f.anchor AS i_anchor, f.strand AS i_strand, f.beg AS i_begin, r.anchor AS j_anchor, r.strand AS j_strand, r.beg AS j_begin,
+         f.chrom||':'||f.anchor||'-'||r.anchor||'('||size||'bp)' AS info
+  FROM upair JOIN anchored_flags f ON f.sequence=f_seq JOIN anchored_flags r ON r.sequence=r_seq AND r.chrom=f.chrom AND r.strand<>f.strand,
+       LATERAL (SELECT (abs(r.anchor-f.anchor)+1)::INTEGER AS size) z
+  WHERE size BETWEEN 50 AND 300""")
+cte("numbered", ["anchored"], "SELECT *, row_number() OVER (PARTITION BY sequence ORDER BY chrom, beg, strand) AS hit_no FROM anchored")
+for _side, _seq, _order in (("F", "f_seq", 1), ("R", "r_seq", 2)):
+    cte(f"self_{_side.lower()}", ["upair", "numbered"], f"""
+      SELECT f_seq, r_seq, '{_side}-SELF' AS kind, {_order} AS kind_order, i.chrom, size,
+             i.anchor AS i_anchor, i.strand AS i_strand, i.beg AS i_begin, j.anchor AS j_anchor, j.strand AS j_strand, j.beg AS j_begin,
+             '{_side}-SELF:'||i.chrom||':'||i.anchor||'('||i.strand||')-'||j.anchor||'('||j.strand||')('||size||'bp)|pident='
+             ||printf('%.1f',i.pident)||'/'||printf('%.1f',j.pident)||'|qseq='||{_seq}||'|sseq_i='||i.sseq||'|sseq_j='||j.sseq AS info
+      FROM upair JOIN numbered i ON i.sequence={_seq} JOIN numbered j ON j.sequence=i.sequence AND j.chrom=i.chrom AND i.hit_no<j.hit_no AND i.strand<>j.strand,
+           LATERAL (SELECT (abs(j.anchor-i.anchor)+1+2*length({_seq}))::INTEGER AS size) z
+      WHERE ((i.strand='+' AND i.anchor<j.anchor) OR (i.strand='-' AND j.anchor<i.anchor)) AND size BETWEEN 50 AND 300""")
+cte("amplicon_strict", ["fr", "self_f", "self_r"], "SELECT * FROM fr UNION ALL SELECT * FROM self_f UNION ALL SELECT * FROM self_r")
+for _name, _src in (("strict", "amplicon_strict"), ("flags", "fr_flags")):
+    cte(f"rollup_{_name}", [_src], f"""
+      SELECT f_seq, r_seq, kind, kind_order, count(*) AS amplicons, min(size) AS min_size,
+             string_agg(info,';' ORDER BY chrom,i_begin,i_strand,j_begin,j_strand,info) AS info
+      FROM {_src} GROUP BY f_seq, r_seq, kind, kind_order""")
+    cte(f"total_{_name}", [f"rollup_{_name}"], f"""
+      SELECT f_seq, r_seq, sum(amplicons)::BIGINT AS amplicons, min(min_size) AS min_size, string_agg(info,';' ORDER BY kind_order) AS info
+      FROM rollup_{_name} GROUP BY f_seq, r_seq""")
+    cte(f"count_{_name}", ["pair_oligo", f"hit_{_name}"], f"""
+      SELECT o.sequence, count(h.sequence) AS hits FROM pair_oligo o LEFT JOIN hit_{_name} h ON h.sequence=o.sequence GROUP BY o.sequence""")
+
+
+# --- structures ---------------------------------------------------------------------------------
+def stems(name: str, source: str, kind: str, deps: list[str]) -> None:
+    """Best stem per (x, y) of ``source`` by runs of paired cells."""
+    hairpin = kind == "hairpin"
+    loop = "AND 2*i<=length(x)+k-3" if hairpin else ""
+    cte(f"{name}_cell", deps, f"""
+      SELECT x, y, k, i, i-row_number() OVER (PARTITION BY x,y,k ORDER BY i) AS g FROM (
+        SELECT x, y, yr, k, unnest(range(1,length(x)+1)) AS i FROM (
+          SELECT x, y, {rc('y')} AS yr, unnest(range(1-length(y),length(x))) AS k FROM (SELECT DISTINCT x, y FROM ({source}))))
+      WHERE i-k BETWEEN 1 AND length(y) AND substr(x,i::BIGINT,1)=substr(yr,(i-k)::BIGINT,1) {loop}""")
+    (dh, ds), (eh, es) = steps("s"), ends("s")
+    if hairpin:
+        eh = es = "0"
+    loop_cost = "-11.3::DOUBLE" if hairpin else ""
+    strands = "0" if hairpin else (f"1.987::DOUBLE*({LN_C})::DOUBLE" if kind == "homodimer" else f"1.987::DOUBLE*({LN_C4})::DOUBLE")
+    cte(f"{name}_best", [f"{name}_cell"], f"""
+      SELECT x, y, dg, h/10.0::DOUBLE AS dh, e AS ds, 100.0::DOUBLE*h/(e+{strands})-273.15::DOUBLE AS tm FROM (
+        SELECT *, row_number() OVER (PARTITION BY x,y ORDER BY floor(dg*1000000+0.5::DOUBLE), k, i) AS rnk FROM (
+          SELECT *, h/10.0::DOUBLE-310.15::DOUBLE*e/1000.0::DOUBLE AS dg FROM (
+            SELECT x, y, k, i, m, {dh}+{eh} AS h, ({ds}+{es})/10.0::DOUBLE+0.368::DOUBLE*(m-1)*({LN_NA})::DOUBLE{loop_cost} AS e FROM (
+              SELECT x, y, k, min(i) AS i, count(*) AS m, substr(x,min(i)::BIGINT,count(*)) AS s FROM {name}_cell GROUP BY x,y,k,g HAVING count(*)>=2))))
+      WHERE rnk=1""")
+    cte(name, [f"{name}_best", *deps], f"""
+      SELECT p.x, p.y, coalesce(b.dg<0,false) AS found, CASE WHEN b.dg<0 THEN b.dg ELSE 0 END AS dg, CASE WHEN b.dg<0 THEN b.dh ELSE 0 END AS dh,
+             CASE WHEN b.dg<0 THEN b.ds ELSE 0 END AS ds, CASE WHEN b.dg<0 THEN b.tm ELSE 0 END AS tm
+      FROM (SELECT DISTINCT x, y FROM ({source})) p LEFT JOIN {name}_best b ON b.x=p.x AND b.y=p.y""")
+
+
+stems("homo", "SELECT sequence AS x, sequence AS y FROM oligo", "homodimer", ["oligo"])
+stems("hair", "SELECT sequence AS x, sequence AS y FROM oligo", "hairpin", ["oligo"])
+stems("hetero", "SELECT f_seq AS x, r_seq AS y FROM pair", "heterodimer", ["pair"])
+cte("thermo", ["oligo"], f"SELECT sequence, length(sequence) AS length, {tm('sequence')} AS tm, {gc_pct('sequence')} AS gc FROM oligo")
+
+# --- pair QC ------------------------------------------------------------------------------------
+for _name in ("strict", "flags"):
+    cte(f"qc_{_name}", ["pair", "thermo", "homo", "hair", "hetero", f"count_{_name}", f"total_{_name}"], f"""
+      SELECT p.*, ft.tm AS f_tm, rt.tm AS r_tm, ft.gc AS f_gc, rt.gc AS r_gc,
+             fh.dg AS f_hairpin_dg, rh.dg AS r_hairpin_dg, fh.tm AS f_hairpin_tm, rh.tm AS r_hairpin_tm,
+             fo.dg AS f_homodimer_dg, ro.dg AS r_homodimer_dg, fo.tm AS f_homodimer_tm, ro.tm AS r_homodimer_tm,
+             x.dg AS heterodimer_dg, x.tm AS heterodimer_tm, fc.hits AS f_hits, rc.hits AS r_hits,
+             coalesce(t.amplicons,0) AS amplicons, t.min_size, coalesce(t.info,'') AS info
+      FROM pair p JOIN thermo ft ON ft.sequence=p.f_seq JOIN thermo rt ON rt.sequence=p.r_seq
+      JOIN hair fh ON fh.x=p.f_seq JOIN hair rh ON rh.x=p.r_seq JOIN homo fo ON fo.x=p.f_seq JOIN homo ro ON ro.x=p.r_seq
+      JOIN hetero x ON x.x=p.f_seq AND x.y=p.r_seq
+      JOIN count_{_name} fc ON fc.sequence=p.f_seq JOIN count_{_name} rc ON rc.sequence=p.r_seq
+      LEFT JOIN total_{_name} t ON t.f_seq=p.f_seq AND t.r_seq=p.r_seq""")
+    _g, _b = ("O", "X") if _name == "strict" else ("0", "x")
+    cte(f"flag_{_name}", [f"qc_{_name}"], f"""
+      SELECT *, CASE WHEN '{_b}' IN (qc_tm_range,qc_tm_diff,qc_hairpin,qc_homodimer,qc_heterodimer,qc_amplicon{'' if _name == 'strict' else ',qc_hit'}) THEN 'FAIL' ELSE 'PASS' END AS final_result
+      FROM (SELECT *, CASE WHEN f_tm BETWEEN 55 AND 70 AND r_tm BETWEEN 55 AND 70 THEN '{_g}' ELSE '{_b}' END AS qc_tm_range,
+        CASE WHEN abs(f_tm-r_tm)<=3 THEN '{_g}' ELSE '{_b}' END AS qc_tm_diff,
+        CASE WHEN f_hairpin_dg>=-5 AND r_hairpin_dg>=-5 THEN '{_g}' ELSE '{_b}' END AS qc_hairpin,
+        CASE WHEN f_homodimer_dg>=-6 AND r_homodimer_dg>=-6 THEN '{_g}' ELSE '{_b}' END AS qc_homodimer,
+        CASE WHEN heterodimer_dg>=-6 THEN '{_g}' ELSE '{_b}' END AS qc_heterodimer,
+        CASE WHEN f_hits<=1 AND r_hits<=1 THEN '{_g}' ELSE '{_b}' END AS qc_hit,
+        CASE WHEN amplicons=0 THEN '{_g}' ELSE '{_b}' END AS qc_amplicon FROM qc_{_name})""")
+
+# --- region design ------------------------------------------------------------------------------
+cte("region", ["region_in"], """
+  SELECT chrom||':'||"start"||'-'||"end" AS region_id, chrom, "start", "end", nullif(trim(name),'') AS name FROM region_in""")
+cte("template", ["region", "contig"], """
+  SELECT r.region_id, r.chrom, r.name, r."start" AS reg_start, r."end" AS reg_end, "end"-120 AS window_start, "start"+120 AS window_end, "start"-1-("end"-120) AS t_start, 120 AS t_end,
+         substr(seq,"end"-120+1,"start"+120-("end"-120)) AS template,
+         substr(seq,"end"-120+1,"start"+121-("end"-120)) AS template_plus
+  FROM region r JOIN contig USING (chrom)""")
+
+
+def tm_parts(dh: str, ds: str, s: str) -> str:
+    eh, es = ends(s)
+    self_ = f"{s}={rc(s)}"
+    return (
+        f"(({dh}+{eh})*100.0::DOUBLE/(({ds}+{es}+CASE WHEN {self_} THEN -14 ELSE 0 END)/10.0::DOUBLE"
+        f"+0.368::DOUBLE*(length({s})-1)*({LN_NA})::DOUBLE"
+        f"+1.987::DOUBLE*(CASE WHEN {self_} THEN ({LN_C})::DOUBLE ELSE ({LN_C4})::DOUBLE END))-273.15::DOUBLE)"
+    )
+
+
+def running(name: str, source: str, deps: list[str]) -> None:
+    """Running sums of the steps along each template of ``source``, as lists."""
+    def value(values: dict[str, int]) -> str:
+        return "CASE substr(template,i::BIGINT,2) " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END"
+
+    cte(name, deps, f"""
+      SELECT region_id, [0]||list(ch ORDER BY i) AS lh, [0]||list(cs ORDER BY i) AS ls FROM (
+        SELECT region_id, i, sum(h) OVER (PARTITION BY region_id ORDER BY i)::INTEGER AS ch, sum(s) OVER (PARTITION BY region_id ORDER BY i)::INTEGER AS cs FROM (
+          SELECT region_id, i, {value(NN_DH)} AS h, {value(NN_DS)} AS s FROM (
+            SELECT region_id, template, unnest(range(1,length(template))) AS i FROM {source})))
+      GROUP BY region_id""")
+
+
+def candidates(name: str, source: str, low: int, high: int, deps: list[str], where: str = "true", gc=(35, 65)) -> None:
+    """Oligos of every template with gc and tm."""
+    running(f"{name}_run", source, deps)
+    cte(name, [*deps, f"{name}_run"], f"""
+      SELECT region_id, t_start, t_end, start, len, s, gc, {tm_parts('lh[start+len]-lh[start+1]', 'ls[start+len]-ls[start+1]', 's')} AS tm FROM (
+        SELECT *, {gc_pct('s')} AS gc FROM (
+          SELECT region_id, t_start, t_end, start, len, substr(template,start+1,len) AS s FROM (
+            SELECT *, unnest(range(0,length(template)-len+1)) AS start FROM (
+              SELECT *, unnest(range({low},{high}+1)) AS len FROM {source}))
+          WHERE {where})) JOIN {name}_run USING (region_id)
+      WHERE gc BETWEEN {gc[0]} AND {gc[1]}""")
+
+
+candidates("cand", "template", 20, 30, ["template"])
+candidates("flank", "template", 20, 30, ["template"], "start+len<=t_start OR start>=t_end+1")
+cte("primer", ["flank"], f"""
+  SELECT region_id, CASE WHEN start+len<=t_start THEN 'left' ELSE 'right' END AS role, start, len, tm, gc,
+         CASE WHEN start+len<=t_start THEN s ELSE {rc('s')} END AS sequence
+  FROM flank WHERE tm BETWEEN 50 AND 70""")
+candidates("probe_all", "template", 20, 30, ["template"], "start<=t_start AND start+len>=t_end")
+cte("probe", ["probe_all"], "SELECT region_id, start, len, tm, gc, s AS sequence FROM probe_all WHERE tm BETWEEN 60 AND 65")
+cte("all_pair", ["primer"], """
+  SELECT l.region_id, l.start AS l_start, l.len AS l_len, l.tm AS l_tm, l.gc AS l_gc, l.sequence AS l_seq,
+         r.start AS r_start, r.len AS r_len, r.tm AS r_tm, r.gc AS r_gc, r.sequence AS r_seq,
+         (r.start+r.len-l.start)::INTEGER AS product_size, (abs(l.tm-60)+abs(l.len-25))+(abs(r.tm-60)+abs(r.len-25)) AS penalty
+  FROM primer l JOIN primer r ON l.region_id=r.region_id AND l.role='left' AND r.role='right'
+  WHERE r.start+r.len-l.start BETWEEN 80 AND 120 AND abs(l.tm-r.tm)<=2""")
+
+
+def top_pairs(n: int) -> str:
+    """Ranks of the best n pairs per region."""
+    return f"""
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY round(penalty,6), l_start, l_len, r_start, r_len) AS rank FROM all_pair)
+  WHERE rank<={n}"""
+
+
+cte("top3", ["all_pair"], top_pairs(3))
+cte("wide3", ["top3", "template"], f"""
+  SELECT p.*, t.template, t_start, t_end, substr(template,l_start+1,r_start+r_len-l_start) AS amplicon_sequence,
+         (length(substr(template,l_start+1,l_len+1))-length(replace(substr(template,l_start+1,l_len+1),'CG','')))//2 AS f_cpg,
+         (length(substr(template,r_start,r_len+1))-length(replace(substr(template,r_start,r_len+1),'CG','')))//2 AS r_cpg
+  FROM top3 p JOIN template t USING (region_id)""")
+stems("homo3", "SELECT l_seq AS x, l_seq AS y FROM top3 UNION SELECT r_seq, r_seq FROM top3", "homodimer", ["top3"])
+stems("hair3", "SELECT l_seq AS x, l_seq AS y FROM top3 UNION SELECT r_seq, r_seq FROM top3", "hairpin", ["top3"])
+stems("hetero3", "SELECT l_seq AS x, r_seq AS y FROM top3", "heterodimer", ["top3"])
+cte("design3", ["wide3", "homo3", "hair3", "hetero3"], """
+  SELECT w.*, fh.dg AS f_hair_dg, fh.tm AS f_hair_tm, rh.dg AS r_hair_dg, rh.tm AS r_hair_tm, fo.dg AS f_homo_dg, ro.dg AS r_homo_dg,
+         x.dg AS het_dg, x.tm AS het_tm,
+         fh.tm<=47 AND rh.tm<=47 AND fh.dg>=-5 AND rh.dg>=-5 AND fo.dg>=-6 AND ro.dg>=-6 AND x.dg>=-6 AND x.tm<=45 AS selected
+  FROM wide3 w JOIN hair3 fh ON fh.x=l_seq JOIN hair3 rh ON rh.x=r_seq JOIN homo3 fo ON fo.x=l_seq JOIN homo3 ro ON ro.x=r_seq
+  JOIN hetero3 x ON x.x=l_seq AND x.y=r_seq""")
+cte("triple", ["probe", "flank"], f"""
+  SELECT q.region_id, q.start AS p_start, q.len AS p_len, q.tm AS p_tm, q.sequence AS p_seq,
+         l.start AS l_start, l.len AS l_len, l.s AS l_seq, r.start AS r_start, r.len AS r_len, {rc('r.s')} AS r_seq,
+         (abs(l.tm-(q.tm-6))+abs(l.len-25))+(abs(r.tm-(q.tm-6))+abs(r.len-25)) AS penalty
+  FROM probe q JOIN flank l ON l.region_id=q.region_id AND l.tm BETWEEN q.tm-8 AND q.tm-6 AND l.start+l.len<=q.start-1
+  JOIN flank r ON r.region_id=q.region_id AND r.tm BETWEEN q.tm-8 AND q.tm-6 AND r.start>=q.start+q.len+1
+  WHERE r.start+r.len-l.start BETWEEN 80 AND 120 AND abs(l.tm-r.tm)<=2""")
