@@ -1,78 +1,132 @@
 """Nearest-neighbour sums and melting temperature as built-in expressions.
 
-Step counts come from string replacement, not from a lambda over positions: a step of two different
-letters cannot overlap itself, and a step XX occurs once for every X that is neither last nor followed
-by another letter.  The expressions therefore stay in generated code.
+Oligos of up to 31 clean bases are handled as two-bit codes: one mask per base, and a step XY is counted by
+one AND and one bit_count.  Others fall back to string replacement: a step of two different letters cannot
+overlap itself, and a step XX occurs once for every X that is neither last nor followed by another letter.
+Both ways stay in generated code, and their pieces are kept small enough for the JVM to compile them.
+Sums are written as SQL text, because they have too many terms to be put together call by call.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import (
     AMBIGUOUS, BASES, BODY_KELVIN, DIVALENT_MM, DNA_NM, DNTP_MM, GAS_CONSTANT, HAIRPIN_LOOP_DS,
     KELVIN, MONOVALENT_MM, NN_DH, NN_DS, SALT_FACTOR, SYMMETRY_DS, TERMINAL_AT, TERMINAL_GC,
 )
-from .sequence import count_in, revcomp
+from ..joins import once
+from .sequence import base_code
 
 
 def sodium_molar(mono: float = MONOVALENT_MM, div: float = DIVALENT_MM, dntp: float = DNTP_MM) -> float:
     return (mono + 120.0 * math.sqrt(max(0.0, div - dntp))) / 1000.0
 
 
-def step_sums(seq: Column, clean: bool = False) -> tuple[Column, Column]:
-    """(dH, dS) of all steps, in tenths.  Steps with an ambiguous base add nothing.
+def _double(value: float) -> str:
+    return f"{value!r}D"
 
-    ``clean`` promises that only A, C, G and T occur.
-    """
+
+def _step_sum(seq: str, values: dict[str, int], clean: bool) -> str:
     if not clean:
-        seq = F.translate(seq, AMBIGUOUS, "N" * len(AMBIGUOUS))
-    last = F.right(seq, F.lit(1))
-    dh: Column = F.lit(0)
-    ds: Column = F.lit(0)
+        seq = f"translate({seq}, '{AMBIGUOUS}', '{'N' * len(AMBIGUOUS)}')"
+    terms = []
     for x in BASES:
-        same_dh, same_ds = NN_DH[x + x], NN_DS[x + x]
-        not_last = count_in(seq, x) - (last == x).cast("int")
-        dh, ds = dh + not_last * same_dh, ds + not_last * same_ds
+        same = values[x + x]
+        terms.append(f"{same} * (length({seq}) - length(replace({seq}, '{x}', '')) - int(right({seq}, 1) = '{x}'))")
         for y in BASES + ("" if clean else "N"):
-            if x == y:
-                continue
-            n = count_in(seq, x + y)
-            dh = dh + n * (NN_DH.get(x + y, 0) - same_dh)
-            ds = ds + n * (NN_DS.get(x + y, 0) - same_ds)
-    return dh, ds
+            if x != y:
+                weight = values.get(x + y, 0) - same
+                terms.append(f"{weight} * ((length({seq}) - length(replace({seq}, '{x + y}', ''))) div 2)")
+    return "(" + " + ".join(terms) + ")"
+
+
+def step_sums(seq: str, clean: bool = False) -> tuple[Column, Column]:
+    """(dH, dS) of all steps of the column, in tenths.  Steps with an ambiguous base add nothing.
+
+    ``clean`` promises that only A, C, G and T occur.
+    """
+    return tuple(F.expr(_step_sum(seq, v, clean)).cast("int") for v in (NN_DH, NN_DS))
+
 
+def _terminal_sum(seq: str, part: int) -> str:
+    def end(base: str) -> str:
+        return (
+            f"(case when {base} in ('A', 'T') then {TERMINAL_AT[part]} "
+            f"when {base} in ('C', 'G') then {TERMINAL_GC[part]} else 0 end)"
+        )
 
-def terminal_sums(seq: Column) -> tuple[Column, Column]:
-    """(dH, dS) of both end terms, in tenths."""
-    def end(base: Column, at: int, gc: int) -> Column:
-        return F.when(base.isin("A", "T"), at).when(base.isin("C", "G"), gc).otherwise(0)
+    return f"({end(f'left({seq}, 1)')} + {end(f'right({seq}, 1)')})"
 
-    first, last = F.left(seq, F.lit(1)), F.right(seq, F.lit(1))
-    dh = end(first, TERMINAL_AT[0], TERMINAL_GC[0]) + end(last, TERMINAL_AT[0], TERMINAL_GC[0])
-    ds = end(first, TERMINAL_AT[1], TERMINAL_GC[1]) + end(last, TERMINAL_AT[1], TERMINAL_GC[1])
-    return dh, ds
 
+def terminal_sums(seq: str) -> tuple[Column, Column]:
+    """(dH, dS) of both end terms of the column, in tenths."""
+    return F.expr(_terminal_sum(seq, 0)), F.expr(_terminal_sum(seq, 1))
 
-def melting_temperature(
-    seq: Column, clean: bool = False, mono: float = MONOVALENT_MM, div: float = DIVALENT_MM,
+
+def _tm_text(
+    seq: str, dh: str, ds: str, itself: str, mono: float = MONOVALENT_MM, div: float = DIVALENT_MM,
     dntp: float = DNTP_MM, dna_nm: float = DNA_NM,
-) -> Column:
-    """Duplex melting temperature in Celsius; null for fewer than two bases."""
-    dh, ds = step_sums(seq, clean)
-    end_dh, end_ds = terminal_sums(seq)
-    itself = seq == revcomp(seq)
+) -> str:
     molar = dna_nm * 1e-9
-    strands = F.when(itself, math.log(molar)).otherwise(math.log(molar / 4.0))
+    salt = math.log(sodium_molar(mono, div, dntp))
     entropy = (
-        (ds + end_ds + F.when(itself, SYMMETRY_DS).otherwise(0)) / F.lit(10.0)
-        + F.lit(SALT_FACTOR) * (F.length(seq) - 1) * F.lit(math.log(sodium_molar(mono, div, dntp)))
-        + F.lit(GAS_CONSTANT) * strands
+        f"({ds} + {_terminal_sum(seq, 1)} + if({itself}, {SYMMETRY_DS}, 0)) / 10.0D"
+        f" + {_double(SALT_FACTOR)} * (length({seq}) - 1) * {_double(salt)}"
+        f" + {_double(GAS_CONSTANT)} * if({itself}, {_double(math.log(molar))}, {_double(math.log(molar / 4.0))})"
     )
-    return F.when(F.length(seq) >= 2, (dh + end_dh) * F.lit(100.0) / entropy - F.lit(KELVIN))
+    return f"if(length({seq}) >= 2, ({dh} + {_terminal_sum(seq, 0)}) * 100.0D / ({entropy}) - {_double(KELVIN)}, null)"
+
+
+def with_melting_temperature(df: DataFrame, seq: str, **conditions: float) -> DataFrame:
+    """Add ``tm``, the duplex melting temperature of any oligo in Celsius; null for fewer than two bases."""
+    dh, ds = step_sums(seq)
+    known = once(df, _dh=dh, _ds=ds, _self=F.expr(f"{seq} = reverse(translate({seq}, 'ACGTN', 'TGCAN'))"))
+    return known.withColumn("tm", F.expr(_tm_text(seq, "_dh", "_ds", "_self", **conditions))).drop("_dh", "_ds", "_self")
+
+
+# --- up to 31 clean bases --------------------------------------------------------------------------
+
+_MASKS = {base: f"_m{base}" for base in BASES}
+
+
+def with_base_masks(df: DataFrame, seq: str) -> DataFrame:
+    """Add the two-bit code of the column and one mask per base (one bit per place, first base highest)."""
+    coded = once(df, _code=base_code(F.col(seq)), _all=F.expr(
+        f"(shiftleft(1L, 2 * length({seq})) - 1L) & {0x5555555555555555}L"))
+    hi, lo = "(shiftrightunsigned(_code, 1) & _all)", "(_code & _all)"
+    return once(
+        coded, _mA=F.expr(f"_all & ~{hi} & ~{lo}"), _mC=F.expr(f"{lo} & ~{hi}"),
+        _mG=F.expr(f"{hi} & ~{lo}"), _mT=F.expr(f"{hi} & {lo}"),
+    )
+
+
+def masked_gc_count() -> Column:
+    return F.expr("bit_count(_mC) + bit_count(_mG)")
+
+
+def with_masked_step_sums(df: DataFrame, dh: str, ds: str) -> DataFrame:
+    """Add (dH, dS) of all steps in tenths, from the masks."""
+    def total(values: dict[str, int]) -> Column:
+        return F.expr(" + ".join(
+            f"{values[x + y]} * bit_count({_MASKS[x]} & shiftleft({_MASKS[y]}, 2))" for x in BASES for y in BASES))
+
+    return once(df, **{dh: total(NN_DH), ds: total(NN_DS)})
+
+
+def drop_masks(df: DataFrame) -> DataFrame:
+    return df.drop("_code", "_all", *_MASKS.values())
+
+
+def with_masked_tm(df: DataFrame, seq: str) -> DataFrame:
+    """Add ``tm`` from the masks.  Only an even oligo whose ends pair can be its own reverse complement."""
+    summed = with_masked_step_sums(df, "_dh", "_ds")
+    may_be = f"length({seq}) % 2 = 0 and shiftrightunsigned(_code, 2 * length({seq}) - 2) + (_code & 3L) = 3L"
+    known = once(summed, _self=F.expr(f"if({may_be}, {seq} = reverse(translate({seq}, 'ACGT', 'TGCA')), false)"))
+    return once(known, tm=F.expr(_tm_text(seq, "_dh", "_ds", "_self"))).drop("_dh", "_ds", "_self")
 
 
 def stem_entropy(ds: Column, pairs: Column, hairpin: bool, salt_ln: float) -> Column:

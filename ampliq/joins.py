@@ -17,6 +17,17 @@ def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal out a frame that is small in bytes but about to be blown up.
+
+    Adaptive execution merges small shuffle partitions by their bytes and would leave such work to one task;
+    a repartition with a stated number is not merged.  Later steps that group by ``keys`` need no shuffle.
+    """
+    spark = df.sparkSession
+    wanted = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(wanted, *keys)
+
+
 def salted_lookup(
     big: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", salts: int = SALTS
 ) -> DataFrame:

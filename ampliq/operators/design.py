@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from ..constants import DESIGN_DEFAULTS
 from ..functions.sequence import (
-    amplicon_sequence, count_in, cpg_count, non_cpg_c_count, revcomp, slice0,
+    MAX_CODED, amplicon_sequence, count_in, cpg_count, non_cpg_c_count, revcomp, slice0,
 )
-from ..functions.thermo import melting_temperature
-from ..joins import once, salted_lookup
+from ..functions.thermo import drop_masks, masked_gc_count, with_base_masks, with_masked_tm, with_melting_temperature
+from ..joins import once, salted_lookup, spread
 from ..session import cut_lineage
 
 
@@ -29,30 +29,31 @@ def param_defaults(requests: DataFrame, defaults: dict | None = None) -> DataFra
 _TEMPLATE = ["region_id", "template", "target_start_index", "target_end_index"]
 
 
+def _places(templates: DataFrame, min_length: int, max_length: int, flanking: bool) -> DataFrame:
+    """All clean stretches of each template: (region_id, start, len, plus) and the target."""
+    ready = templates.filter(F.length("template") >= min_length).select(
+        *_TEMPLATE, F.length("template").alias("_n"), F.col("template").rlike("[^ACGT]").alias("_unclear"))
+    sized = spread(ready, "region_id").select(
+        "*", F.explode(F.sequence(F.lit(min_length), F.lit(max_length))).alias("len")).filter("len <= _n")
+    placed = sized.select("*", F.explode(F.expr("sequence(0, _n - len)")).alias("start"))
+    if flanking:
+        placed = placed.filter(before_target() | after_target())
+    text = once(placed, plus=F.substring("template", F.col("start") + 1, F.col("len")))
+    return text.filter(~F.col("_unclear") | ~F.col("plus").rlike("[^ACGT]")).drop("template", "_n", "_unclear")
+
+
 def oligo_candidates(
     templates: DataFrame, min_length: int, max_length: int, roles: tuple[str, ...] = ("left", "right"),
-    flanking: bool = False,
 ) -> DataFrame:
-    """All oligos of each template: (region_id, role, start, len, sequence), without ambiguous bases.
+    """All oligos of each template: (region_id, role, start, len, sequence), without ambiguous bases."""
+    rows = _places(templates, min_length, max_length, False)
+    return _oriented(rows.withColumn("role", F.explode(F.array(*[F.lit(r) for r in roles]))))
 
-    ``flanking`` keeps only left oligos before and right oligos after the target.
-    """
-    sized = templates.filter(F.length("template") >= min_length).select(
-        *_TEMPLATE, F.length("template").alias("_n"),
-        F.explode(F.sequence(F.lit(min_length), F.lit(max_length))).alias("len"),
-    ).filter("len <= _n")
-    placed = sized.select("*", F.explode(F.expr("sequence(0, _n - len)")).alias("start"))
-    if flanking:
-        placed = placed.filter(before_target() | after_target())
-    plus = F.substring("template", F.col("start") + 1, F.col("len"))
-    clean = once(placed, _plus=plus).filter(~F.col("_plus").rlike("[^ACGT]"))
-    if flanking:
-        rows = clean.withColumn("role", F.when(before_target(), "left").otherwise("right"))
-        rows = rows.filter(F.col("role").isin(*roles))
-    else:
-        rows = clean.withColumn("role", F.explode(F.array(*[F.lit(r) for r in roles])))
-    text = F.when(F.col("role") == "right", revcomp(F.col("_plus"))).otherwise(F.col("_plus"))
-    return rows.select("region_id", "role", "start", "len", text.alias("sequence"))
+
+def _oriented(rows: DataFrame) -> DataFrame:
+    text = F.when(F.col("role") == "right", revcomp(F.col("plus"))).otherwise(F.col("plus"))
+    scores = [c for c in ("gc", "tm") if c in rows.columns]
+    return rows.select("region_id", "role", "start", "len", text.alias("sequence"), *scores)
 
 
 def before_target() -> Column:
@@ -63,12 +64,14 @@ def after_target() -> Column:
     return F.col("start") >= F.col("target_end_index") + 1
 
 
-def with_tm_gc(oligos: DataFrame, min_gc: float = 0.0, max_gc: float = 100.0) -> DataFrame:
-    """Add gc and tm to clean oligos; the cheap GC limit is applied before the costly temperature."""
-    seq = F.col("sequence")
-    gc = (count_in(seq, "G") + count_in(seq, "C")) * F.lit(100.0) / F.length(seq)
-    some = once(oligos, gc=gc).filter(F.col("gc").between(min_gc, max_gc))
-    return once(some, tm=melting_temperature(seq, clean=True))
+def with_tm_gc(oligos: DataFrame, max_length: int, min_gc: float = 0.0, max_gc: float = 100.0, text: str = "sequence") -> DataFrame:
+    """Add gc and tm to clean oligos; the cheap GC limit is applied before the costlier temperature."""
+    if max_length <= MAX_CODED:
+        masked = with_base_masks(oligos, text)
+        some = once(masked, gc=masked_gc_count() * F.lit(100.0) / F.length(text)).filter(F.col("gc").between(min_gc, max_gc))
+        return drop_masks(with_masked_tm(some, text))
+    gc = (count_in(F.col(text), "G") + count_in(F.col(text), "C")) * F.lit(100.0) / F.length(text)
+    return with_melting_temperature(once(oligos, gc=gc).filter(F.col("gc").between(min_gc, max_gc)), text)
 
 
 def oligo_filter(
@@ -81,13 +84,24 @@ def oligo_filter(
 
 
 def primer_candidates(templates: DataFrame, p: dict, tm_range: tuple[float, float] | None = None) -> DataFrame:
-    """Primers that flank the target and pass the filters."""
+    """Primers that flank the target and pass the filters.
+
+    Temperature and GC are the same on both strands, so they are worked out on the template's own strand and
+    only what passes is turned round.
+    """
     lo, hi = tm_range or (p["primer_min_tm"], p["primer_max_tm"])
-    oligos = oligo_candidates(templates, p["primer_min_length"], p["primer_max_length"], flanking=True)
-    scored = with_tm_gc(oligos, p["primer_min_gc"], p["primer_max_gc"])
-    return oligo_filter(
-        scored, p["primer_min_length"], p["primer_max_length"], lo, hi, p["primer_min_gc"], p["primer_max_gc"]
-    )
+    sizes = p["primer_min_length"], p["primer_max_length"]
+    limits = p["primer_min_gc"], p["primer_max_gc"]
+    scored = with_tm_gc(_places(templates, *sizes, True), sizes[1], *limits, text="plus")
+    kept = oligo_filter(scored, *sizes, lo, hi, *limits)
+    return _oriented(kept.withColumn("role", F.when(before_target(), "left").otherwise("right")))
+
+
+def any_primers(templates: DataFrame, sizes: tuple[int, int], tm: tuple[float, float], gc: tuple[float, float]) -> DataFrame:
+    """Primers of templates without a target: every stretch that passes, in both roles."""
+    scored = with_tm_gc(_places(templates, *sizes, False), sizes[1], *gc, text="plus")
+    kept = oligo_filter(scored, *sizes, *tm, *gc)
+    return _oriented(kept.withColumn("role", F.explode(F.array(F.lit("left"), F.lit("right")))))
 
 
 def probe_covers_target(start: Column, length: Column) -> Column:
@@ -96,7 +110,7 @@ def probe_covers_target(start: Column, length: Column) -> Column:
 
 def probe_candidates(templates: DataFrame, p: dict) -> DataFrame:
     """Probes that cover the target and pass the filters."""
-    sized = templates.select(
+    sized = spread(templates, "region_id").select(
         *_TEMPLATE, F.length("template").alias("_n"),
         F.explode(F.sequence(F.lit(p["probe_min_length"]), F.lit(p["probe_max_length"]))).alias("len"),
     ).filter("len <= _n and target_end_index - len <= target_start_index")
@@ -106,7 +120,7 @@ def probe_candidates(templates: DataFrame, p: dict) -> DataFrame:
     text = once(placed, sequence=F.substring("template", F.col("start") + 1, F.col("len")))
     clean = text.filter(~F.col("sequence").rlike("[^ACGT]")).select("region_id", "start", "len", "sequence")
     return oligo_filter(
-        with_tm_gc(clean, p["probe_min_gc"], p["probe_max_gc"]), p["probe_min_length"], p["probe_max_length"],
+        with_tm_gc(clean, p["probe_max_length"], p["probe_min_gc"], p["probe_max_gc"]), p["probe_min_length"], p["probe_max_length"],
         p["probe_min_tm"], p["probe_max_tm"], p["probe_min_gc"], p["probe_max_gc"],
     )
 
@@ -231,6 +245,8 @@ def best_pairs(templates: DataFrame, make_primers, make_pairs, n: int, opt_tm: f
         full = got.filter((F.col("rank") == n) & (F.round("penalty", 6) < bound)).select("region_id")
         done.append(got.join(full, "region_id", "left_semi"))
         rest = rest.join(full, "region_id", "left_anti")
+        if rest.isEmpty():
+            break
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

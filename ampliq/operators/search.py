@@ -42,7 +42,7 @@ def seed_extend_hits(
     """
     seeds = oligo_seeds(oligos, word)
     stats = seeds.agg(F.count("*").alias("rows"), F.max("n").alias("n")).first()
-    longest = max_length or stats["n"] or word
+    longest = max(max_length or stats["n"] or word, word)
     coded = longest <= MAX_CODED
     reach = longest - word
 

@@ -15,8 +15,11 @@ from ..functions.sequence import (
     MAX_CODED, PAIR_BITS, ambiguity_code, base_code, complement, gc_percent, low_mask, mismatch_bits,
     revcomp, shl, shr,
 )
-from ..functions.thermo import free_energy, melting_temperature, sodium_molar, stem_entropy, step_sums, terminal_sums
-from ..joins import once
+from ..functions.thermo import (
+    drop_masks, free_energy, sodium_molar, stem_entropy, step_sums, terminal_sums, with_base_masks,
+    with_masked_step_sums, with_melting_temperature,
+)
+from ..joins import once, spread
 
 # A stem is ranked by one number: dG in millionths, then shift, then first base.  Each of the last three
 # fields takes eight bits, which leaves room for oligos of up to 127 bases.
@@ -108,19 +111,22 @@ def stem_screen(duplexes: DataFrame, kind: str, max_length: int | None = None) -
     distinct = duplexes.select("x", "y").distinct()
     if max_length is None:
         max_length = distinct.agg(F.max(F.greatest(F.length("x"), F.length("y")))).first()[0] or 0
-    stems = (_coded_stems if max_length <= MAX_CODED else _any_stems)(distinct, hairpin)
+    stems = (_coded_stems if max_length <= MAX_CODED else _any_stems)(spread(distinct, "x", "y"), hairpin)
     salt_ln = math.log(sodium_molar())
 
-    def sums(text: Column, ambiguous: bool) -> tuple[Column, Column]:
-        dh, ds = step_sums(text, clean=not ambiguous)
+    def with_sums(df: DataFrame) -> DataFrame:
+        """Energies of the stem text ``s``; its bases are paired, hence never ambiguous."""
+        if max_length <= MAX_CODED:
+            df = drop_masks(with_masked_step_sums(with_base_masks(df, "s"), "_h", "_s"))
+        else:
+            h, e = step_sums("s", clean=True)
+            df = once(df, _h=h, _s=e)
         if hairpin:
-            return dh, ds
-        end_dh, end_ds = terminal_sums(text)
-        return dh + end_dh, ds + end_ds
+            return df.withColumnsRenamed({"_h": "dh", "_s": "ds"})
+        end_h, end_s = terminal_sums("s")
+        return once(df, dh=F.col("_h") + end_h, ds=F.col("_s") + end_s).drop("_h", "_s")
 
-    stem = once(stems, s=F.substring("x", F.col("i"), F.col("m")))
-    dh, ds = sums(F.col("s"), False)
-    scored = once(stem, dh=dh, ds=ds)
+    scored = with_sums(once(stems, s=F.substring("x", F.col("i"), F.col("m"))))
     dg = free_energy(F.col("dh"), stem_entropy(F.col("ds"), F.col("m"), hairpin, salt_ln))
     rank = F.when(F.col("m") > 0, _pack(dg, F.col("k"), F.col("i"), F.col("m"))).otherwise(F.lit(_NO_STEM))
     best = scored.groupBy("x", "y").agg(F.min(rank).alias("rank"))
@@ -131,18 +137,15 @@ def stem_screen(duplexes: DataFrame, kind: str, max_length: int | None = None) -
     k = (F.pmod(F.shiftright("rank", 16), F.lit(_FIELD)) - _SHIFT_ZERO).cast("int")
     none = F.col("rank") == _NO_STEM
     won = once(best, m=F.when(~none, m), i=F.when(~none, i), k=F.when(~none, k))
-    won = once(won, s=F.substring("x", F.col("i"), F.col("m")))
-    dh, ds = sums(F.col("s"), False)
-    won = once(won, _dh=dh, _ds=ds)
-    entropy = stem_entropy(F.col("_ds"), F.col("m"), hairpin, salt_ln)
-    won = once(won, _s=entropy)
-    dg = free_energy(F.col("_dh"), F.col("_s"))
+    won = with_sums(once(won, s=F.coalesce(F.substring("x", F.col("i"), F.col("m")), F.lit(""))))
+    won = once(won, _e=stem_entropy(F.col("ds"), F.col("m"), hairpin, salt_ln))
+    dg = free_energy(F.col("dh"), F.col("_e"))
     molar = DNA_NM * 1e-9
     if hairpin:
-        tm = F.lit(100.0) * F.col("_dh") / F.col("_s") - F.lit(KELVIN)
+        tm = F.lit(100.0) * F.col("dh") / F.col("_e") - F.lit(KELVIN)
     else:
         strands = math.log(molar) if kind == "homodimer" else math.log(molar / 4.0)
-        tm = F.lit(100.0) * F.col("_dh") / (F.col("_s") + F.lit(GAS_CONSTANT * strands)) - F.lit(KELVIN)
+        tm = F.lit(100.0) * F.col("dh") / (F.col("_e") + F.lit(GAS_CONSTANT * strands)) - F.lit(KELVIN)
     found = F.coalesce(dg < 0, F.lit(False))
 
     def when_found(value: Column) -> Column:
@@ -150,8 +153,8 @@ def stem_screen(duplexes: DataFrame, kind: str, max_length: int | None = None) -
 
     return won.select(
         "x", "y", found.alias("found"),
-        when_found(dg).alias("dg"), when_found(F.col("_dh") / F.lit(10.0)).alias("dh"),
-        when_found(F.col("_s")).alias("ds"), when_found(tm).alias("tm"),
+        when_found(dg).alias("dg"), when_found(F.col("dh") / F.lit(10.0)).alias("dh"),
+        when_found(F.col("_e")).alias("ds"), when_found(tm).alias("tm"),
     )
 
 
@@ -179,14 +182,19 @@ def heterodimer_screen(pairs: DataFrame, max_length: int | None = None) -> DataF
 
 def thermo_catalog(oligos: DataFrame) -> DataFrame:
     """Melting temperature and GC once per distinct oligo."""
-    return oligos.select("sequence").distinct().select(
-        "sequence", F.length("sequence").alias("length"),
-        melting_temperature(F.col("sequence")).alias("tm"), gc_percent(F.col("sequence")).alias("gc"),
+    return with_melting_temperature(oligos.select("sequence").distinct(), "sequence").select(
+        "sequence", F.length("sequence").alias("length"), "tm", gc_percent(F.col("sequence")).alias("gc"),
     )
 
 
+def longest_oligo(oligos: DataFrame) -> int:
+    return oligos.agg(F.max(F.length("sequence"))).first()[0] or 0
+
+
 def oligo_catalog(oligos: DataFrame, max_length: int | None = None) -> DataFrame:
     """The full record per distinct oligo: Tm, GC, hairpin and homodimer."""
+    if max_length is None:
+        max_length = longest_oligo(oligos)
     return (
         thermo_catalog(oligos)
         .join(hairpin_screen(oligos, max_length), "sequence")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..operators.amplicons import all_amplicons, amplicon_rollup, amplicon_total, hits_by_pair
 from ..operators.qc import final_result, qc_flags, qc_pair_assembly, search_status
 from ..operators.search import hit_cap, hit_counts, hit_filter, seed_extend_hits
-from ..operators.structure import heterodimer_screen, oligo_catalog
+from ..operators.structure import heterodimer_screen, longest_oligo, oligo_catalog
 from ..profiles import STRICT_AMPLICON, QcProfile
 from ..session import cut_lineage
 
@@ -39,21 +39,22 @@ def pair_qc(
 ) -> PairQc:
     """Judge primer pairs.  ``hits`` may come from elsewhere; otherwise ``tiles`` are searched.
 
-    The hits are used twice (counts, amplicons), so they are written once to the shared folder; a lost
-    executor then does not start the search over the reference again.
+    Distinct oligos and hits are used several times, so they are written once to the shared folder; a
+    lost executor then does not start the search over the reference again.
     """
-    oligos = pair_oligos(pairs)
+    oligos = cut_lineage(pair_oligos(pairs))
+    longest = longest_oligo(oligos)
     if hits is None:
         if tiles is None:
             raise ValueError("either tiles or hits are needed")
-        hits = seed_extend_hits(oligos, tiles, min_identity=min(80.0, profile.min_identity), min_length=0)
+        hits = seed_extend_hits(oligos, tiles, min_identity=min(80.0, profile.min_identity), min_length=0, max_length=longest)
     used = profile_hits(hits, profile)
     if keep_hits:
         used = cut_lineage(used)
     amplicons = all_amplicons(hits_by_pair(used, pairs), profile)
     rollup = amplicon_rollup(amplicons)
     assembled = qc_pair_assembly(
-        pairs, oligo_catalog(oligos), heterodimer_screen(pairs), hit_counts(used, oligos), amplicon_total(rollup)
+        pairs, oligo_catalog(oligos, longest), heterodimer_screen(pairs, longest), hit_counts(used, oligos), amplicon_total(rollup)
     )
     judged = final_result(qc_flags(search_status(assembled, searched), profile), profile)
     return PairQc(used, amplicons, rollup, judged)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import AMPLICON_THRESHOLDS, DESIGN_DEFAULTS
 from ..functions.sequence import bisulfite_convert
+from ..joins import once
 from ..operators.bisulfite import methylation_join
 from ..operators.design import (
     amplicon_row, best_pairs, pair_candidates, pair_topn, primer_candidates, probe_candidates, probe_primer_join, probe_topn,
@@ -84,4 +85,4 @@ def region_design(
         "heterodimer_dg", "heterodimer_tm",
     )
     judged = rows.join(dimers, ["forward_sequence", "reverse_sequence"], "left")
-    return judged.withColumn("selected", passes_thresholds(thresholds or AMPLICON_THRESHOLDS))
+    return once(judged, selected=passes_thresholds(thresholds or AMPLICON_THRESHOLDS))

@@ -519,7 +519,7 @@ def _(spark, sf):
   SELECT region_id, count(*) AS oligos, sum(start)::BIGINT AS starts, round(min(tm),6) AS min_tm, round(max(tm),6) AS max_tm, round(max(gc),6) AS max_gc
   FROM cand WHERE tm BETWEEN 50 AND 70 GROUP BY region_id""")
 def _(spark, sf):
-    oligos = DS.with_tm_gc(DS.oligo_candidates(_templates(spark, sf), 20, 30, ("left",)), 35, 65)
+    oligos = DS.with_tm_gc(DS.oligo_candidates(_templates(spark, sf), 20, 30, ("left",)), 30, 35, 65)
     return DS.oligo_filter(oligos, 20, 30, 50, 70, 35, 65).groupBy("region_id").agg(
         F.count("*").alias("oligos"), F.sum("start").alias("starts"), F.round(F.min("tm"), 6).alias("min_tm"),
         F.round(F.max("tm"), 6).alias("max_tm"), F.round(F.max("gc"), 6).alias("max_gc"))
@@ -534,7 +534,7 @@ def _(spark, sf):
   SELECT region_id, count(*) AS covering, sum(len)::BIGINT AS lens FROM cand WHERE start<=t_start AND start+len>=t_end GROUP BY region_id""")
 def _(spark, sf):
     templates = _templates(spark, sf)
-    oligos = DS.with_tm_gc(DS.oligo_candidates(templates, 20, 30, ("left",)), 35, 65)
+    oligos = DS.with_tm_gc(DS.oligo_candidates(templates, 20, 30, ("left",)), 30, 35, 65)
     where = oligos.join(templates.select("region_id", "target_start_index", "target_end_index"), "region_id")
     return where.filter(DS.probe_covers_target(F.col("start"), F.col("len"))).groupBy("region_id").agg(
         F.count("*").alias("covering"), F.sum("len").alias("lens"))
@@ -771,9 +771,9 @@ def _(spark, sf):
 
 
 @query("pair_alignment_rows", ["bed", "contig"], f"""
-  SELECT grp, ref_seq, ref_complement, CASE WHEN length(ref_seq)<30 THEN repeat(' ',length(ref_seq)) ELSE rpad(repeat(' ',30)||p1,length(ref_seq),' ') END AS line_1,
-    CASE WHEN p2 IS NULL THEN '' ELSE rpad(repeat(' ',110)||p2,length(ref_seq),' ') END AS line_2,
-    CASE WHEN p2 IS NULL THEN '' ELSE rpad(repeat(' ',110)||list_aggregate([CASE WHEN substr(p2,i,1)=substr(ref_complement,110+i,1) THEN '|' ELSE ' ' END FOR i IN range(1,21)],'string_agg',''),length(ref_seq),' ') END AS match_2
+  SELECT grp, ref_seq, ref_complement, rpad(repeat(' ',30)||p1,length(ref_seq)::INTEGER,' ') AS line_1,
+    CASE WHEN p2 IS NULL THEN '' ELSE rpad(repeat(' ',110)||p2,length(ref_seq)::INTEGER,' ') END AS line_2,
+    CASE WHEN p2 IS NULL THEN '' ELSE rpad(repeat(' ',110)||list_aggregate([CASE WHEN substr(p2,i,1)=substr(ref_complement,110+i,1) THEN '|' ELSE ' ' END FOR i IN range(1,21)],'string_agg',''),length(ref_seq)::INTEGER,' ') END AS match_2
   FROM (SELECT grp, p1, p2, substr(seq,s+1,e-s) AS ref_seq, translate(substr(seq,s+1,e-s),'ACGT','TGCA') AS ref_complement FROM {_WINDOW_SQL} JOIN contig USING (chrom))""")
 def _(spark, sf):
     rows = binding_alignment(D.bed(spark, sf), D.genome_tiles(spark, sf))
