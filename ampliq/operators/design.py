@@ -216,7 +216,7 @@ def pair_topn(pairs: DataFrame, n: int, keys: tuple[str, ...] = ("region_id",))
 
 
 #: Penalty bounds tried in turn by ``best_pairs`` before everything is considered.
-PENALTY_STEPS = (3.0, 8.0)
+PENALTY_STEPS = (4.0, 10.0)
 
 
 def best_pairs(templates: DataFrame, make_primers, make_pairs, n: int, opt_tm: float, opt_length: int,
@@ -244,7 +244,7 @@ def best_pairs(templates: DataFrame, make_primers, make_pairs, n: int, opt_tm: f
         # Strictly within: at the bound itself a pair beyond it could tie after rounding.
         full = got.filter((F.col("rank") == n) & (F.round("penalty", 6) < bound)).select("region_id")
         done.append(got.join(full, "region_id", "left_semi"))
-        rest = rest.join(full, "region_id", "left_anti")
+        rest = cut_lineage(rest.join(full, "region_id", "left_anti"))
         if rest.isEmpty():
             break
     out = done[0]

@@ -19,11 +19,11 @@ from ampliq.operators import search as SE
 from ampliq.operators import structure as ST
 from ampliq.operators.bisulfite import methylation_join
 from ampliq.operators.windows import region_windows, subseq_fetch, template_window_fetch
-from ampliq.plans import binding_alignment, pair_qc, region_design, score_rank_job
+from ampliq.plans import binding_alignment, design_amplicons, pair_qc, region_design, score_rank_job
 from ampliq.plans.pair_qc import profile_hits
 from ampliq.plans.region_design import region_templates
 from ampliq.profiles import ALL_FLAGS, STRICT_AMPLICON, QcProfile
-from ampliq.session import scratch_path
+from ampliq.session import cut_lineage, scratch_path
 from ampliq.sinks import design_bundle_write, qc_report_write, ranked_json_write
 from ampliq.sources import (
     bed_record_scan, contig_tiles, fasta_contig_scan, fasta_tile_scan, hit_tsv_scan, pair_tsv_scan, region_table_scan,
@@ -566,8 +566,7 @@ def _(spark, sf):
 
 def _best(spark, sf, n: int) -> tuple[DataFrame, DataFrame]:
     p = {**DESIGN_DEFAULTS, "n_probes": 0, "n_primers": n}
-    templates = _templates(spark, sf)
-    from ampliq.plans import design_amplicons
+    templates = cut_lineage(_templates(spark, sf))
     return templates, design_amplicons(templates, p)
 
 
@@ -689,8 +688,7 @@ _PROBE_RANK_SQL = """(SELECT *, row_number() OVER (PARTITION BY region_id ORDER
   JOIN {_PROBE_RANK_SQL} q ON q.region_id=t.region_id AND q.start=p_start AND q.len=p_len AND probe_rank<=4 WHERE rank<=3
   UNION ALL SELECT region_id, 0, rank, '', l_seq, r_seq FROM top3""")
 def _(spark, sf):
-    from ampliq.plans import design_amplicons
-    templates = _templates(spark, sf)
+    templates = cut_lineage(_templates(spark, sf))
     p = {**DESIGN_DEFAULTS, "n_probes": 4, "n_primers": 3}
     with_probe, without = design_amplicons(templates, p), design_amplicons(templates, {**p, "n_probes": 0})
     return DS.probe_primer_append(with_probe, without).select(
@@ -702,7 +700,6 @@ def _(spark, sf):
   SELECT 'all_primers' AS part, region_id AS a, l_seq AS b, r_seq AS c FROM design3 UNION ALL SELECT 'selected_primers', region_id, l_seq, r_seq FROM design3 WHERE selected
   UNION ALL SELECT 'thresholds', 'min_amplicon_length', '80', '' UNION ALL SELECT 'thresholds', 'reference', 'derived', ''""")
 def _(spark, sf):
-    from ampliq.session import cut_lineage
     rows = cut_lineage(_design(spark, sf))
     given = spark.range(1).select(F.lit("derived").alias("reference"), F.lit(80).alias("min_amplicon_length"), F.lit(None).cast("int").alias("n_primers"))
     out = design_bundle_write(rows, rows.filter("selected"), given, scratch_path(spark, "bundle"))
