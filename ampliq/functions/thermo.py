@@ -19,7 +19,7 @@ from ..constants import (
     KELVIN, MONOVALENT_MM, NN_DH, NN_DS, SALT_FACTOR, SYMMETRY_DS, TERMINAL_AT, TERMINAL_GC,
 )
 from ..joins import once
-from .sequence import base_code
+from .sequence import PAIR_BITS, base_code
 
 
 def sodium_molar(mono: float = MONOVALENT_MM, div: float = DIVALENT_MM, dntp: float = DNTP_MM) -> float:
@@ -68,24 +68,25 @@ def terminal_sums(seq: str) -> tuple[Column, Column]:
 
 
 def _tm_text(
-    seq: str, dh: str, ds: str, itself: str, mono: float = MONOVALENT_MM, div: float = DIVALENT_MM,
+    seq: str, dh: str, ds: str, itself: str, ends: list[str], mono: float = MONOVALENT_MM, div: float = DIVALENT_MM,
     dntp: float = DNTP_MM, dna_nm: float = DNA_NM,
 ) -> str:
     molar = dna_nm * 1e-9
     salt = math.log(sodium_molar(mono, div, dntp))
     entropy = (
-        f"({ds} + {_terminal_sum(seq, 1)} + if({itself}, {SYMMETRY_DS}, 0)) / 10.0D"
+        f"({ds} + {ends[1]} + if({itself}, {SYMMETRY_DS}, 0)) / 10.0D"
         f" + {_double(SALT_FACTOR)} * (length({seq}) - 1) * {_double(salt)}"
         f" + {_double(GAS_CONSTANT)} * if({itself}, {_double(math.log(molar))}, {_double(math.log(molar / 4.0))})"
     )
-    return f"if(length({seq}) >= 2, ({dh} + {_terminal_sum(seq, 0)}) * 100.0D / ({entropy}) - {_double(KELVIN)}, null)"
+    return f"if(length({seq}) >= 2, ({dh} + {ends[0]}) * 100.0D / ({entropy}) - {_double(KELVIN)}, null)"
 
 
 def with_melting_temperature(df: DataFrame, seq: str, **conditions: float) -> DataFrame:
     """Add ``tm``, the duplex melting temperature of any oligo in Celsius; null for fewer than two bases."""
     dh, ds = step_sums(seq)
     known = once(df, _dh=dh, _ds=ds, _self=F.expr(f"{seq} = reverse(translate({seq}, 'ACGTN', 'TGCAN'))"))
-    return known.withColumn("tm", F.expr(_tm_text(seq, "_dh", "_ds", "_self", **conditions))).drop("_dh", "_ds", "_self")
+    ends = [_terminal_sum(seq, 0), _terminal_sum(seq, 1)]
+    return known.withColumn("tm", F.expr(_tm_text(seq, "_dh", "_ds", "_self", ends, **conditions))).drop("_dh", "_ds", "_self")
 
 
 # --- up to 31 clean bases --------------------------------------------------------------------------
@@ -94,9 +95,10 @@ _MASKS = {base: f"_m{base}" for base in BASES}
 
 
 def with_base_masks(df: DataFrame, seq: str) -> DataFrame:
-    """Add the two-bit code of the column and one mask per base (one bit per place, first base highest)."""
-    coded = once(df, _code=base_code(F.col(seq)), _all=F.expr(
-        f"(shiftleft(1L, 2 * length({seq})) - 1L) & {0x5555555555555555}L"))
+    """Add the two-bit code of the column (unless there) and one mask per base (one bit per place, first highest)."""
+    every = F.expr(f"(shiftleft(1L, 2 * length({seq})) - 1L) & {PAIR_BITS}L")
+    code = {} if "_code" in df.columns else {"_code": base_code(F.col(seq))}
+    coded = once(df, **code, _all=every)
     hi, lo = "(shiftrightunsigned(_code, 1) & _all)", "(_code & _all)"
     return once(
         coded, _mA=F.expr(f"_all & ~{hi} & ~{lo}"), _mC=F.expr(f"{lo} & ~{hi}"),
@@ -123,10 +125,13 @@ def drop_masks(df: DataFrame) -> DataFrame:
 
 def with_masked_tm(df: DataFrame, seq: str) -> DataFrame:
     """Add ``tm`` from the masks.  Only an even oligo whose ends pair can be its own reverse complement."""
-    summed = with_masked_step_sums(df, "_dh", "_ds")
-    may_be = f"length({seq}) % 2 = 0 and shiftrightunsigned(_code, 2 * length({seq}) - 2) + (_code & 3L) = 3L"
-    known = once(summed, _self=F.expr(f"if({may_be}, {seq} = reverse(translate({seq}, 'ACGT', 'TGCA')), false)"))
-    return once(known, tm=F.expr(_tm_text(seq, "_dh", "_ds", "_self"))).drop("_dh", "_ds", "_self")
+    first, last = f"(shiftrightunsigned(_code, 2 * length({seq}) - 2) & 3L)", "(_code & 3L)"
+    itself = F.expr(
+        f"if(length({seq}) % 2 = 0 and {first} + {last} = 3L, {seq} = reverse(translate({seq}, 'ACGT', 'TGCA')), false)")
+    weak = F.expr(f"if({first} = 0L or {first} = 3L, 1, 0) + if({last} = 0L or {last} = 3L, 1, 0)")
+    known = once(with_masked_step_sums(df, "_dh", "_ds"), _self=itself, _weak=weak)
+    ends = [f"({TERMINAL_AT[i]} * _weak + {TERMINAL_GC[i]} * (2 - _weak))" for i in (0, 1)]
+    return once(known, tm=F.expr(_tm_text(seq, "_dh", "_ds", "_self", ends))).drop("_dh", "_ds", "_self", "_weak")
 
 
 def stem_entropy(ds: Column, pairs: Column, hairpin: bool, salt_ln: float) -> Column:

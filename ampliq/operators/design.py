@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DESIGN_DEFAULTS
 from ..functions.sequence import (
-    MAX_CODED, amplicon_sequence, count_in, cpg_count, non_cpg_c_count, revcomp, slice0,
+    MAX_CODED, amplicon_sequence, base_digits, count_in, cpg_count, digits_to_code, non_cpg_c_count, revcomp, slice0,
 )
 from ..functions.thermo import drop_masks, masked_gc_count, with_base_masks, with_masked_tm, with_melting_temperature
 from ..joins import once, salted_lookup, spread
@@ -30,16 +30,22 @@ _TEMPLATE = ["region_id", "template", "target_start_index", "target_end_index"]
 
 
 def _places(templates: DataFrame, min_length: int, max_length: int, flanking: bool) -> DataFrame:
-    """All clean stretches of each template: (region_id, start, len, plus) and the target."""
+    """All clean stretches of each template: (region_id, start, len, plus), the target, and the two-bit code."""
+    coded = max_length <= MAX_CODED
     ready = templates.filter(F.length("template") >= min_length).select(
-        *_TEMPLATE, F.length("template").alias("_n"), F.col("template").rlike("[^ACGT]").alias("_unclear"))
+        *_TEMPLATE, F.length("template").alias("_n"), F.col("template").rlike("[^ACGT]").alias("_unclear"),
+        *([base_digits(F.col("template")).alias("_digits")] if coded else []))
     sized = spread(ready, "region_id").select(
         "*", F.explode(F.sequence(F.lit(min_length), F.lit(max_length))).alias("len")).filter("len <= _n")
     placed = sized.select("*", F.explode(F.expr("sequence(0, _n - len)")).alias("start"))
     if flanking:
         placed = placed.filter(before_target() | after_target())
-    text = once(placed, plus=F.substring("template", F.col("start") + 1, F.col("len")))
-    return text.filter(~F.col("_unclear") | ~F.col("plus").rlike("[^ACGT]")).drop("template", "_n", "_unclear")
+
+    def piece(name: str) -> Column:
+        return F.substring(name, F.col("start") + 1, F.col("len"))
+
+    text = once(placed, plus=piece("template"), **({"_code": digits_to_code(piece("_digits"))} if coded else {}))
+    return text.filter(~F.col("_unclear") | ~F.col("plus").rlike("[^ACGT]")).drop("template", "_n", "_unclear", "_digits")
 
 
 def oligo_candidates(
