@@ -330,3 +330,42 @@ cte("triple", ["probe", "flank"], f"""
   FROM probe q JOIN flank l ON l.region_id=q.region_id AND l.tm BETWEEN q.tm-8 AND q.tm-6 AND l.start+l.len<=q.start-1
   JOIN flank r ON r.region_id=q.region_id AND r.tm BETWEEN q.tm-8 AND q.tm-6 AND r.start>=q.start+q.len+1
   WHERE r.start+r.len-l.start BETWEEN 80 AND 120 AND abs(l.tm-r.tm)<=2""")
+
+# --- scoring ------------------------------------------------------------------------------------
+candidates("score_all", "template", 18, 30, ["template"])
+cte("score_oligo", ["score_all"], "SELECT region_id, start, len, tm, s, abs(tm-60)+abs(len-22) AS pen FROM score_all WHERE tm BETWEEN 50 AND 70")
+
+
+def score_pairs(limit: str) -> str:
+    return f"""
+  SELECT l.region_id, l.start AS l_start, l.len AS l_len, l.s AS l_seq, r.start AS r_start, r.len AS r_len, {rc('r.s')} AS r_seq, l.pen+r.pen AS penalty
+  FROM score_oligo l JOIN score_oligo r ON l.region_id=r.region_id AND l.start+l.len<=r.start
+       AND r.start+r.len-l.start BETWEEN 80 AND 180 AND abs(l.tm-r.tm)<=2 {limit}"""
+
+
+# The tenth best pair among good oligos bounds the tenth best of all; a region without ten such pairs has no bound.
+cte("score_bound", ["score_oligo"], f"""
+  SELECT region_id, penalty AS bound FROM (
+    SELECT region_id, penalty, row_number() OVER (PARTITION BY region_id ORDER BY penalty) AS nth FROM ({score_pairs("AND l.pen<=3 AND r.pen<=3")}))
+  WHERE nth=10""")
+cte("score_near", ["score_oligo", "score_bound"], """
+  SELECT o.*, coalesce(bound,1e9::DOUBLE)+0.001 AS bound FROM score_oligo o LEFT JOIN score_bound USING (region_id) WHERE pen<=coalesce(bound,1e9::DOUBLE)+0.001""")
+cte("score_top", ["score_near"], f"""
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY round(penalty,6), l_start, l_len, r_start, r_len) AS rank
+    FROM ({score_pairs("AND l.pen+r.pen<=l.bound").replace("score_oligo", "score_near")})) WHERE rank<=10""")
+cte("score_seq", ["score_top"], "SELECT l_seq AS sequence FROM score_top UNION SELECT r_seq FROM score_top")
+cte("score_seed", ["score_seq"], CTES["seed"][1].replace("pair_oligo", "score_seq"))
+cte("score_hit", ["score_seed", "place", "piece"], hits_for("score_seed"))
+cte("score_off", ["score_seq", "score_hit"], """
+  SELECT o.sequence, greatest(count(h.sequence)-1,0) AS off FROM score_seq o LEFT JOIN score_hit h ON h.sequence=o.sequence GROUP BY o.sequence""")
+stems("homo_s", "SELECT sequence AS x, sequence AS y FROM score_seq", "homodimer", ["score_seq"])
+stems("hair_s", "SELECT sequence AS x, sequence AS y FROM score_seq", "hairpin", ["score_seq"])
+stems("hetero_s", "SELECT l_seq AS x, r_seq AS y FROM score_top", "heterodimer", ["score_top"])
+cte("ranked", ["score_top", "score_off", "homo_s", "hair_s", "hetero_s"], """
+  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY round(score,6), forward, reverse) AS position FROM (
+    SELECT p.region_id AS job_id, l_seq AS forward, r_seq AS reverse, fo.off AS f_offtarget, ro.off AS r_offtarget,
+           (abs(fd.dg)+abs(fh.dg)+abs(rd.dg)+abs(rh.dg)+abs(x.dg))*1000.0::DOUBLE+3*fo.off+3*ro.off AS score
+    FROM score_top p JOIN score_off fo ON fo.sequence=l_seq JOIN score_off ro ON ro.sequence=r_seq
+    JOIN homo_s fd ON fd.x=l_seq JOIN homo_s rd ON rd.x=r_seq JOIN hair_s fh ON fh.x=l_seq JOIN hair_s rh ON rh.x=r_seq
+    JOIN hetero_s x ON x.x=l_seq AND x.y=r_seq)""")

@@ -737,12 +737,12 @@ def _ranked(spark, sf) -> DataFrame:
     return score_rank_job(jobs, D.search_tiles(spark, sf))
 
 
-@query("score_rank")
+@query("score_rank", ["ranked"], "SELECT job_id, position, forward, reverse, f_offtarget, r_offtarget, round(score,4) AS score FROM ranked")
 def _(spark, sf):
     return _ranked(spark, sf).select("job_id", F.col("position").cast("bigint").alias("position"), "forward", "reverse", "f_offtarget", "r_offtarget", F.round("score", 4).alias("score"))
 
 
-@query("ranked_json_write")
+@query("ranked_json_write", ["ranked"], "SELECT job_id, position, forward, reverse, round(score,4) AS score FROM ranked")
 def _(spark, sf):
     path = scratch_path(spark, "ranked")
     ranked_json_write(_ranked(spark, sf), path)
