@@ -111,6 +111,8 @@ def stem_screen(duplexes: DataFrame, kind: str, max_length: int | None = None) -
     distinct = duplexes.select("x", "y").distinct()
     if max_length is None:
         max_length = distinct.agg(F.max(F.greatest(F.length("x"), F.length("y")))).first()[0] or 0
+    if max_length >= _SHIFT_ZERO:
+        raise ValueError(f"oligos of up to {_SHIFT_ZERO - 1} bases can be screened, not {max_length}")
     stems = (_coded_stems if max_length <= MAX_CODED else _any_stems)(spread(distinct, "x", "y"), hairpin)
     salt_ln = math.log(sodium_molar())
 
