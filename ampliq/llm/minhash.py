@@ -8,9 +8,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType
+from pyspark.sql.types import BooleanType
 from xxhash import xxh3_64_intdigest
 
 from ampliq.llm.common import with_columns
@@ -23,14 +23,15 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 class MinHashPlan:
     """Words a shingle, least similarity in hundredths, and the banding.
 
-    A pair at similarity s shares no band with probability (1 - s^rows)^bands: 3e-7 at 0.85 with the defaults.
-    ``least_agreement`` is six standard deviations below the share of equal minima that a pair at 0.85 has.
+    A pair at similarity s shares no band with probability (1 - s^rows)^bands: 3e-6 at 0.85 with the defaults.
+    ``least_agreement`` is four standard deviations below the share of equal minima that a pair at 0.85 has, so
+    the signatures turn away 3 of 100,000 such pairs; components mostly have other links as well.
     """
 
     words: int = 5
     percent: int = 85
-    bands: int = 32
-    rows: int = 6
+    bands: int = 40
+    rows: int = 8
     seed: int = 1
 
     @property
@@ -40,7 +41,7 @@ class MinHashPlan:
     @property
     def least_agreement(self) -> float:
         s = self.percent / 100
-        return s - 6 * (s * (1 - s) / self.hashes) ** 0.5
+        return s - 4 * (s * (1 - s) / self.hashes) ** 0.5
 
     def family(self) -> tuple[np.ndarray, np.ndarray]:
         """Multipliers (odd) and shifts of the universal hash functions h -> a * h + b modulo 2^64."""
@@ -102,19 +103,30 @@ def signatures(docs: DataFrame, plan: MinHashPlan) -> DataFrame:
                 keys.append(hashlib.md5(b" ".join(words)).hexdigest())
                 sizes.append(len(shingles))
                 bands.append(_bands(least, plan) if len(shingles) else None)
-                bytes_.append((least >> np.uint64(56 - 8)).astype(np.uint8).tobytes() if len(shingles) else None)
+                bytes_.append(_packed(least) if len(shingles) else None)
             yield pd.DataFrame({"doc_id": frame["doc_id"], "key": keys, "n_shingles": sizes, "bands": bands, "signature": bytes_})
 
     return docs.select("doc_id", "text").mapInPandas(
-        signed, "doc_id long, key string, n_shingles long, bands array<long>, signature binary"
+        signed, "doc_id long, key string, n_shingles long, bands array<long>, signature array<long>"
     )
 
 
-@F.pandas_udf(DoubleType())
-def _agreement(a: pd.Series, b: pd.Series) -> pd.Series:
+def _packed(least: np.ndarray) -> np.ndarray:
+    """One byte of each minimum, eight to a number; what fills the last number up is equal in all signatures."""
+    bytes_ = (least >> np.uint64(48)).astype(np.uint8)
+    return np.concatenate([bytes_, np.zeros(-len(bytes_) % 8, np.uint8)]).view(np.int64)
+
+
+def _agreement(a: str, b: str, hashes: int) -> Column:
     """Share of equal minima, less what single bytes have in common by chance."""
-    same = [float(np.mean(np.frombuffer(x, np.uint8) == np.frombuffer(y, np.uint8))) for x, y in zip(a, b)]
-    return (pd.Series(same, dtype=float) - 1 / 256) / (1 - 1 / 256)
+    def unequal(x: Column, y: Column) -> Column:
+        bits = x.bitwiseXOR(y)
+        for step in (1, 2, 4):
+            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, step))
+        return F.bit_count(bits.bitwiseAND(0x0101010101010101))
+
+    other = F.aggregate(F.zip_with(a, b, unequal), F.lit(0), lambda total, n: total + n)
+    return (1 - other / hashes - 1 / 256) / (1 - 1 / 256)
 
 
 def _linked(percent: int):
@@ -141,7 +153,7 @@ def confirmed(pairs: DataFrame, signed: DataFrame, sets: DataFrame, plan: MinHas
             frame = frame.join(side, end)
         return frame
 
-    near = both(pairs, signed, "signature").where(_agreement("signature_a", "signature_b") >= plan.least_agreement)
+    near = both(pairs, signed, "signature").where(_agreement("signature_a", "signature_b", plan.hashes) >= plan.least_agreement)
     near = cut_lineage(near.select("a", "b"))
     return both(near, sets, "shingles").where(_linked(plan.percent)("shingles_a", "shingles_b")).select("a", "b")
 
@@ -181,12 +193,12 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, plan: MinHashPlan = MinHashPlan(), star_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, plan: MinHashPlan = MinHashPlan(), star_rounds: int = 2) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept.
 
     Equal word sequences are one class, named by its smallest doc_id, so copies are never compared.  Classes
-    that share a band's bucket are candidates; a bucket first pairs all its classes with one of them only (three
-    times with another one), which joins nearly all that belong together.  Only where a bucket still holds classes of
+    that share a band's bucket are candidates; a bucket first pairs all its classes with one of them only (twice,
+    with another one), which joins nearly all that belong together.  Only where a bucket still holds classes of
     several components are the untested pairs between these components tried as well, so no link is lost.
 
     A text without words has an empty set, no link and is its own component.  Rows with a null doc_id have a null component
@@ -197,7 +209,7 @@ def near_duplicates(docs: DataFrame, plan: MinHashPlan = MinHashPlan(), star_rou
     filled = signed_docs.where("n_shingles > 0 and doc_id is not null")
     classes = cut_lineage(filled.groupBy("key").agg(F.min("doc_id").alias("node")))
     first = filled.join(classes, [filled.key == classes.key, filled.doc_id == classes.node]).select(
-        "node", classes.key, "bands", "signature"
+        "node", classes.key, "n_shingles", "bands", "signature"
     ).dropDuplicates(["node", "key"])
 
     buckets = first.select("node", F.posexplode("bands").alias("band", "bucket"))
@@ -205,14 +217,14 @@ def near_duplicates(docs: DataFrame, plan: MinHashPlan = MinHashPlan(), star_rou
     buckets = cut_lineage(buckets.join(shared.where("low < high").select("band", "bucket"), ["band", "bucket"]))
 
     asked = buckets.select("node").distinct()
-    signed = cut_lineage(first.join(asked, "node", "left_semi").select("node", "key", "signature"))
+    signed = cut_lineage(first.join(asked, "node", "left_semi").select("node", "key", "n_shingles", "bands", "signature"))
     sets = cut_lineage(_sets(docs, signed, plan))
 
     tested = links = None
     label = None
     for turn in range(star_rounds + 1):
         open_buckets = _unresolved(buckets, label)
-        pairs = _between(open_buckets) if turn == star_rounds else _stars(open_buckets, turn)
+        pairs = _between(open_buckets, signed, plan) if turn == star_rounds else _stars(open_buckets, turn)
         pairs = _distinct_pairs(pairs)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -270,20 +282,36 @@ def _unresolved(buckets: DataFrame, label: DataFrame | None) -> DataFrame:
 
 
 def _stars(rows: DataFrame, turn: int) -> DataFrame:
-    """Each class of a bucket with one of them, another one each turn; not within a component."""
+    """Each class of a bucket with one of them; not within a component.
+
+    In the first turn the buckets of a group mostly choose the same class.  Later each bucket chooses on its own, so
+    a class meets as many others as it has open buckets, still with one row for each class and bucket.
+    """
+    choice = F.xxhash64("node", F.lit(turn)) if turn == 0 else F.xxhash64("node", "band", F.lit(turn))
     hubs = rows.groupBy("band", "bucket").agg(
-        F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("hub"),
-        F.min_by("component", F.xxhash64("node", F.lit(turn))).alias("hub_component"),
+        F.min_by("node", choice).alias("hub"), F.min_by("component", choice).alias("hub_component")
     )
     pairs = rows.join(hubs, ["band", "bucket"]).where("component <> hub_component")
     return pairs.select(F.col("node").alias("a"), F.col("hub").alias("b"))
 
 
-def _between(rows: DataFrame) -> DataFrame:
-    """Pairs of classes of one bucket that lie in different components."""
-    other = rows.select("band", "bucket", F.col("node").alias("other"), F.col("component").alias("other_component"))
-    pairs = rows.join(other, ["band", "bucket"]).where("component < other_component")
-    return pairs.select(F.col("node").alias("a"), F.col("other").alias("b"))
+def _between(rows: DataFrame, signed: DataFrame, plan: MinHashPlan) -> DataFrame:
+    """Pairs of classes of one bucket that lie in different components and whose sizes and signatures allow a link.
+
+    Each pair comes from its first common band only.
+    """
+    rows = rows.join(signed.select("node", "n_shingles", "bands", "signature"), "node")
+    other = rows.select("band", "bucket", *[
+        F.col(c).alias(f"other_{c}") for c in ("node", "component", "n_shingles", "bands", "signature")
+    ])
+    small, large = F.least("n_shingles", "other_n_shingles"), F.greatest("n_shingles", "other_n_shingles")
+    first_common = F.array_position(F.zip_with("bands", "other_bands", lambda x, y: x == y), True) - 1
+    pairs = rows.join(other, ["band", "bucket"]).where(
+        (F.col("component") < F.col("other_component")) & (100 * small >= plan.percent * large)
+        & (F.col("band") == first_common)
+        & (_agreement("signature", "other_signature", plan.hashes) >= plan.least_agreement)
+    )
+    return pairs.select(F.col("node").alias("a"), F.col("other_node").alias("b"))
 
 
 def deduplicated(docs: DataFrame, plan: MinHashPlan = MinHashPlan()) -> DataFrame:
