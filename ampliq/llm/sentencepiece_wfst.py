@@ -94,7 +94,7 @@ class Transducer:
     """
 
     model: PieceModel
-    remembered: int = 300_000
+    remembered: int = 700_000
     ids: dict = field(init=False)
     ranks: dict = field(init=False)
     trie: dict = field(init=False)
