@@ -94,7 +94,7 @@ class Transducer:
     """
 
     model: PieceModel
-    remembered: int = 700_000
+    remembered: int = 400_000
     ids: dict = field(init=False)
     ranks: dict = field(init=False)
     trie: dict = field(init=False)
@@ -122,9 +122,14 @@ class Transducer:
         ]
         # Where no piece has a mark after another letter, words can be encoded one by one.
         self.splits = not any(MARK in p.lstrip(MARK) for p, _ in usable)
-        self.follows = functools.lru_cache(self.remembered)(self._follows)
+        self.follows = functools.lru_cache(self.remembered // 2)(self._follows)
         self.word = functools.lru_cache(self.remembered)(self._shortest)
 
+    def forget(self) -> None:
+        """Drop what was remembered, so that an idle worker holds the machine only."""
+        self.word.cache_clear()
+        self.follows.cache_clear()
+
     def normalised(self, text: str) -> str:
         if self.model.squeeze_spaces:
             text = " ".join(part for part in text.split(" ") if part)
@@ -245,6 +250,7 @@ def encode_texts(docs: DataFrame, model: PieceModel, text: str = "text") -> Data
                     decoded.append(None if ids is None else machine.decode(ids))
                 columns = [*part.columns, pa.array(lists, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*kept, "ids", "decoded"])
+        machine.forget()
 
     return rows.mapInArrow(encoded, schema)
 
