@@ -13,8 +13,8 @@ BROADCAST_ROWS = 1_000_000
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a frame has at most ``max_rows`` rows; stops counting soon after the bound."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether a frame has at most ``max_rows`` rows; all are counted, each partition on its own."""
+    return df.count() <= max_rows
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

@@ -28,6 +28,21 @@ def oligo_seeds(oligos: DataFrame, word: int = WORD) -> DataFrame:
     return seeds.filter(~piece.rlike("[^ACGT]")).withColumn("word", base_code(piece))
 
 
+def _check_reach(tiles: DataFrame, before: int, behind: int) -> None:
+    """Raise unless every tile holds that many bases on both sides of its core, or all there are in its contig."""
+    ends = tiles.select(
+        "chrom", "tile_start", "lead", (F.col("tile_start") + F.col("core_len")).alias("core_end"),
+        (F.length("seq") - F.col("lead") - F.col("core_len")).alias("overlap"),
+    )
+    contig = ends.groupBy("chrom").agg(F.max("core_end").alias("contig_end"))
+    short = ends.join(contig, "chrom").filter(
+        (F.col("lead") < F.least(F.col("tile_start"), F.lit(before)))
+        | (F.col("overlap") < F.least(F.col("contig_end") - F.col("core_end"), F.lit(behind)))
+    )
+    if short.take(1):
+        raise ValueError(f"tiles need lead {before} and overlap {behind} for these oligos")
+
+
 def seed_extend_hits(
     oligos: DataFrame, tiles: DataFrame, word: int = WORD, min_identity: float = 80.0, min_length: int = 10,
     max_length: int | None = None, broadcast_rows: int = BROADCAST_ROWS,
@@ -38,13 +53,15 @@ def seed_extend_hits(
     reaches the identity limit.  The reference is read once and, while the seed table is small (its size
     is counted), is not shuffled.  A place is found by several seeds; only its first one is kept, which
     is checked row by row, so no de-duplication shuffle follows.
-    Tiles need ``lead`` and ``overlap`` of at least the longest oligo.
+    Tiles need a ``lead`` of the longest oligo less one word and an ``overlap`` of the longest oligo less one base;
+    shorter ones would lose hits at the borders of tiles and are refused.
     """
     seeds = oligo_seeds(oligos, word)
     stats = seeds.agg(F.count("*").alias("rows"), F.max("n").alias("n")).first()
     longest = max(max_length or stats["n"] or word, word)
     coded = longest <= MAX_CODED
     reach = longest - word
+    _check_reach(tiles, reach, longest - 1)
 
     at = F.col("lead") + F.col("i")
     coded_tiles = [

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..joins import BROADCAST_ROWS, SALTS, fits_broadcast
+from ..joins import BROADCAST_ROWS, fits_broadcast
 from ..sources.fasta import TILE
 
 
@@ -15,32 +15,29 @@ def fetch_intervals(
 ) -> DataFrame:
     """Add the upper-case reference text of [start, end), 0-based; cut at the contig end.
 
-    The interval join is an equi-join on (chrom, tile).  Few intervals are broadcast, so the genome is
-    not shuffled; many are joined on a salted key, because one tile may be wanted by very many of them.
-    ``keys`` name one interval; ``tiles`` must have no lead and no overlap.
+    Each distinct interval is fetched once, however many rows ask for it, and the rows are joined to it by its
+    coordinates.  The interval join is an equi-join on (chrom, tile): few intervals are broadcast, so the genome is
+    not shuffled; with many, adaptive execution splits tiles that very many of them want.
+    ``keys`` are left as they are; ``tiles`` must have no lead and no overlap.
     """
-    wanted = intervals.select(
-        *keys, "chrom", F.col(start).alias("_s"), F.col(end).alias("_e")
-    ).filter((F.col("_s") >= 0) & (F.col("_e") > F.col("_s")))
+    place = ["chrom", "_s", "_e"]
+    asked = intervals.withColumns({"_s": F.col(start).cast("bigint"), "_e": F.col(end).cast("bigint")})
+    wanted = asked.select(*place).filter((F.col("_s") >= 0) & (F.col("_e") > F.col("_s"))).distinct()
     wanted = wanted.select("*", F.explode(
         F.sequence(F.expr(f"int(_s div {tile})"), F.expr(f"int((_e - 1) div {tile})"))
     ).alias("tile"))
     store = tiles.select("chrom", "tile", F.col("seq").alias("_t"))
-    if fits_broadcast(wanted, broadcast_rows):
-        met = store.join(F.broadcast(wanted), ["chrom", "tile"])
-    else:
-        salt = F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")
-        copies = store.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        met = wanted.withColumn("_salt", salt).join(copies, ["chrom", "tile", "_salt"])
+    few = fits_broadcast(wanted, broadcast_rows)
+    met = store.join(F.broadcast(wanted) if few else wanted, ["chrom", "tile"])
     at = F.col("tile").cast("bigint") * tile
     lo = F.greatest(F.col("_s") - at, F.lit(0))
     hi = F.least(F.col("_e") - at, F.lit(tile))
     piece = F.substring(F.col("_t").cast("binary"), (lo + 1).cast("int"), (hi - lo).cast("int")).cast("string")
-    parts = met.groupBy(*keys).agg(
+    parts = met.groupBy(*place).agg(
         F.upper(F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("tile", piece.alias("p")))), lambda x: x["p"]), "")).alias(out)
     )
-    return intervals.join(parts, keys, "left")
+    return asked.join(parts, place, "left").select(*intervals.columns, out)
 
 
 def region_windows(regions: DataFrame, max_amplicon_length: int) -> DataFrame:
@@ -58,7 +55,8 @@ def region_windows(regions: DataFrame, max_amplicon_length: int) -> DataFrame:
 def template_window_fetch(
     regions: DataFrame, tiles: DataFrame, max_amplicon_length: int, look_ahead: int = 0, tile: int = TILE
 ) -> DataFrame:
-    """Region windows with their template.  A window before the contig start gives an error, no template.
+    """Region windows with their template.  A window before the contig start or behind its end, or an
+    unknown contig, gives an error and no template.
 
     ``look_ahead`` adds ``template_plus``, the same window with that many more bases (for bisulfite conversion).
     """
@@ -69,7 +67,9 @@ def template_window_fetch(
     size = (F.col("window_end") - F.col("window_start")).cast("int")
     got = got.withColumns({
         "template": F.substring("template_plus", F.lit(1), size),
-        "error": F.when(F.col("window_start") < 0, F.lit("window starts before the contig")),
+        "error": F.when(F.col("window_start") < 0, F.lit("window starts before the contig")).when(
+            F.col("template_plus").isNull(), F.lit("contig unknown or window behind its end")
+        ),
     })
     return got.drop("_fetch_end") if look_ahead else got.drop("_fetch_end", "template_plus")
 

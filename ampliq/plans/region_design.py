@@ -21,7 +21,8 @@ from ..session import cut_lineage
 def region_templates(
     regions: DataFrame, tiles: DataFrame, p: dict, methylation: DataFrame | None = None
 ) -> DataFrame:
-    """Templates of all regions that have one, converted where asked for."""
+    """Templates of all regions that have one, converted where asked for; a repeated region_id comes once."""
+    regions = regions.dropDuplicates(["region_id"])
     if not p["bisulfite"]:
         got = template_window_fetch(regions, tiles, p["max_amplicon_length"])
         got = got.withColumn("reference_template", F.col("template"))
@@ -37,6 +38,13 @@ def region_templates(
     return got.filter(F.col("error").isNull() & F.col("template").isNotNull()).drop("error")
 
 
+def failed_regions(regions: DataFrame, tiles: DataFrame, params: dict | None = None) -> DataFrame:
+    """The regions without a template (region_id, error), which ``region_design`` leaves out."""
+    p = {**DESIGN_DEFAULTS, **(params or {})}
+    got = template_window_fetch(regions, tiles, p["max_amplicon_length"])
+    return got.filter("error is not null").select("region_id", "error")
+
+
 def design_amplicons(templates: DataFrame, p: dict) -> DataFrame:
     """Best pairs per region, or per probe when probes are asked for."""
     low, high = p["min_amplicon_length"], p["max_amplicon_length"]

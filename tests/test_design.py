@@ -172,3 +172,18 @@ def test_twelve_column_hits_fail_on_another_width(spark, tmp_path):
     (tmp_path / "bad").write_text(good + "\textra\n")
     with pytest.raises(Exception, match="12 columns"):
         hit_tsv_scan(spark, str(tmp_path / "bad"), 12).select(F.sum("length")).collect()
+
+
+def test_repeated_and_unknown_regions(spark):
+    text = "ACGT" * 200
+    tiles = _tiles(spark, [("c", text)])
+    rows = [("a", "c", 300, 310), ("a2", "c", 300, 310), ("b", "x", 300, 310), ("d", "c", 5000, 5010), ("e", "c", 10, 20)]
+    regions = spark.createDataFrame(rows, "region_id string, chrom string, start long, end long")
+    twice = regions.unionByName(regions.filter("region_id = 'a'"))
+    got = template_window_fetch(twice, tiles, 120).collect()
+    assert len(got) == 6
+    assert {r.template for r in got if r.region_id in ("a", "a2")} == {text[190:420]}
+    assert {r.region_id: r.error for r in got if r.error} == {
+        "b": "contig unknown or window behind its end", "d": "contig unknown or window behind its end",
+        "e": "window starts before the contig",
+    }

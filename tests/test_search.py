@@ -47,3 +47,13 @@ def test_cap_and_counts(spark):
     assert off == {o: max(0, c - 1) for o, c in counts.items()}
     capped = {r.sequence: r.hits for r in hit_counts(hit_cap(found, 5), frame).collect()}
     assert capped == {o: min(5, c) for o, c in counts.items()}
+
+
+def test_tiles_without_reach_are_refused(spark):
+    tiles = spark.createDataFrame(
+        [("c", 0, 0, 0, "ACGTACGTAC" * 3, 30), ("c", 1, 30, 0, "GGCCTTAAGG" * 3, 30)],
+        "chrom string, tile int, tile_start long, lead int, seq string, core_len int",
+    )
+    oligos = spark.createDataFrame([("ACGTACGTACGGCCTTAAGG",)], "sequence string")
+    with pytest.raises(ValueError, match="tiles need lead 12 and overlap 19"):
+        seed_extend_hits(oligos, tiles)
