@@ -193,6 +193,21 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _joined_up(label: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links: only the graph between the present components is worked through again.
+
+    ``label`` names every node but the smallest of a component, so what the contracted graph adds are nodes of its own.
+    """
+    ends = links
+    for end in ("a", "b"):
+        side = label.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component"))
+        ends = ends.join(side, end, "left").withColumn(end, F.coalesce(f"{end}_component", end)).drop(f"{end}_component")
+    over = components(ends.where("a <> b"))
+    wider = over.select(F.col("node").alias("component"), F.col("component").alias("wider"))
+    moved = label.join(wider, "component", "left").select("node", F.coalesce("wider", "component").alias("component"))
+    return cut_lineage(moved.unionByName(over))
+
+
 def near_duplicates(docs: DataFrame, plan: MinHashPlan = MinHashPlan(), star_rounds: int = 2) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept.
 
@@ -220,8 +235,7 @@ def near_duplicates(docs: DataFrame, plan: MinHashPlan = MinHashPlan(), star_rou
     signed = cut_lineage(first.join(asked, "node", "left_semi").select("node", "key", "n_shingles", "bands", "signature"))
     sets = cut_lineage(_sets(docs, signed, plan))
 
-    tested = links = None
-    label = None
+    tested = label = None
     for turn in range(star_rounds + 1):
         open_buckets = _unresolved(buckets, label)
         pairs = _between(open_buckets, signed, plan) if turn == star_rounds else _stars(open_buckets, turn)
@@ -235,15 +249,14 @@ def near_duplicates(docs: DataFrame, plan: MinHashPlan = MinHashPlan(), star_rou
             break
         found = cut_lineage(confirmed(pairs, signed, sets, plan))
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        label = components(links)
+        label = components(found) if label is None else _joined_up(label, found)
 
     # A doc_id that stands for several classes links them, as a class names its smallest doc_id only.
     named = filled.select("doc_id", "key").distinct().join(classes, "key").select("doc_id", "node")
     several = named.groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     if several.take(1):
         ids = several.select("doc_id").join(named, "doc_id").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-        label = components(links.unionByName(ids.where("a <> b")))
+        label = _joined_up(label, ids.where("a <> b"))
     found = classes.join(label, "node", "left").select("key", F.coalesce("component", "node").alias("found"))
     rows = signed_docs.join(found, "key", "left").withColumn(
         "component_id", F.when(F.col("n_shingles") > 0, F.least("found", "doc_id")).otherwise(F.col("doc_id"))
