@@ -57,9 +57,17 @@ def seed_extend_hits(
     shorter ones would lose hits at the borders of tiles and are refused.
     """
     seeds = oligo_seeds(oligos, word)
-    stats = seeds.agg(F.count("*").alias("rows"), F.max("n").alias("n")).first()
+    stats = seeds.agg(F.count("*").alias("rows"), F.min("n").alias("least"), F.max("n").alias("n")).first()
     longest = max(max_length or stats["n"] or word, word)
     coded = longest <= MAX_CODED
+    if stats["n"] and stats["least"] <= MAX_CODED < longest:
+        # A few long oligos must not put all others on the way letter by letter.
+        short = F.length("sequence") <= MAX_CODED
+        parts = [
+            seed_extend_hits(part, tiles, word, min_identity, min_length, None, broadcast_rows)
+            for part in (oligos.filter(short), oligos.filter(~short))
+        ]
+        return parts[0].unionByName(parts[1])
     reach = longest - word
     _check_reach(tiles, reach, longest - 1)
 

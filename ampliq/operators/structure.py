@@ -21,17 +21,31 @@ from ..functions.thermo import (
 )
 from ..joins import once, spread
 
-# A stem is ranked by one number: dG in millionths, then shift, then first base.  Each of the last three
-# fields takes eight bits, which leaves room for oligos of up to 127 bases.
+# Stems are ranked by dG in millionths, then shift, then first base.  Those of short oligos fit one number, in which
+# each of the last three fields takes eight bits; those of long ones are compared as structs.
 _DG_UNIT = 1_000_000
 _FIELD = 256
 _SHIFT_ZERO = 128
-_NO_STEM = (1 << 62)
 
 
-def _pack(dg: Column, shift: Column, first: Column, pairs: Column) -> Column:
+def _rank(dg: Column, packed: bool) -> Column:
+    """Rank of the stem (k, i, m); null without a stem."""
     scaled = F.floor(dg * _DG_UNIT + F.lit(0.5)).cast("bigint")
-    return ((scaled * _FIELD + shift + _SHIFT_ZERO) * _FIELD + first) * _FIELD + pairs
+    if packed:
+        rank = ((scaled * _FIELD + F.col("k") + _SHIFT_ZERO) * _FIELD + F.col("i")) * _FIELD + F.col("m")
+    else:
+        rank = F.struct(scaled.alias("dg"), "k", "i", "m")
+    return F.when(F.col("m") > 0, rank)
+
+
+def _unrank(packed: bool) -> dict[str, Column]:
+    if not packed:
+        return {name: F.col("rank")[name] for name in ("k", "i", "m")}
+    return {
+        "k": (F.pmod(F.shiftright("rank", 16), F.lit(_FIELD)) - _SHIFT_ZERO).cast("int"),
+        "i": F.pmod(F.shiftright("rank", 8), F.lit(_FIELD)).cast("int"),
+        "m": F.pmod("rank", F.lit(_FIELD)).cast("int"),
+    }
 
 
 def _coded_stems(df: DataFrame, hairpin: bool) -> DataFrame:
@@ -106,19 +120,24 @@ def stem_screen(duplexes: DataFrame, kind: str, max_length: int | None = None) -
 
     ``kind`` is homodimer (y = x), heterodimer or hairpin (y = x).  All stems of a duplex come from one
     input row that is already on the partition of its key, so picking the best needs no shuffle of its own.
+    Oligos may have any length; each row takes the way for its own.  ``max_length`` promises that none is longer.
     """
-    hairpin = kind == "hairpin"
     distinct = duplexes.select("x", "y").distinct()
-    if max_length is None:
-        max_length = distinct.agg(F.max(F.greatest(F.length("x"), F.length("y")))).first()[0] or 0
-    if max_length >= _SHIFT_ZERO:
-        raise ValueError(f"oligos of up to {_SHIFT_ZERO - 1} bases can be screened, not {max_length}")
-    stems = (_coded_stems if max_length <= MAX_CODED else _any_stems)(spread(distinct, "x", "y"), hairpin)
+    if max_length is not None and max_length <= MAX_CODED:
+        return screen_by(distinct, kind, True)
+    short = F.greatest(F.length("x"), F.length("y")) <= MAX_CODED
+    return screen_by(distinct.filter(short), kind, True).unionByName(screen_by(distinct.filter(~short), kind, False))
+
+
+def screen_by(distinct: DataFrame, kind: str, coded: bool) -> DataFrame:
+    """The screen by bit operations (``coded``, short oligos only) or letter by letter."""
+    hairpin = kind == "hairpin"
+    stems = (_coded_stems if coded else _any_stems)(spread(distinct, "x", "y"), hairpin)
     salt_ln = math.log(sodium_molar())
 
     def with_sums(df: DataFrame) -> DataFrame:
         """Energies of the stem text ``s``; its bases are paired, hence never ambiguous."""
-        if max_length <= MAX_CODED:
+        if coded:
             df = drop_masks(with_masked_step_sums(with_base_masks(df, "s"), "_h", "_s"))
         else:
             h, e = step_sums("s", clean=True)
@@ -130,15 +149,10 @@ def stem_screen(duplexes: DataFrame, kind: str, max_length: int | None = None) -
 
     scored = with_sums(once(stems, s=F.substring("x", F.col("i"), F.col("m"))))
     dg = free_energy(F.col("dh"), stem_entropy(F.col("ds"), F.col("m"), hairpin, salt_ln))
-    rank = F.when(F.col("m") > 0, _pack(dg, F.col("k"), F.col("i"), F.col("m"))).otherwise(F.lit(_NO_STEM))
-    best = scored.groupBy("x", "y").agg(F.min(rank).alias("rank"))
+    best = scored.groupBy("x", "y").agg(F.min(_rank(dg, coded)).alias("rank"))
 
     # Unpack the winner and work its energies out once more, now for one stem per duplex.
-    m = F.pmod("rank", F.lit(_FIELD)).cast("int")
-    i = F.pmod(F.shiftright("rank", 8), F.lit(_FIELD)).cast("int")
-    k = (F.pmod(F.shiftright("rank", 16), F.lit(_FIELD)) - _SHIFT_ZERO).cast("int")
-    none = F.col("rank") == _NO_STEM
-    won = once(best, m=F.when(~none, m), i=F.when(~none, i), k=F.when(~none, k))
+    won = once(best, **_unrank(coded))
     won = with_sums(once(won, s=F.coalesce(F.substring("x", F.col("i"), F.col("m")), F.lit(""))))
     won = once(won, _e=stem_entropy(F.col("ds"), F.col("m"), hairpin, salt_ln))
     dg = free_energy(F.col("dh"), F.col("_e"))
@@ -195,8 +209,6 @@ def longest_oligo(oligos: DataFrame) -> int:
 
 def oligo_catalog(oligos: DataFrame, max_length: int | None = None) -> DataFrame:
     """The full record per distinct oligo: Tm, GC, hairpin and homodimer."""
-    if max_length is None:
-        max_length = longest_oligo(oligos)
     return (
         thermo_catalog(oligos)
         .join(hairpin_screen(oligos, max_length), "sequence")

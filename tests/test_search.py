@@ -33,6 +33,14 @@ def test_search_matches_brute_force(spark, n, broadcast_rows):
     assert {tuple(r) for r in got} == hits(oligos, contigs)
 
 
+def test_one_long_oligo_among_short_ones(spark):
+    oligos, contigs = _fixture(20)
+    oligos.append(contigs[0][1][400:432])
+    tiles = contig_tiles(spark.createDataFrame(contigs, "chrom string, seq string"), tile=64, lead=32, overlap=32)
+    got = seed_extend_hits(spark.createDataFrame([(o,) for o in oligos], "sequence string"), tiles)
+    assert {tuple(r) for r in got.select("sequence", "strand", "chrom", "start", "pident", "sseq").collect()} == hits(oligos, contigs)
+
+
 def test_cap_and_counts(spark):
     oligos, contigs = _fixture(20)
     tiles = contig_tiles(spark.createDataFrame(contigs, "chrom string, seq string"), tile=64, lead=20, overlap=20)

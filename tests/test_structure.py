@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ampliq.operators.design import with_tm_gc
-from ampliq.operators.structure import stem_screen, thermo_catalog
+from ampliq.operators.structure import screen_by, stem_screen, thermo_catalog
 
 from .plain import dna, melting, rc, stem
 
@@ -40,6 +40,20 @@ def test_both_ways_of_screening_agree(spark):
     df = spark.createDataFrame(_duplexes(24, "heterodimer"), "x string, y string")
     coded = sorted(stem_screen(df, "heterodimer", 24).collect())
     assert coded == sorted(stem_screen(df, "heterodimer", 60).collect())
+    assert coded == sorted(screen_by(df.distinct(), "heterodimer", False).collect())
+
+
+@pytest.mark.parametrize("kind", ["heterodimer", "hairpin"])
+def test_long_oligos_among_short_ones(spark, kind):
+    long = dna(200, 77)
+    duplexes = [(long, rc(dna(30, 5)) + long[:90] if kind == "heterodimer" else long), *_duplexes(24, kind)]
+    got = {(r.x, r.y): r for r in stem_screen(spark.createDataFrame(duplexes, "x string, y string"), kind).collect()}
+    assert set(got) == set(duplexes)
+    for (x, y), r in got.items():
+        best = stem(x, y, kind)
+        assert r.found == (best is not None and best[1] < 0)
+        if r.found:
+            assert (r.dg, r.dh, r.ds) == pytest.approx(best[1:4], abs=1e-9)
 
 
 def test_melting_temperature(spark):
