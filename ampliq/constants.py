@@ -76,11 +76,18 @@ AMPLICON_THRESHOLDS = {
     "heterodimer_max_tm": 45.0,
 }
 
-# Settings of the scoring path.
+# Settings of the scoring path.  It states sizes only; temperature, GC and the temperature difference
+# are the solver's public defaults.
 SCORING = {
     "opt_length": 22,
     "min_length": 18,
     "max_length": 30,
+    "opt_tm": 60.0,
+    "min_tm": 57.0,
+    "max_tm": 63.0,
+    "min_gc": 20.0,
+    "max_gc": 80.0,
+    "max_tm_difference": 100.0,
     "min_product": 80,
     "max_product": 180,
     "n_pairs": 10,

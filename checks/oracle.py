@@ -332,15 +332,15 @@ cte("triple", ["probe", "flank"], f"""
   WHERE r.start+r.len-l.start BETWEEN 80 AND 120 AND abs(l.tm-r.tm)<=2""")
 
 # --- scoring ------------------------------------------------------------------------------------
-candidates("score_all", "template", 18, 30, ["template"])
-cte("score_oligo", ["score_all"], "SELECT region_id, start, len, tm, s, abs(tm-60)+abs(len-22) AS pen FROM score_all WHERE tm BETWEEN 50 AND 70")
+candidates("score_all", "template", 18, 30, ["template"], gc=(20, 80))
+cte("score_oligo", ["score_all"], "SELECT region_id, start, len, tm, s, abs(tm-60)+abs(len-22) AS pen FROM score_all WHERE tm BETWEEN 57 AND 63")
 
 
 def score_pairs(limit: str) -> str:
     return f"""
   SELECT l.region_id, l.start AS l_start, l.len AS l_len, l.s AS l_seq, r.start AS r_start, r.len AS r_len, {rc('r.s')} AS r_seq, l.pen+r.pen AS penalty
   FROM score_oligo l JOIN score_oligo r ON l.region_id=r.region_id AND l.start+l.len<=r.start
-       AND r.start+r.len-l.start BETWEEN 80 AND 180 AND abs(l.tm-r.tm)<=2 {limit}"""
+       AND r.start+r.len-l.start BETWEEN 80 AND 180 {limit}"""
 
 
 # The tenth best pair among good oligos bounds the tenth best of all; a region without ten such pairs has no bound.
