@@ -43,6 +43,13 @@ class MinHashPlan:
         s = self.percent / 100
         return s - 4 * (s * (1 - s) / self.hashes) ** 0.5
 
+    @property
+    def most_unequal_bits(self) -> int:
+        """Unequal ones of the minima's lowest bits that are still let through, 4.5 deviations above those of a pair
+        at the least similarity: about 1 of 100,000 such pairs has more."""
+        p = (1 - self.percent / 100) / 2
+        return int(self.hashes * p + 4.5 * (self.hashes * p * (1 - p)) ** 0.5 + 1)
+
     def family(self) -> tuple[np.ndarray, np.ndarray]:
         """Multipliers (odd) and shifts of the universal hash functions h -> a * h + b modulo 2^64."""
         rng = np.random.default_rng(self.seed)
@@ -91,11 +98,11 @@ def _bands(least: np.ndarray, plan: MinHashPlan) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, plan: MinHashPlan) -> DataFrame:
-    """Per row: doc_id, key of the word sequence, set size, band hashes, and one byte of each minimum."""
+    """Per row: doc_id, key of the word sequence, set size, band hashes, and one byte and one bit of each minimum."""
     def signed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         family = plan.family()
         for frame in frames:
-            keys, sizes, bands, bytes_ = [], [], [], []
+            keys, sizes, bands, bytes_, bits = [], [], [], [], []
             for text in frame["text"]:
                 words = word_list(text)
                 shingles = shingle_set(words, plan.words)
@@ -104,16 +111,30 @@ def signatures(docs: DataFrame, plan: MinHashPlan) -> DataFrame:
                 sizes.append(len(shingles))
                 bands.append(_bands(least, plan) if len(shingles) else None)
                 bytes_.append(_packed(least) if len(shingles) else None)
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "key": keys, "n_shingles": sizes, "bands": bands, "signature": bytes_})
+                bits.append(_bits(least) if len(shingles) else None)
+            yield pd.DataFrame({
+                "doc_id": frame["doc_id"], "key": keys, "n_shingles": sizes, "bands": bands, "signature": bytes_, "bits": bits
+            })
 
     return docs.select("doc_id", "text").mapInPandas(
-        signed, "doc_id long, key string, n_shingles long, bands array<long>, signature array<long>"
+        signed,
+        "doc_id long, key string, n_shingles long, bands array<long>, signature array<long>, bits array<long>",
     )
 
 
 def _packed(least: np.ndarray) -> np.ndarray:
-    """One byte of each minimum, eight to a number; what fills the last number up is equal in all signatures."""
-    bytes_ = (least >> np.uint64(48)).astype(np.uint8)
+    """The lowest byte of each minimum, eight to a number; what fills the last number up is equal in all signatures.
+
+    The lowest byte, as the highest ones of a large set's minima are mostly zero."""
+    return _filled(least.astype(np.uint8))
+
+
+def _bits(least: np.ndarray) -> np.ndarray:
+    """The lowest bit of each minimum, 64 to a number."""
+    return _filled(np.packbits((least & np.uint64(1)).astype(np.uint8)))
+
+
+def _filled(bytes_: np.ndarray) -> np.ndarray:
     return np.concatenate([bytes_, np.zeros(-len(bytes_) % 8, np.uint8)]).view(np.int64)
 
 
@@ -224,7 +245,7 @@ def near_duplicates(docs: DataFrame, plan: MinHashPlan = MinHashPlan(), star_rou
     filled = signed_docs.where("n_shingles > 0 and doc_id is not null")
     classes = cut_lineage(filled.groupBy("key").agg(F.min("doc_id").alias("node")))
     first = filled.join(classes, [filled.key == classes.key, filled.doc_id == classes.node]).select(
-        "node", classes.key, "n_shingles", "bands", "signature"
+        "node", classes.key, "n_shingles", "bands", "signature", "bits"
     ).dropDuplicates(["node", "key"])
 
     buckets = first.select("node", F.posexplode("bands").alias("band", "bucket"))
@@ -232,7 +253,7 @@ def near_duplicates(docs: DataFrame, plan: MinHashPlan = MinHashPlan(), star_rou
     buckets = cut_lineage(buckets.join(shared.where("low < high").select("band", "bucket"), ["band", "bucket"]))
 
     asked = buckets.select("node").distinct()
-    signed = cut_lineage(first.join(asked, "node", "left_semi").select("node", "key", "n_shingles", "bands", "signature"))
+    signed = cut_lineage(first.join(asked, "node", "left_semi").select("node", "key", "n_shingles", "bands", "signature", "bits"))
     sets = cut_lineage(_sets(docs, signed, plan))
 
     tested = label = None
@@ -311,17 +332,22 @@ def _stars(rows: DataFrame, turn: int) -> DataFrame:
 def _between(rows: DataFrame, signed: DataFrame, plan: MinHashPlan) -> DataFrame:
     """Pairs of classes of one bucket that lie in different components and whose sizes and signatures allow a link.
 
-    Each pair comes from its first common band only.
+    Each pair comes from its first common band only: the hashes of the earlier ones, each made with its band's number,
+    have none in common.  The bits stand as plain numbers and are compared first, in
+    generated code: most pairs of a bucket end there, before the functions over whole arrays.
     """
-    rows = rows.join(signed.select("node", "n_shingles", "bands", "signature"), "node")
+    bits = {f"bits_{i}": F.get("bits", i) for i in range(-(-plan.hashes // 64))}
+    signed = signed.select("node", "n_shingles", "bands", "signature", *[value.alias(name) for name, value in bits.items()])
+    rows = rows.join(signed, "node").withColumn("earlier", F.slice("bands", 1, F.col("band"))).drop("bands")
     other = rows.select("band", "bucket", *[
-        F.col(c).alias(f"other_{c}") for c in ("node", "component", "n_shingles", "bands", "signature")
+        F.col(c).alias(f"other_{c}") for c in ("node", "component", "n_shingles", "earlier", "signature", *bits)
     ])
+    unequal = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"other_{b}"))) for b in bits), F.lit(0))
     small, large = F.least("n_shingles", "other_n_shingles"), F.greatest("n_shingles", "other_n_shingles")
-    first_common = F.array_position(F.zip_with("bands", "other_bands", lambda x, y: x == y), True) - 1
     pairs = rows.join(other, ["band", "bucket"]).where(
         (F.col("component") < F.col("other_component")) & (100 * small >= plan.percent * large)
-        & (F.col("band") == first_common)
+        & (unequal <= plan.most_unequal_bits)
+        & ~F.arrays_overlap("earlier", "other_earlier")
         & (_agreement("signature", "other_signature", plan.hashes) >= plan.least_agreement)
     )
     return pairs.select(F.col("node").alias("a"), F.col("other_node").alias("b"))
