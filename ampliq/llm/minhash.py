@@ -166,17 +166,21 @@ def _linked(percent: int):
     return linked
 
 
-def confirmed(pairs: DataFrame, signed: DataFrame, sets: DataFrame, plan: MinHashPlan) -> DataFrame:
-    """Of the pairs (a, b) those that are linked: first by their signatures, then on the full sets."""
+def confirmed(pairs: DataFrame, signed: DataFrame | None, sets: DataFrame, plan: MinHashPlan) -> DataFrame:
+    """Of the pairs (a, b) those that are linked: first by their signatures, then on the full sets.
+
+    ``signed`` is None for pairs whose signatures have been compared already.
+    """
     def both(frame: DataFrame, table: DataFrame, value: str) -> DataFrame:
         for end in ("a", "b"):
             side = table.select(F.col("node").alias(end), F.col(value).alias(f"{value}_{end}"))
             frame = frame.join(side, end)
         return frame
 
-    near = both(pairs, signed, "signature").where(_agreement("signature_a", "signature_b", plan.hashes) >= plan.least_agreement)
-    near = cut_lineage(near.select("a", "b"))
-    return both(near, sets, "shingles").where(_linked(plan.percent)("shingles_a", "shingles_b")).select("a", "b")
+    if signed is not None:
+        alike = _agreement("signature_a", "signature_b", plan.hashes) >= plan.least_agreement
+        pairs = cut_lineage(both(pairs, signed, "signature").where(alike).select("a", "b"))
+    return both(pairs, sets, "shingles").where(_linked(plan.percent)("shingles_a", "shingles_b")).select("a", "b")
 
 
 def _distinct_pairs(pairs: DataFrame) -> DataFrame:
@@ -258,17 +262,18 @@ def near_duplicates(docs: DataFrame, plan: MinHashPlan = MinHashPlan(), star_rou
 
     tested = label = None
     for turn in range(star_rounds + 1):
+        last = turn == star_rounds  # its pairs come with their signatures compared
         open_buckets = _unresolved(buckets, label)
-        pairs = _between(open_buckets, signed, plan) if turn == star_rounds else _stars(open_buckets, turn)
+        pairs = _between(open_buckets, signed, plan) if last else _stars(open_buckets, turn)
         pairs = _distinct_pairs(pairs)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs)
         if turn and not pairs.take(1):
-            if turn < star_rounds:
+            if not last:
                 continue  # the last turn looks at what stars cannot see
             break
-        found = cut_lineage(confirmed(pairs, signed, sets, plan))
+        found = cut_lineage(confirmed(pairs, None if last else signed, sets, plan))
         tested = pairs if tested is None else tested.unionByName(pairs)
         label = components(found) if label is None else _joined_up(label, found)
 
