@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..constants import DESIGN_DEFAULTS
 from ..functions.sequence import (
-    MAX_CODED, amplicon_sequence, base_digits, count_in, cpg_count, digits_to_code, non_cpg_c_count, revcomp, slice0,
+    MAX_CODED, amplicon_sequence, base_digits, count_in, cpg_count, digits_to_code, non_cpg_c_count, revcomp,
 )
 from ..functions.thermo import drop_masks, masked_gc_count, with_base_masks, with_masked_tm, with_melting_temperature
 from ..joins import once, salted_lookup, spread
@@ -341,7 +341,3 @@ def with_structures(wide: DataFrame, catalog: DataFrame, has_probe: bool) -> Dat
 
 def cpg_range(count: Column, low: int, high: int) -> Column:
     return count.between(low, high)
-
-
-def template_slice(template: Column, start: Column, end: Column) -> Column:
-    return slice0(template, start, end)

@@ -4,10 +4,21 @@ from __future__ import annotations
 
 import math
 
-from ampliq.constants import BASES, NN_DH, NN_DS
-from ampliq.functions.thermo import sodium_molar
-
-LN_NA = repr(math.log(sodium_molar()))
+BASES = "ACGT"
+
+# Unified nearest-neighbour parameters (SantaLucia 1998), in tenths of kcal/mol (dH) and cal/mol/K (dS),
+# stated here anew so that the SQL does not depend on what it checks.
+NN_DH = {
+    "AA": -79, "AC": -84, "AG": -78, "AT": -72, "CA": -85, "CC": -80, "CG": -106, "CT": -78,
+    "GA": -82, "GC": -98, "GG": -80, "GT": -84, "TA": -72, "TC": -82, "TG": -85, "TT": -79,
+}
+NN_DS = {
+    "AA": -222, "AC": -224, "AG": -210, "AT": -204, "CA": -227, "CC": -199, "CG": -272, "CT": -210,
+    "GA": -222, "GC": -244, "GG": -199, "GT": -224, "TA": -213, "TC": -222, "TG": -227, "TT": -222,
+}
+
+# 50 mM monovalent, 1.5 mM divalent, 0.6 mM dNTP as molar sodium.
+LN_NA = repr(math.log((50.0 + 120.0 * math.sqrt(1.5 - 0.6)) / 1000.0))
 LN_C = repr(math.log(50.0 * 1e-9))
 LN_C4 = repr(math.log(50.0 * 1e-9 / 4.0))
 
