@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ampliq.llm import secrets, toxicity
+from ampliq.llm import minhash, secrets, toxicity
 from ampliq.llm.chat import format_chats, masked_text, read_back, unescaped
 from ampliq.llm.minhash import MinHashPlan, components, deduplicated, near_duplicates, shingle_set, word_list
 from ampliq.llm.mixing import mix, mixed_documents
@@ -277,3 +277,17 @@ def test_pipeline_keeps_its_columns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[2:4]:
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns, name
+
+
+def test_bits_of_minima_let_pairs_at_the_least_similarity_through():
+    plan = minhash.MinHashPlan()
+    family, rng = plan.family(), np.random.default_rng(5)
+    for size in (100, 3000):
+        for _ in range(40):
+            drawn = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+            own = round(size * 0.15 / 2)  # 0.85 of all elements are in both sets
+            a, b = (minhash._bits(minhash.minima(np.unique(s), family)) for s in (drawn[own:], drawn[: size - own]))
+            unequal = sum(int(x).bit_count() for x in (a ^ b).view(np.uint64))
+            assert 0 < unequal <= plan.most_unequal_bits
+    apart = [minhash._bits(minhash.minima(rng.integers(0, 1 << 63, 500, dtype=np.uint64), family)) for _ in range(2)]
+    assert sum(int(x).bit_count() for x in (apart[0] ^ apart[1]).view(np.uint64)) > plan.most_unequal_bits
