@@ -23,9 +23,10 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 class MinHashPlan:
     """Words a shingle, least similarity in hundredths, and the banding.
 
-    A pair at similarity s shares no band with probability (1 - s^rows)^bands: 3e-6 at 0.85 with the defaults.
-    ``least_agreement`` is four standard deviations below the share of equal minima that a pair at 0.85 has, so
-    the signatures turn away 3 of 100,000 such pairs; components mostly have other links as well.
+    A pair at similarity s shares no band with probability (1 - s^rows)^bands: 3e-6 at 0.85 with the defaults, which
+    miss 6e-4 at 0.80, so a lower ``percent`` needs a banding of its own.
+    ``least_agreement`` is four standard deviations below the share of equal minima that a pair at the least similarity
+    has, so the signatures turn away 3 of 100,000 such pairs; components mostly have other links as well.
     """
 
     words: int = 5

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ampliq.llm import toxicity
-from ampliq.llm.minhash import deduplicated
+from ampliq.llm.minhash import MinHashPlan, deduplicated
 from ampliq.llm.mixing import mixed_documents
 from ampliq.llm.queries import PIECES
 from ampliq.llm.secrets import masked_documents
@@ -20,9 +20,13 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return toxicity.score_toxicity(docs, model).where("predicted = 0").select(*docs.columns)
 
 
+#: Five words and a similarity of 0.8; a pair at 0.8 shares none of the 53 bands with probability 1e-7.
+NEAR = MinHashPlan(percent=80, bands=53, rows=6)
+
+
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id."""
-    return deduplicated(docs)
+    return deduplicated(docs, NEAR)
 
 
 def with_masked_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

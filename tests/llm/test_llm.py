@@ -291,3 +291,30 @@ def test_bits_of_minima_let_pairs_at_the_least_similarity_through():
             assert 0 < unequal <= plan.most_unequal_bits
     apart = [minhash._bits(minhash.minima(rng.integers(0, 1 << 63, 500, dtype=np.uint64), family)) for _ in range(2)]
     assert sum(int(x).bit_count() for x in (apart[0] ^ apart[1]).view(np.uint64)) > plan.most_unequal_bits
+
+
+def test_pipeline_removes_near_copies_from_080_on(spark):
+    import corpus_pipeline
+
+    rng, texts, planted = random.Random(11), [], []
+    for k in range(60):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(rng.choice([60, 120, 300]))]
+        near = list(words)
+        at = 0
+        while True:  # one word after another is replaced until the pair is below 0.85
+            near[at] = f"x{rng.randrange(10**9)}"
+            at += 7
+            a, b = (set(shingle_set(w, 5).tolist()) for w in (word_list(" ".join(words)), word_list(" ".join(near))))
+            alike = len(a & b) / len(a | b)
+            if alike < 0.85:
+                break
+        texts += [" ".join(words), " ".join(near)]
+        if alike >= 0.8:
+            planted.append(2 * k + 1)
+    assert len(planted) > 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, df, "").collect()}
+    assert kept == set(range(len(texts))) - set(planted)
+    plan = corpus_pipeline.NEAR
+    assert plan.percent == 80 and (1 - 0.8**plan.rows) ** plan.bands < 3e-6
+    assert {r.doc_id for r in deduplicated(df).collect()} == set(range(len(texts)))  # op9's query stays at 0.85
