@@ -46,8 +46,8 @@ class MinHashPlan:
 
     @property
     def most_unequal_bits(self) -> int:
-        """Unequal ones of the minima's lowest bits that are still let through, 4.5 deviations above those of a pair
-        at the least similarity: about 1 of 100,000 such pairs has more."""
+        """Unequal ones of the minima's bits that are still let through, 4.5 deviations above those of a pair
+        at the least similarity: about 1 of 100,000 such pairs has more, however small the sets are."""
         p = (1 - self.percent / 100) / 2
         return int(self.hashes * p + 4.5 * (self.hashes * p * (1 - p)) ** 0.5 + 1)
 
@@ -131,8 +131,11 @@ def _packed(least: np.ndarray) -> np.ndarray:
 
 
 def _bits(least: np.ndarray) -> np.ndarray:
-    """The lowest bit of each minimum, 64 to a number."""
-    return _filled(np.packbits((least & np.uint64(1)).astype(np.uint8)))
+    """One bit of each minimum, 64 to a number.
+
+    The minima are mixed first: the lowest bit of a * h + b with an odd a comes from that of h alone, so in a small
+    set the bits of all minima would stand or fall together."""
+    return _filled(np.packbits((_mixed(least) & np.uint64(1)).astype(np.uint8)))
 
 
 def _filled(bytes_: np.ndarray) -> np.ndarray:

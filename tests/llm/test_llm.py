@@ -318,3 +318,13 @@ def test_pipeline_removes_near_copies_from_080_on(spark):
     plan = corpus_pipeline.NEAR
     assert plan.percent == 80 and (1 - 0.8**plan.rows) ** plan.bands < 3e-6
     assert {r.doc_id for r in deduplicated(df).collect()} == set(range(len(texts)))  # op9's query stays at 0.85
+
+
+def test_bits_of_minima_let_small_sets_through():
+    plan = minhash.MinHashPlan()
+    family, rng = plan.family(), np.random.default_rng(6)
+    for common, own, other in ((6, 1, 0), (6, 0, 1), (17, 3, 0), (12, 1, 1), (17, 1, 2), (34, 3, 3)):
+        for _ in range(500):
+            drawn = rng.integers(0, 1 << 64, common + own + other, dtype=np.uint64)
+            a, b = (minhash._bits(minhash.minima(s, family)) for s in (drawn[: common + own], np.delete(drawn, slice(common, common + own))))
+            assert sum(int(x).bit_count() for x in (a ^ b).view(np.uint64)) <= plan.most_unequal_bits, (common, own, other)
