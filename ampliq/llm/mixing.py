@@ -41,8 +41,9 @@ def slots(targets: DataFrame, block_words: int) -> DataFrame:
     """The schedule: for each slot its source (``nth``) and how many slots that source had before (``block``).
 
     Slot k takes the k-th golden-ratio point through the cumulative targets, so every stretch of the schedule has
-    nearly the right shares.  A few slots are added so that rounding leaves no source short.  Ranks are counted
-    within chunks of slots and then carried over, so no source meets in one task.
+    nearly the right shares.  A source that gets fewer slots than its target has blocks, as small ones may, has the
+    missing ones appended at the end.  Ranks are counted within chunks of slots and then carried over, so no source
+    meets in one task.
     """
     spark = targets.sparkSession
     rows = targets.orderBy("nth").select("nth", F.round("target").cast("long").alias("wanted")).collect()
@@ -60,10 +61,19 @@ def slots(targets: DataFrame, block_words: int) -> DataFrame:
     own = Window.partitionBy("chunk", "nth").orderBy("slot")
     earlier = Window.partitionBy("nth").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = numbered.groupBy("chunk", "nth").count().select(
-        "chunk", "nth", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("carried")
+        "chunk", "nth", "count", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("carried")
     )
-    numbered = numbered.withColumn("within", F.row_number().over(own)).join(carried, ["chunk", "nth"])
-    return numbered.select("slot", "nth", (F.col("carried") + F.col("within") - 1).alias("block"))
+    numbered = numbered.withColumn("within", F.row_number().over(own)).join(carried.drop("count"), ["chunk", "nth"])
+    drawn = numbered.select("slot", "nth", (F.col("carried") + F.col("within") - 1).alias("block"))
+    held = carried.groupBy("nth").agg(F.sum("count").alias("held"))
+    blocks = F.ceil(F.round("target").cast("long") / block_words)
+    short = targets.select("nth", blocks.alias("blocks")).join(held, "nth", "left")
+    short = short.withColumn("held", F.coalesce("held", F.lit(0))).where("blocks > held")
+    before = F.sum(F.col("blocks") - F.col("held")).over(Window.orderBy("nth").rowsBetween(Window.unboundedPreceding, -1))
+    short = short.withColumn("before", F.coalesce(before, F.lit(0)))
+    short = short.withColumn("block", F.explode(F.sequence("held", F.col("blocks") - 1)))
+    added = short.select((n_slots + F.col("before") + F.col("block") - F.col("held")).alias("slot"), "nth", "block")
+    return drawn.unionByName(added)
 
 
 def laid_out(sized: DataFrame, targets: DataFrame, seed: int) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ampliq.llm import minhash, secrets, toxicity
+from ampliq.llm import minhash, mixing, secrets, toxicity
 from ampliq.llm.chat import format_chats, masked_text, read_back, unescaped
 from ampliq.llm.minhash import MinHashPlan, components, deduplicated, near_duplicates, shingle_set, word_list
 from ampliq.llm.mixing import mix, mixed_documents
@@ -328,3 +328,19 @@ def test_bits_of_minima_let_small_sets_through():
             drawn = rng.integers(0, 1 << 64, common + own + other, dtype=np.uint64)
             a, b = (minhash._bits(minhash.minima(s, family)) for s in (drawn[: common + own], np.delete(drawn, slice(common, common + own))))
             assert sum(int(x).bit_count() for x in (a ^ b).view(np.uint64)) <= plan.most_unequal_bits, (common, own, other)
+
+
+def test_mixing_fills_small_sources(spark):
+    rows = [(i, "w " * 2000, "huge") for i in range(300)]
+    for k in range(40):
+        rows.append((1000 + k, "w " * (5 + 7 * k), f"{'az'[k % 2]}{k:02}"))
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), seed=3).collect()
+    taken, target = collections.Counter(), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(target) == 41 and min(target.values()) > 0
+    assert {s: taken[s] for s in target} == {s: math.floor(t + 0.5) for s, t in target.items()}
+    targets = spark.createDataFrame([(i, float(t)) for i, t in enumerate([9.0, 1e6, 20.0, 200.0, 0.2, 63.0])], "nth int, target double")
+    slots = mixing.slots(targets, 64).collect()
+    assert len({r.slot for r in slots}) == len({(r.nth, r.block) for r in slots}) == len(slots)
