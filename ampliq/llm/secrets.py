@@ -41,13 +41,15 @@ CLASSES = (
     CharacterClass(r"^[0-9A-Z]+$", 3.6),
     CharacterClass(r"^[A-Za-z0-9+/_=-]+$", 3.75),
 )
-#: Candidates that are no secrets: words and joined words, dashed or slashed words, ids in canonical form, placeholders.
+#: A word by its letters' case: camel case with at most a short part at the end, or capitals.
+_WORD = r"(?:[A-Z]{0,5}[a-z]++(?:[A-Z][a-z]{2,})*+(?:[A-Z][a-z]?)?|[A-Z]++)"
+#: Candidates that are no secrets: words and joined words, dashed or slashed words, ids in canonical form, and the keys
+#: of documentation, which end in EXAMPLE.  All hold for whole candidates, so a word beside a secret hides nothing.
 ALLOWED = (
-    r"^[^0-9]*$",
-    r"^[A-Za-z]*[0-9]{0,4}$",
+    rf"^{_WORD}?[0-9]{{0,4}}$",
     r"^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$",
-    r"^([A-Za-z]+|[0-9]+)([-_/=+]+([A-Za-z]+|[0-9]+))*[-_/=+]*$",
-    r"(?i)example|placeholder|xxxx|0{8}",
+    rf"^[-_/=+]*+(?:(?:{_WORD}|[0-9]++)(?:[-_/=+]++|$))*+$",
+    r"^[A-Za-z0-9+/]*[A-Za-z0-9]EXAMPLE(KEY)?$",
 )
 
 

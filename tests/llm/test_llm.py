@@ -344,3 +344,25 @@ def test_mixing_fills_small_sources(spark):
     targets = spark.createDataFrame([(i, float(t)) for i, t in enumerate([9.0, 1e6, 20.0, 200.0, 0.2, 63.0])], "nth int, target double")
     slots = mixing.slots(targets, 64).collect()
     assert len({r.slot for r in slots}) == len({(r.nth, r.block) for r in slots}) == len(slots)
+
+
+def test_words_hide_no_secrets(spark):
+    rng = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    zeros = "".join(rng.choices(letters + "0123456789", k=32)) + "00000000"
+    hidden = ["/docs/example/9fQ2mZx81KpLw0sTq7Yv3B", zeros, "QmZxKpLwsTqYvBnHgRfD", "placeholder=/9fQ2mZx81KpLw0sTq7Yv3B"]
+    plain = [
+        "/usr/share/documentation/internationalisation", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "customerOrderReferenceId",
+        "XMLHttpRequestFactoryBuilder", "SOME_LONG_CONSTANT_NAME_2024", "0" * 22, "x" * 40, "=" * 30, "wordAnd" * 5000, "Some/Word-" * 5000,
+    ]
+    df = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(hidden + plain)], "doc_id long, text string")
+    rows = secrets.find_secrets(df).select("doc_id", "spans", secrets.masked(F.col("text"), F.col("spans")).alias("shown")).collect()
+    for r in rows:
+        assert bool(r.spans) == (r.doc_id < len(hidden)), (hidden + plain)[r.doc_id][:60]
+        if r.doc_id in (0, 3):
+            assert "9fQ2mZx81KpLw0sTq7Yv3B" not in r.shown
+    drawn = spark.createDataFrame([("".join(rng.choices(letters, k=20)),) for _ in range(1000)], "text string")
+    allowed = F.lit(False)
+    for pattern in secrets.ALLOWED:
+        allowed = allowed | F.col("text").rlike(pattern)
+    assert drawn.where(allowed).count() < 20
