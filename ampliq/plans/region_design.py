@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import AMPLICON_THRESHOLDS, DESIGN_DEFAULTS
-from ..functions.sequence import bisulfite_convert
+from ..functions.sequence import bisulfite_convert, region_label
 from ..joins import once
 from ..operators.bisulfite import methylation_join
 from ..operators.design import (
@@ -18,11 +18,23 @@ from ..operators.windows import template_window_fetch
 from ..session import cut_lineage
 
 
+def distinct_regions(regions: DataFrame) -> DataFrame:
+    """Each region once; a region_id that stands for several intervals has the interval added (``id chrom:start-end``)."""
+    regions = regions.dropDuplicates(["region_id", "chrom", "start", "end"])
+    place = F.struct("chrom", "start", "end")
+    ids = regions.groupBy("region_id").agg(F.min(place).alias("low"), F.max(place).alias("high"))
+    clashing = ids.where("low < high").select(F.col("region_id").alias("_clashing"))
+    apart = F.concat("region_id", F.lit(" "), region_label(F.col("chrom"), F.col("start"), F.col("end")))
+    marked = regions.join(clashing, F.col("region_id") == F.col("_clashing"), "left")
+    named = F.when(F.col("_clashing").isNotNull(), F.coalesce(apart, "region_id")).otherwise(F.col("region_id"))
+    return marked.withColumn("region_id", named).drop("_clashing")
+
+
 def region_templates(
     regions: DataFrame, tiles: DataFrame, p: dict, methylation: DataFrame | None = None
 ) -> DataFrame:
-    """Templates of all regions that have one, converted where asked for; a repeated region_id comes once."""
-    regions = regions.dropDuplicates(["region_id"])
+    """Templates of all regions that have one, converted where asked for; a repeated region comes once."""
+    regions = distinct_regions(regions)
     if not p["bisulfite"]:
         got = template_window_fetch(regions, tiles, p["max_amplicon_length"])
         got = got.withColumn("reference_template", F.col("template"))
@@ -41,7 +53,7 @@ def region_templates(
 def failed_regions(regions: DataFrame, tiles: DataFrame, params: dict | None = None) -> DataFrame:
     """The regions without a template (region_id, error), which ``region_design`` leaves out."""
     p = {**DESIGN_DEFAULTS, **(params or {})}
-    got = template_window_fetch(regions, tiles, p["max_amplicon_length"])
+    got = template_window_fetch(distinct_regions(regions), tiles, p["max_amplicon_length"])
     return got.filter("error is not null").select("region_id", "error")
 
 

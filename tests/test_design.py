@@ -8,6 +8,7 @@ from ampliq.operators.bisulfite import methylation_join
 from ampliq.operators.design import any_primers, best_pairs, pair_candidates, pair_topn, param_defaults, primer_candidates
 from ampliq.operators.windows import fetch_intervals, subseq_fetch, template_window_fetch
 from ampliq.plans import region_design, score_rank_job
+from ampliq.plans.region_design import failed_regions, region_templates
 from ampliq.sinks import thresholds_table
 from ampliq.sources import contig_tiles, fasta_tile_scan, hit_tsv_scan, region_table_scan
 
@@ -187,3 +188,13 @@ def test_repeated_and_unknown_regions(spark):
         "b": "contig unknown or window behind its end", "d": "contig unknown or window behind its end",
         "e": "window starts before the contig",
     }
+
+
+def test_regions_that_share_an_id_are_kept_apart(spark):
+    seq = dna(400, 3)
+    rows = [("same", "c", 150, 160), ("same", "c", 150, 160), ("same", "c", 200, 215), ("same", "c", 5, 9), ("own", "c", 180, 190), (None, "c", 170, 175)]
+    regions = region_table_scan(spark.createDataFrame(rows, "region_id string, chrom string, start long, end long"))
+    tiles = _tiles(spark, [("c", seq)])
+    got = {r.region_id: (r.start, r.end) for r in region_templates(regions, tiles, DESIGN_DEFAULTS).collect()}
+    assert got == {"same c:150-160": (150, 160), "same c:200-215": (200, 215), "own": (180, 190), "c:170-175": (170, 175)}
+    assert [r.region_id for r in failed_regions(regions, tiles).collect()] == ["same c:5-9"]
