@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ampliq.session import cut_lineage
+
 SALTS = 16
 #: Rows a side may have to be broadcast; at about 100 bytes a row this is some 100 MB.
 BROADCAST_ROWS = 1_000_000
@@ -41,6 +43,34 @@ def salted_lookup(
     return spread.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def counted_lookup(
+    big: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", max_rows: int = BROADCAST_ROWS,
+    heavy_share: float = 0.002, salts: int = 64,
+) -> DataFrame:
+    """Join rows to a table that has a bounded number of rows per key, by what the counts of the keys say.
+
+    A table of at most ``max_rows`` rows is broadcast.  Beyond that the big side's keys are counted: a key that holds
+    more than ``heavy_share`` of the rows (there are fewer than 1 / ``heavy_share`` of them) is dealt over ``salts``
+    partitions and only its rows of the table are repeated; all other keys are joined plainly.  Rows with a null key
+    match nothing and are dealt out as well.  The salt is the number of the input partition, so a task that runs
+    again sends the same rows to the same place, and equal rows are dealt out too.
+    """
+    if fits_broadcast(table, max_rows):
+        return big.join(F.broadcast(table), list(on), how)
+    counts = big.dropna(subset=list(on)).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    least = int(big.count() * heavy_share) + 1
+    heavy = cut_lineage(counts.where(F.col("_n") > least).select(*on, F.lit(True).alias("_heavy")))
+    null_key = F.lit(False)
+    for key in on:
+        null_key = null_key | F.col(key).isNull()
+    place = F.pmod(F.spark_partition_id(), F.lit(salts)).cast("int")
+    left = big.withColumn("_place", place).join(F.broadcast(heavy), list(on), "left")
+    left = left.withColumn("_salt", F.when(F.col("_heavy") | null_key, F.col("_place")).otherwise(0)).drop("_heavy", "_place")
+    copies = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = table.join(F.broadcast(heavy), list(on), "left").withColumn("_salt", F.explode(copies)).drop("_heavy")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add costly columns so that a later filter on them does not make Spark compute them twice.
 
