@@ -106,4 +106,83 @@ select sets.doc_id, len(s)::bigint as n_shingles, component_id, sets.doc_id = co
 from sets join smallest using (doc_id)
 """
 
-SQL = {"op5_mixing": OP5, "op6_topk": OP6, "op8_chat": OP8, "op9_near_duplicates": OP9}
+OP11 = """
+with rows as (
+  select page_id, coalesce(html, '') as body, min(page_id) over (partition by coalesce(html, '')) as first from pages
+), typed as (
+  select *, strlen(body) >= 100 and first is not null and page_id is distinct from first as again from rows
+)
+select page_id, strlen(body)::bigint as payload_bytes, sha256(body) as payload_digest,
+  case when again then 'revisit' else 'response' end as record_type, case when again then first end as refers_to
+from typed
+"""
+
+_ASCII_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP12 = rf"""
+with docs as (
+  select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as d,
+    regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents
+), groups as (
+  select distinct lang, source from docs
+), counts as materialized (
+  select lang, source, term, count(*) as n, count(distinct d) as df
+  from (select lang, source, d, unnest(terms) as term from docs) group by lang, source, term
+), kept as materialized (
+  select lang, term, sum(n)::hugeint as total from counts group by lang, term having sum(df) >= 10
+), langs as (
+  select g.lang, count(term)::hugeint as v, coalesce(sum(total), 0)::hugeint as size from (select distinct lang from groups) g left join kept using (lang) group by g.lang
+), cells as materialized (
+  select g.lang, g.source, k.term, coalesce(c.n, 0)::hugeint as n, k.total
+  from groups g join kept k using (lang) left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term
+), sizes as (
+  select lang, source, sum(n)::hugeint as size from cells group by lang, source
+), shares as materialized (
+  select c.lang, c.source, c.term, c.n, 1 + (1000000000::hugeint * (c.n + 2)) // (s.size + 2 * l.v) as p,
+    1 + (1000000000::hugeint * (c.total + 2)) // (l.size + 2 * l.v) as q
+  from cells c join sizes s using (lang, source) join langs l using (lang)
+), pairs as (
+  select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+  from shares a join shares b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by a.lang, a.source, b.source
+), every_pair as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source
+), terms as (
+  select lang, source, 'term' as part, term as item, (((p - q) * (p - q)) // (p + q))::bigint as value from shares where n > 0 and p > q
+), ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank
+  from (select * from every_pair union all select * from terms)
+)
+select lang, source, part, item, value, rank from ranked where part = 'pair' or rank <= 10
+"""
+
+OP13 = rf"""
+with docs as (
+  select row_number() over () as d, doc_id, regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents
+), asked as (
+  select item_id, term, count(*) as repeats from (
+    select item_id, unnest(regexp_extract_all({_ASCII_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from (select distinct item_id, text from benchmark)
+  ) group by item_id, term
+), facts as (
+  select count(*)::hugeint as docs, sum(len(terms))::hugeint as terms from docs where len(terms) > 0
+), held as materialized (
+  select d, term, count(*)::hugeint as tf from (select d, unnest(terms) as term from docs) semi join asked using (term) group by d, term
+), weights as (
+  select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from held, facts group by term, docs
+), lengths as (
+  select d, doc_id, 75 + (25 * len(docs.terms) * facts.docs) // facts.terms as m from docs, facts
+), scored as (
+  select a.item_id, l.d, l.doc_id, sum(a.repeats * w.w * ((1000000000 * h.tf) // (1000 * h.tf + 12 * l.m)))::bigint as score
+  from asked a join held h using (term) join weights w using (term) join lengths l on l.d = h.d group by a.item_id, l.d, l.doc_id
+), ranked as (
+  select item_id, row_number() over (partition by item_id order by score desc, doc_id nulls last)::int as rank, doc_id, score from scored where score > 0
+)
+select item_id, rank, doc_id, score from ranked where rank <= 20
+"""
+
+SQL = {
+    "op5_mixing": OP5, "op6_topk": OP6, "op8_chat": OP8, "op9_near_duplicates": OP9, "op11_warc": OP11,
+    "op12_divergence": OP12, "op13_search": OP13,
+}

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ampliq.llm.chat import format_chats, masked_text, read_back, unescaped
 from ampliq.llm.common import table, text_of
+from ampliq.llm.divergence import source_divergence
+from ampliq.llm.lexical import ranked_search
 from ampliq.llm.minhash import near_duplicates
 from ampliq.llm.mixing import mix
 from ampliq.llm.oracle import SQL
@@ -17,6 +19,8 @@ from ampliq.llm.simhash import fingerprint_edits
 from ampliq.llm.topk import top_k
 from ampliq.llm.toxicity import score_toxicity, train
 from ampliq.llm.url_filter import Rule, judge_urls
+from ampliq.llm.warc import read_warc, write_warc
+from ampliq.session import scratch_path
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -117,3 +121,23 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = scratch_path(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), archives)
+    return read_warc(spark, archives).select(
+        F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+@query
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+@query
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
