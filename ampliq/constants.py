@@ -76,8 +76,8 @@ AMPLICON_THRESHOLDS = {
     "heterodimer_max_tm": 45.0,
 }
 
-# Settings of the scoring path.  It states sizes only; temperature, GC and the temperature difference
-# are the solver's public defaults.
+# Settings of the scoring path.  It states sizes only; temperature, GC, the temperature difference and the
+# limits of the internal oligo (the probe) are the solver's public defaults.
 SCORING = {
     "opt_length": 22,
     "min_length": 18,
@@ -91,6 +91,14 @@ SCORING = {
     "min_product": 80,
     "max_product": 180,
     "n_pairs": 10,
+    "probe_opt_length": 20,
+    "probe_min_length": 18,
+    "probe_max_length": 27,
+    "probe_opt_tm": 60.0,
+    "probe_min_tm": 57.0,
+    "probe_max_tm": 63.0,
+    "probe_min_gc": 20.0,
+    "probe_max_gc": 80.0,
     "primer_weight": 3,
     "probe_weight": 5,
     "dg_unit": 1000.0,

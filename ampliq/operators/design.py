@@ -13,6 +13,7 @@ from ..functions.sequence import (
 from ..functions.thermo import drop_masks, masked_gc_count, with_base_masks, with_masked_tm, with_melting_temperature
 from ..joins import once, salted_lookup, spread
 from ..session import cut_lineage
+from .stretches import MAX_SUMMED, scored_stretches
 
 
 def param_defaults(requests: DataFrame, defaults: dict | None = None) -> DataFrame:
@@ -98,6 +99,10 @@ def primer_candidates(templates: DataFrame, p: dict, tm_range: tuple[float, floa
     lo, hi = tm_range or (p["primer_min_tm"], p["primer_max_tm"])
     sizes = p["primer_min_length"], p["primer_max_length"]
     limits = p["primer_min_gc"], p["primer_max_gc"]
+    if sizes[1] <= MAX_SUMMED:
+        kept = scored_stretches(
+            templates, ["region_id"], *sizes, (lo, hi), limits, ("target_start_index", "target_end_index"), before_target() | after_target())
+        return _oriented(kept.withColumn("role", F.when(before_target(), "left").otherwise("right")))
     scored = with_tm_gc(_places(templates, *sizes, True), sizes[1], *limits, text="plus")
     kept = oligo_filter(scored, *sizes, lo, hi, *limits)
     return _oriented(kept.withColumn("role", F.when(before_target(), "left").otherwise("right")))

@@ -343,40 +343,118 @@ cte("triple", ["probe", "flank"], f"""
   WHERE r.start+r.len-l.start BETWEEN 80 AND 120 AND abs(l.tm-r.tm)<=2""")
 
 # --- scoring ------------------------------------------------------------------------------------
-candidates("score_all", "template", 18, 30, ["template"], gc=(20, 80))
-cte("score_oligo", ["score_all"], "SELECT region_id, start, len, tm, s, abs(tm-60)+abs(len-22) AS pen FROM score_all WHERE tm BETWEEN 57 AND 63")
+# Whole contigs: sums along each contig, read off ``len`` places further on, give every stretch its steps and its GC.
+cte("score_text", ["contig"], """
+  SELECT chrom, first//128 AS block, first, substr(seq,first+1,128+30) AS t FROM (SELECT chrom, seq, unnest(range(0,length(seq),128)) AS first FROM contig)""")
+cte("score_base", ["score_text"], """
+  SELECT chrom, first+j AS pos, substr(t,(j+1)::BIGINT,1) AS b, substr(t,(j+1)::BIGINT,2) AS d
+  FROM (SELECT *, unnest(range(0,least(128,length(t)))) AS j FROM score_text)""")
 
 
-def score_pairs(limit: str) -> str:
+def _value(values: dict[str, int]) -> str:
+    return "CASE d " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " ELSE 0 END"
+
+
+cte("score_sum", ["score_base"], f"""
+  SELECT *, sum(h) OVER w::BIGINT AS ch, sum(e) OVER w::BIGINT AS ce, sum(g) OVER w::BIGINT AS cg
+  FROM (SELECT chrom, pos, b, {_value(NN_DH)} AS h, {_value(NN_DS)} AS e, (b IN ('G','C'))::INTEGER AS g FROM score_base)
+  WINDOW w AS (PARTITION BY chrom ORDER BY pos ROWS UNBOUNDED PRECEDING)""".replace("OVER w::BIGINT", "OVER w"))
+
+
+def _ahead(name: str, less: int) -> str:
+    return "[" + ",".join(f"lead({name},{n - less}) OVER w" for n in range(18, 31)) + "]"
+
+
+_EDGE = "(CASE WHEN {0} IN ('A','T') THEN {1} ELSE {2} END)"
+_DH = f"(h+{_EDGE.format('b', 23, 1)}+{_EDGE.format('z', 23, 1)})*100.0::DOUBLE"
+
+
+def _melting(symmetry: int, strands: str) -> str:
+    ds = f"(e+{_EDGE.format('b', 41, -28)}+{_EDGE.format('z', 41, -28)}+{symmetry})/10.0::DOUBLE"
+    return f"({_DH}/({ds}+0.368::DOUBLE*(len-1)*({LN_NA})::DOUBLE+1.987::DOUBLE*({strands})::DOUBLE)-273.15::DOUBLE)"
+
+
+cte("score_stretch", ["score_sum"], f"""
+  SELECT chrom, pos AS start, len, {_melting(0, LN_C4)} AS tm, {_melting(-14, LN_C)} AS tm_self FROM (
+    SELECT chrom, pos, b, len, hs[len-17]-ch+h AS h, es[len-17]-ce+e AS e, gs[len-17]-cg+g AS g, zs[len-17] AS z FROM (
+      SELECT *, unnest(range(18,31)) AS len FROM (
+        SELECT *, {_ahead('ch', 2)} AS hs, {_ahead('ce', 2)} AS es, {_ahead('cg', 1)} AS gs, {_ahead('b', 1)} AS zs
+        FROM score_sum WINDOW w AS (PARTITION BY chrom ORDER BY pos)))
+    WHERE zs[len-17] IS NOT NULL)
+  WHERE g*100.0::DOUBLE/len BETWEEN 20 AND 80 AND (tm BETWEEN 57 AND 63 OR tm_self BETWEEN 57 AND 63)""")
+cte("score_oligo", ["score_stretch", "score_text"], f"""
+  SELECT *, abs(tm-60)+abs(len-22) AS pen, abs(tm-60)+abs(len-20) AS cost FROM (
+    SELECT chrom, start, len, s, CASE WHEN s={rc('s')} THEN tm_self ELSE tm END AS tm FROM (
+      SELECT q.*, substr(t,(start-first+1)::BIGINT,len::BIGINT) AS s FROM score_stretch q JOIN score_text x ON x.chrom=q.chrom AND x.block=q.start//128))
+  WHERE tm BETWEEN 57 AND 63""")
+# The cheapest probe of each start, for each length that it may have at most.
+cte("score_probe", ["score_oligo"], """
+  SELECT chrom, start, most, min(struct_pack(cost := round(cost,6), at := start, len := len, s := s)) AS best
+  FROM (SELECT *, unnest(range(len,28)) AS most FROM score_oligo WHERE len<=27) GROUP BY chrom, start, most""")
+
+
+# So many of the best oligos of a contig that ten pairs among them are likely.
+cte("score_some", ["score_oligo", "contig"], """
+  SELECT o.* FROM (SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY pen) AS nth FROM score_oligo) o
+  JOIN (SELECT chrom, 30+length(seq)//20 AS most FROM contig) USING (chrom) WHERE nth<=most""")
+
+
+def score_pairs(source: str, limit: str = "") -> str:
     return f"""
-  SELECT l.region_id, l.start AS l_start, l.len AS l_len, l.s AS l_seq, r.start AS r_start, r.len AS r_len, {rc('r.s')} AS r_seq, l.pen+r.pen AS penalty
-  FROM score_oligo l JOIN score_oligo r ON l.region_id=r.region_id AND l.start+l.len<=r.start
+  SELECT l.chrom, l.start AS l_start, l.len AS l_len, r.start AS r_start, r.len AS r_len, l.pen+r.pen AS penalty
+  FROM (SELECT *, unnest(list_distinct([(start+80)//180,(start+180)//180])) AS zone FROM {source}) l
+  JOIN (SELECT *, (start+len)//180 AS zone FROM {source}) r ON l.chrom=r.chrom AND l.zone=r.zone AND l.start+l.len<=r.start
        AND r.start+r.len-l.start BETWEEN 80 AND 180 {limit}"""
 
 
-# The tenth best pair among good oligos bounds the tenth best of all; a region without ten such pairs has no bound.
-cte("score_bound", ["score_oligo"], f"""
-  SELECT region_id, penalty AS bound FROM (
-    SELECT region_id, penalty, row_number() OVER (PARTITION BY region_id ORDER BY penalty) AS nth FROM ({score_pairs("AND l.pen<=3 AND r.pen<=3")}))
-  WHERE nth=10""")
-cte("score_near", ["score_oligo", "score_bound"], """
-  SELECT o.*, coalesce(bound,1e9::DOUBLE)+0.001 AS bound FROM score_oligo o LEFT JOIN score_bound USING (region_id) WHERE pen<=coalesce(bound,1e9::DOUBLE)+0.001""")
-cte("score_top", ["score_near"], f"""
-  SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY round(penalty,6), l_start, l_len, r_start, r_len) AS rank
-    FROM ({score_pairs("AND l.pen+r.pen<=l.bound").replace("score_oligo", "score_near")})) WHERE rank<=10""")
-cte("score_seq", ["score_top"], "SELECT l_seq AS sequence FROM score_top UNION SELECT r_seq FROM score_top")
-cte("score_seed", ["score_seq"], CTES["seed"][1].replace("pair_oligo", "score_seq"))
-cte("score_hit", ["score_seed", "place", "piece"], hits_for("score_seed"))
-cte("score_off", ["score_seq", "score_hit"], """
-  SELECT o.sequence, greatest(count(h.sequence)-1,0) AS off FROM score_seq o LEFT JOIN score_hit h ON h.sequence=o.sequence GROUP BY o.sequence""")
-stems("homo_s", "SELECT sequence AS x, sequence AS y FROM score_seq", "homodimer", ["score_seq"])
-stems("hair_s", "SELECT sequence AS x, sequence AS y FROM score_seq", "hairpin", ["score_seq"])
-stems("hetero_s", "SELECT l_seq AS x, r_seq AS y FROM score_top", "heterodimer", ["score_top"])
-cte("ranked", ["score_top", "score_off", "homo_s", "hair_s", "hetero_s"], """
-  SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY round(score,6), forward, reverse) AS position FROM (
-    SELECT p.region_id AS job_id, l_seq AS forward, r_seq AS reverse, fo.off AS f_offtarget, ro.off AS r_offtarget,
-           (abs(fd.dg)+abs(fh.dg)+abs(rd.dg)+abs(rh.dg)+abs(x.dg))*1000.0::DOUBLE+3*fo.off+3*ro.off AS score
-    FROM score_top p JOIN score_off fo ON fo.sequence=l_seq JOIN score_off ro ON ro.sequence=r_seq
-    JOIN homo_s fd ON fd.x=l_seq JOIN homo_s rd ON rd.x=r_seq JOIN hair_s fh ON fh.x=l_seq JOIN hair_s rh ON rh.x=r_seq
-    JOIN hetero_s x ON x.x=l_seq AND x.y=r_seq)""")
+def scoring(mode: str) -> None:
+    """Best ten pairs of each contig by penalty (with their cheapest probe), scored and ranked."""
+    p = f"score_{mode}"
+
+    def pairs_of(name: str, source: str, limit: str = "") -> None:
+        """Pairs, in probe mode those with a probe between them: the cheapest of each gap."""
+        cte(f"{name}_all", [source], score_pairs(source, limit))
+        if mode == "primer":
+            cte(name, [f"{name}_all"], f"SELECT *, NULL::VARCHAR AS p_seq FROM {name}_all")
+            return
+        cte(f"{name}_gap", [f"{name}_all", "score_probe"], f"""
+          SELECT g.chrom, a, b, min(best).s AS p_seq FROM (
+            SELECT *, unnest(range(a,b-17)) AS at FROM (SELECT DISTINCT chrom, l_start+l_len AS a, r_start AS b FROM {name}_all)) g
+          JOIN score_probe q ON q.chrom=g.chrom AND q.start=g.at AND q.most=least(27,g.b-g.at) GROUP BY g.chrom, a, b""")
+        cte(name, [f"{name}_all", f"{name}_gap"], f"""
+          SELECT p.*, p_seq FROM {name}_all p JOIN {name}_gap g ON g.chrom=p.chrom AND g.a=p.l_start+p.l_len AND g.b=p.r_start""")
+
+    # Ten pairs among the best oligos bound the tenth best of all; a contig without ten such pairs has no bound.
+    pairs_of(f"{p}_some", "score_some")
+    cte(f"{p}_bound", [f"{p}_some"], f"""
+      SELECT chrom, penalty AS bound FROM (SELECT chrom, penalty, row_number() OVER (PARTITION BY chrom ORDER BY penalty) AS nth FROM {p}_some) WHERE nth=10""")
+    cte(f"{p}_near", ["score_oligo", f"{p}_bound"], f"""
+      SELECT o.*, coalesce(bound,1e9::DOUBLE)+0.001 AS bound FROM score_oligo o LEFT JOIN {p}_bound USING (chrom) WHERE pen<=coalesce(bound,1e9::DOUBLE)+0.001""")
+    pairs_of(f"{p}_pair", f"{p}_near", "AND l.pen+r.pen<=l.bound")
+    cte(f"{p}_best", [f"{p}_pair"], f"""
+      SELECT * FROM (
+        SELECT *, row_number() OVER (PARTITION BY chrom ORDER BY round(penalty,6), l_start, l_len, r_start, r_len) AS rank FROM {p}_pair) WHERE rank<=10""")
+    cte(f"{p}_top", [f"{p}_best", f"{p}_near"], f"""
+      SELECT b.*, l.s AS l_seq, {rc('r.s')} AS r_seq FROM {p}_best b
+      JOIN {p}_near l ON l.chrom=b.chrom AND l.start=l_start AND l.len=l_len JOIN {p}_near r ON r.chrom=b.chrom AND r.start=r_start AND r.len=r_len""")
+    cte(f"{p}_seq", [f"{p}_top"], f"""
+      SELECT l_seq AS sequence FROM {p}_top UNION SELECT r_seq FROM {p}_top UNION SELECT p_seq FROM {p}_top WHERE p_seq IS NOT NULL""")
+    cte(f"{p}_seed", [f"{p}_seq"], CTES["seed"][1].replace("pair_oligo", f"{p}_seq"))
+    cte(f"{p}_hit", [f"{p}_seed", "place", "piece"], hits_for(f"{p}_seed"))
+    cte(f"{p}_off", [f"{p}_seq", f"{p}_hit"], f"""
+      SELECT o.sequence, greatest(count(h.sequence)-1,0) AS off FROM {p}_seq o LEFT JOIN {p}_hit h ON h.sequence=o.sequence GROUP BY o.sequence""")
+    stems(f"homo_{p}", f"SELECT sequence AS x, sequence AS y FROM {p}_seq", "homodimer", [f"{p}_seq"])
+    stems(f"hair_{p}", f"SELECT sequence AS x, sequence AS y FROM {p}_seq", "hairpin", [f"{p}_seq"])
+    stems(f"hetero_{p}", f"SELECT l_seq AS x, r_seq AS y FROM {p}_top", "heterodimer", [f"{p}_top"])
+    cte(f"ranked_{mode}", [f"{p}_top", f"{p}_off", f"homo_{p}", f"hair_{p}", f"hetero_{p}"], f"""
+      SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY round(score,6), forward, reverse, probe NULLS FIRST) AS position FROM (
+        SELECT p.chrom AS job_id, l_seq AS forward, r_seq AS reverse, p_seq AS probe, fo.off AS f_offtarget, ro.off AS r_offtarget,
+               coalesce(po.off,0) AS probe_offtarget,
+               (abs(fd.dg)+abs(fh.dg)+abs(rd.dg)+abs(rh.dg)+abs(x.dg))*1000.0::DOUBLE+3*fo.off+3*ro.off+5*coalesce(po.off,0) AS score
+        FROM {p}_top p JOIN {p}_off fo ON fo.sequence=l_seq JOIN {p}_off ro ON ro.sequence=r_seq LEFT JOIN {p}_off po ON po.sequence=p_seq
+        JOIN homo_{p} fd ON fd.x=l_seq JOIN homo_{p} rd ON rd.x=r_seq JOIN hair_{p} fh ON fh.x=l_seq JOIN hair_{p} rh ON rh.x=r_seq
+        JOIN hetero_{p} x ON x.x=l_seq AND x.y=r_seq)""")
+
+
+for _mode in ("primer", "probe"):
+    scoring(_mode)

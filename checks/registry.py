@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ampliq.constants import AMPLICON_THRESHOLDS, DESIGN_DEFAULTS, QC_REPORT_COLUMNS
+from ampliq.constants import AMPLICON_THRESHOLDS, DESIGN_DEFAULTS, QC_REPORT_COLUMNS, SCORING
 from ampliq.functions import hits as H
 from ampliq.functions import sequence as S
 from ampliq.operators import amplicons as AM
@@ -18,8 +18,9 @@ from ampliq.operators import ranking as R
 from ampliq.operators import search as SE
 from ampliq.operators import structure as ST
 from ampliq.operators.bisulfite import methylation_join
+from ampliq.operators.untargeted import CORE, pieces_of_tiles
 from ampliq.operators.windows import region_windows, subseq_fetch, template_window_fetch
-from ampliq.plans import binding_alignment, design_amplicons, pair_qc, region_design, score_rank_job
+from ampliq.plans import binding_alignment, design_amplicons, pair_qc, region_design, score_rank_pieces
 from ampliq.plans.pair_qc import profile_hits
 from ampliq.plans.region_design import region_templates
 from ampliq.profiles import ALL_FLAGS, STRICT_AMPLICON, QcProfile
@@ -732,22 +733,33 @@ def _(spark, sf):
     return scored.select("pair_id", F.round("score", 4).alias("score"))
 
 
-def _ranked(spark, sf) -> DataFrame:
-    jobs = _templates(spark, sf).select(F.col("region_id").alias("job_id"), "template")
-    return score_rank_job(jobs, D.search_tiles(spark, sf))
+def _ranked(spark, sf, mode: str) -> DataFrame:
+    """Whole contigs as templates, taken from tiles that overlap by the longest product."""
+    pieces = pieces_of_tiles(contig_tiles(D.contigs(spark, sf), tile=CORE, overlap=SCORING["max_product"] - 1))
+    return score_rank_pieces(pieces, D.search_tiles(spark, sf), mode=mode)
 
 
-@query("score_rank", ["ranked"], "SELECT job_id, position, forward, reverse, f_offtarget, r_offtarget, round(score,4) AS score FROM ranked")
+def _named(rows: DataFrame, *more) -> DataFrame:
+    return rows.select("job_id", F.col("position").cast("bigint").alias("position"), "forward", "reverse", *more)
+
+
+@query("score_rank", ["ranked_probe"], """
+  SELECT job_id, position, forward, reverse, probe, f_offtarget, r_offtarget, probe_offtarget, round(score,4) AS score FROM ranked_probe""")
+def _(spark, sf):
+    return _named(_ranked(spark, sf, "probe"), "probe", "f_offtarget", "r_offtarget", "probe_offtarget", F.round("score", 4).alias("score"))
+
+
+@query("score_rank_primer", ["ranked_primer"], "SELECT job_id, position, forward, reverse, f_offtarget, r_offtarget, round(score,4) AS score FROM ranked_primer")
 def _(spark, sf):
-    return _ranked(spark, sf).select("job_id", F.col("position").cast("bigint").alias("position"), "forward", "reverse", "f_offtarget", "r_offtarget", F.round("score", 4).alias("score"))
+    return _named(_ranked(spark, sf, "primer"), "f_offtarget", "r_offtarget", F.round("score", 4).alias("score"))
 
 
-@query("ranked_json_write", ["ranked"], "SELECT job_id, position, forward, reverse, round(score,4) AS score FROM ranked")
+@query("ranked_json_write", ["ranked_probe"], "SELECT job_id, position, forward, reverse, probe, round(score,4) AS score FROM ranked_probe")
 def _(spark, sf):
     path = scratch_path(spark, "ranked")
-    ranked_json_write(_ranked(spark, sf), path)
-    back = spark.read.schema("forward string, reverse string, score double, position int, job_id string").json(path)
-    return back.select("job_id", F.col("position").cast("bigint").alias("position"), "forward", "reverse", F.round("score", 4).alias("score"))
+    ranked_json_write(_ranked(spark, sf, "probe"), path)
+    back = spark.read.schema("forward string, reverse string, probe string, score double, position int, job_id string").json(path)
+    return _named(back, "probe", F.round("score", 4).alias("score"))
 
 
 # --- binding --------------------------------------------------------------------------------------
