@@ -11,8 +11,9 @@ from ..functions.sequence import (
     MAX_CODED, amplicon_sequence, base_digits, count_in, cpg_count, digits_to_code, non_cpg_c_count, revcomp,
 )
 from ..functions.thermo import drop_masks, masked_gc_count, with_base_masks, with_masked_tm, with_melting_temperature
-from ..joins import once, salted_lookup, spread
+from ..joins import counted_lookup, once, salted_lookup, spread
 from ..session import cut_lineage
+from .bounds import Cells, sure_bounds
 from .stretches import MAX_SUMMED, scored_stretches
 
 
@@ -226,42 +227,29 @@ def pair_topn(pairs: DataFrame, n: int, keys: tuple[str, ...] = ("region_id",))
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
 
 
-#: Penalty bounds tried in turn by ``best_pairs`` before everything is considered.
-PENALTY_STEPS = (4.0, 10.0)
-
-
-def best_pairs(templates: DataFrame, make_primers, make_pairs, n: int, opt_tm: float, opt_length: int,
-               steps: tuple[float, ...] = PENALTY_STEPS) -> DataFrame:
-    """The same rows as ``pair_topn`` over all pairs, without making all pairs.
+def bounded_pairs(
+    primers: DataFrame, n: int, min_product: int, max_product: int, max_tm_difference: float, opt_tm: float, opt_length: int,
+) -> DataFrame:
+    """The same rows as ``pair_topn`` over all pairs of targeted regions, without making all pairs.
 
-    A pair's penalty is the sum of its primers' penalties, so a pair within a bound has both primers within
-    it.  A region that has ``n`` pairs within the bound is finished exactly; only the others go on to the
-    next bound, and what is then left is worked out in full.
+    Primers are worked out once and written.  Counts of primers per place, temperature and penalty prove a penalty
+    within which a region has ``n`` pairs; both primers of a pair lie within the pair's penalty, so only those are
+    joined.  Regions in which the counts prove nothing have all their pairs made.
     """
-    done: list[DataFrame] = []
-    rest = templates
-    for bound in (*steps, None):
-        primers = make_primers(rest)
-        if bound is not None:
-            primers = primers.filter(
-                _penalty(F.col("tm"), F.col("len"), F.lit(float(opt_tm)), opt_length) <= bound)
-        pairs = make_pairs(primers)
-        if bound is not None:
-            pairs = pairs.filter(F.col("penalty") <= bound)
-        got = cut_lineage(pair_topn(pairs, n))
-        if bound is None:
-            done.append(got)
-            break
-        # Strictly within: at the bound itself a pair beyond it could tie after rounding.
-        full = got.filter((F.col("rank") == n) & (F.round("penalty", 6) < bound)).select("region_id")
-        done.append(got.join(full, "region_id", "left_semi"))
-        rest = cut_lineage(rest.join(full, "region_id", "left_anti"))
-        if rest.isEmpty():
-            break
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+    cost = _penalty(F.col("tm"), F.col("len"), F.lit(float(opt_tm)), opt_length)
+    primers = cut_lineage(primers.withColumn("cost", cost))
+    step = float(max_tm_difference) or 1.0
+    # Temperatures in one bin differ by less than its width.
+    sides = primers.withColumns({"tm_bin": F.floor(F.col("tm") / step).cast("int"), "end": F.col("start") + F.col("len")})
+    cells, keys = Cells.of(min_product, max_product), ["region_id", "tm_bin"]
+    if max_tm_difference <= 0 or not cells.apart:
+        return pair_topn(pair_candidates(primers, min_product, max_product, max_tm_difference, opt_tm, opt_length), n)
+    bounds = cut_lineage(sure_bounds(
+        sides.filter("role = 'left'"), sides.filter("role = 'right'"), cells, n, ["region_id"], keys, "start", "end", "cost", 1.0, 12))
+    near = counted_lookup(primers, bounds, ["region_id"]).filter("bound is null or cost <= bound + 1e-6").drop("bound")
+    pairs = pair_candidates(near, min_product, max_product, max_tm_difference, opt_tm, opt_length)
+    within = counted_lookup(pairs, bounds, ["region_id"]).filter("bound is null or penalty <= bound + 1e-6").drop("bound")
+    return pair_topn(within, n)
 
 
 def probe_topn(probes: DataFrame, n: int, opt_tm: float, opt_length: int) -> DataFrame:

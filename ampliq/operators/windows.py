@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..joins import BROADCAST_ROWS, fits_broadcast
+from ..session import cut_lineage
 from ..sources.fasta import TILE
+from ..sources.tile_store import TileStore
 
 
 def fetch_intervals(
-    intervals: DataFrame, tiles: DataFrame, keys: list[str], start: str, end: str, out: str = "seq",
+    intervals: DataFrame, tiles: DataFrame | TileStore, keys: list[str], start: str, end: str, out: str = "seq",
     tile: int = TILE, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Add the upper-case reference text of [start, end), 0-based; cut at the contig end.
@@ -18,7 +20,8 @@ def fetch_intervals(
     Each distinct interval is fetched once, however many rows ask for it, and the rows are joined to it by its
     coordinates.  The interval join is an equi-join on (chrom, tile): few intervals are broadcast, so the genome is
     not shuffled; with many, adaptive execution splits tiles that very many of them want.
-    ``keys`` are left as they are; ``tiles`` must have no lead and no overlap.
+    ``keys`` are left as they are; ``tiles`` must have no lead and no overlap.  Of a stored reference only those
+    files are opened that hold tiles of the intervals.
     """
     place = ["chrom", "_s", "_e"]
     asked = intervals.withColumns({"_s": F.col(start).cast("bigint"), "_e": F.col(end).cast("bigint")})
@@ -26,6 +29,9 @@ def fetch_intervals(
     wanted = wanted.select("*", F.explode(
         F.sequence(F.expr(f"int(_s div {tile})"), F.expr(f"int((_e - 1) div {tile})"))
     ).alias("tile"))
+    if isinstance(tiles, TileStore):
+        wanted = cut_lineage(wanted)
+        tiles = tiles.holding(wanted)
     store = tiles.select("chrom", "tile", F.col("seq").alias("_t"))
     few = fits_broadcast(wanted, broadcast_rows)
     met = store.join(F.broadcast(wanted) if few else wanted, ["chrom", "tile"])
@@ -53,7 +59,7 @@ def region_windows(regions: DataFrame, max_amplicon_length: int) -> DataFrame:
 
 
 def template_window_fetch(
-    regions: DataFrame, tiles: DataFrame, max_amplicon_length: int, look_ahead: int = 0, tile: int = TILE
+    regions: DataFrame, tiles: DataFrame | TileStore, max_amplicon_length: int, look_ahead: int = 0, tile: int = TILE
 ) -> DataFrame:
     """Region windows with their template.  A window before the contig start or behind its end, or an
     unknown contig, gives an error and no template.
@@ -74,7 +80,7 @@ def template_window_fetch(
     return got.drop("_fetch_end") if look_ahead else got.drop("_fetch_end", "template_plus")
 
 
-def subseq_fetch(ranges: DataFrame, tiles: DataFrame, keys: list[str], tile: int = TILE) -> DataFrame:
+def subseq_fetch(ranges: DataFrame, tiles: DataFrame | TileStore, keys: list[str], tile: int = TILE) -> DataFrame:
     """Upper-case text of 1-based inclusive ranges (chrom, start, end)."""
     zero = ranges.withColumn("_from", F.col("start") - 1)
     return fetch_intervals(zero, tiles, keys, "_from", "end", "seq", tile).drop("_from")

@@ -10,7 +10,7 @@ from ..functions.sequence import bisulfite_convert, region_label
 from ..joins import once
 from ..operators.bisulfite import methylation_join
 from ..operators.design import (
-    amplicon_row, best_pairs, pair_candidates, pair_topn, primer_candidates, probe_candidates, probe_primer_join, probe_topn,
+    amplicon_row, bounded_pairs, pair_topn, primer_candidates, probe_candidates, probe_primer_join, probe_topn,
 )
 from ..operators.qc import passes_thresholds
 from ..operators.structure import hairpin_screen, heterodimer_screen, homodimer_screen
@@ -61,11 +61,8 @@ def design_amplicons(templates: DataFrame, p: dict) -> DataFrame:
     """Best pairs per region, or per probe when probes are asked for."""
     low, high = p["min_amplicon_length"], p["max_amplicon_length"]
     if p["n_probes"] == 0:
-        return best_pairs(
-            templates, lambda t: primer_candidates(t, p),
-            lambda o: pair_candidates(o, low, high, p["max_tm_difference"], p["primer_opt_tm"], p["primer_opt_length"]),
-            p["n_primers"], p["primer_opt_tm"], p["primer_opt_length"],
-        )
+        return bounded_pairs(
+            primer_candidates(templates, p), p["n_primers"], low, high, p["max_tm_difference"], p["primer_opt_tm"], p["primer_opt_length"])
     probes = probe_topn(probe_candidates(templates, p), p["n_probes"], p["probe_opt_tm"], p["probe_opt_length"])
     # Primers can only be used in the band below the probe limits, so others are not made.
     band = (p["probe_min_tm"] - p["max_primer_probe_tm_diff"], p["probe_max_tm"] - p["min_primer_probe_tm_diff"])

@@ -29,6 +29,7 @@ from ampliq.sinks import design_bundle_write, qc_report_write, ranked_json_write
 from ampliq.sources import (
     bed_record_scan, contig_tiles, fasta_contig_scan, fasta_tile_scan, hit_tsv_scan, pair_tsv_scan, region_table_scan,
 )
+from ampliq.sources.tile_store import TileStore
 
 from . import derived as D
 from .oracle import rc, with_ctes
@@ -486,6 +487,14 @@ def _(spark, sf):
                       F.coalesce("template", F.lit("")).alias("template"), "target_start_index", "target_end_index")
 
 
+@query("tile_store_fetch", ["region_in", "contig"], """
+  SELECT r.chrom, r."start", r."end", substr(seq,("end"-119)::BIGINT,(2*120-("end"-"start"+1)+1)::BIGINT) AS template FROM region_in r JOIN contig USING (chrom)""")
+def _(spark, sf):
+    """Windows read from a stored reference, of which only the files with wanted tiles are opened."""
+    store = TileStore.write(D.genome_tiles(spark, sf), scratch_path(spark, "store"), file_bases=100_000)
+    return template_window_fetch(_regions(spark, sf), store, 120).select("chrom", "start", "end", "template")
+
+
 @query("subseq_fetch", ["contig"], """
   SELECT chrom, md5(substr(seq,2,length(seq)-2)) AS digest FROM contig WHERE length(seq)>2""")
 def _(spark, sf):

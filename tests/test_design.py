@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ampliq.constants import DESIGN_DEFAULTS
 from ampliq.operators.bisulfite import methylation_join
-from ampliq.operators.design import any_primers, best_pairs, pair_candidates, pair_topn, param_defaults, primer_candidates
+from ampliq.operators.design import any_primers, bounded_pairs, pair_candidates, oligo_candidates, pair_topn, param_defaults, primer_candidates, with_tm_gc
 from ampliq.operators.windows import fetch_intervals, subseq_fetch, template_window_fetch
 from ampliq.plans import region_design, score_rank_job
 from ampliq.plans.region_design import failed_regions, region_templates
@@ -77,20 +77,17 @@ def test_fasta_tiles_over_many_splits(spark, contigs, tmp_path, split):
     assert rows == sorted(tuple(r) for r in want.select(*got.columns).collect())
 
 
-def test_best_pairs_equals_all_pairs(spark, contigs, regions):
-    p = DESIGN_DEFAULTS
+@pytest.mark.parametrize("n, difference", [(1, 2.0), (40, 2.0), (400, 0.7), (100_000, 2.0), (5, 0.0)])
+def test_bounded_pairs_equal_all_pairs(spark, contigs, regions, n, difference):
     templates = template_window_fetch(regions, _tiles(spark, contigs), 120).filter("template is not null")
-
-    def pairs(o):
-        return pair_candidates(o, 80, 120)
+    primers = primer_candidates(templates, DESIGN_DEFAULTS)
 
     def rows(df):
         return sorted((r.region_id, r.rank, r.l_seq, r.r_seq) for r in df.collect())
 
-    whole = rows(pair_topn(pairs(primer_candidates(templates, p)), 40))
-    assert whole
-    for steps in ((0.5, 2.0), (3.0, 8.0), ()):
-        assert rows(best_pairs(templates, lambda t: primer_candidates(t, p), pairs, 40, 60.0, 25, steps)) == whole
+    whole = rows(pair_topn(pair_candidates(primers, 80, 120, difference), n))
+    assert whole or not difference
+    assert rows(bounded_pairs(primers, n, 80, 120, difference, 60.0, 25)) == whole
 
 
 def test_pairs_by_brute_force(spark, contigs):
@@ -198,3 +195,18 @@ def test_regions_that_share_an_id_are_kept_apart(spark):
     got = {r.region_id: (r.start, r.end) for r in region_templates(regions, tiles, DESIGN_DEFAULTS).collect()}
     assert got == {"same c:150-160": (150, 160), "same c:200-215": (200, 215), "own": (180, 190), "c:170-175": (170, 175)}
     assert [r.region_id for r in failed_regions(regions, tiles).collect()] == ["same c:5-9"]
+
+
+def test_primers_by_sums_equal_primers_one_by_one(spark, contigs):
+    """Sums along the template give what each oligo gives by itself, to the last bit, unclear letters and palindromes included."""
+    texts = [contigs[0][1][:400], "ACGT" * 30, "AC" * 20 + "NNACGTRY" + dna(90, 3) + "n" + dna(40, 4).lower() + dna(60, 5), "GAATTC" * 12, "A", ""]
+    rows = [(f"r{i}", t, 60, 75) for i, t in enumerate(texts)]
+    templates = spark.createDataFrame(rows, "region_id string, template string, target_start_index int, target_end_index int")
+    p = {**DESIGN_DEFAULTS, "primer_min_length": 18, "primer_min_tm": 20.0, "primer_max_tm": 90.0, "primer_min_gc": 0.0, "primer_max_gc": 100.0}
+    got = {(r.region_id, r.role, r.start, r.len): (r.sequence, r.gc, r.tm) for r in primer_candidates(templates, p).collect()}
+    oligos = with_tm_gc(oligo_candidates(templates, 18, 30), 30)
+    want = {
+        (r.region_id, r.role, r.start, r.len): (r.sequence, r.gc, r.tm) for r in oligos.collect()
+        if (r.start + r.len <= 60 if r.role == "left" else r.start >= 76) and 20 <= r.tm <= 90
+    }
+    assert want and got == want
