@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import bisulfite_convert
-from ..joins import salted_lookup
+from ..joins import counted_lookup
+from ..session import cut_lineage
 
 
 def methylation_join(
@@ -25,7 +26,7 @@ def methylation_join(
     sites = sites.select(key, "chrom", "i", (F.col("window_start") + F.col("i") - 1).alias("pos"))
     stated = pattern.groupBy("chrom", "pos").agg(F.max("methylated").alias("methylated"))
     against = stated.filter(F.col("methylated") != F.lit(cpg_default == "methyl"))
-    changed = salted_lookup(sites, against, ["chrom", "pos"], "inner").groupBy(key).agg(
+    changed = counted_lookup(sites, cut_lineage(against), ["chrom", "pos"], "inner").groupBy(key).agg(
         F.collect_list(F.struct("i", F.when(F.col("methylated"), "C").otherwise("T").alias("base"))).alias("_changes")
     )
     joined = windows.join(changed, key, "left")

@@ -11,7 +11,7 @@ from ..functions.sequence import (
     MAX_CODED, amplicon_sequence, base_digits, count_in, cpg_count, digits_to_code, non_cpg_c_count, revcomp,
 )
 from ..functions.thermo import drop_masks, masked_gc_count, with_base_masks, with_masked_tm, with_melting_temperature
-from ..joins import counted_lookup, once, salted_lookup, spread
+from ..joins import counted_lookup, once, spread
 from ..session import cut_lineage
 from .bounds import Cells, sure_bounds
 from .stretches import MAX_SUMMED, scored_stretches
@@ -325,10 +325,11 @@ def amplicon_row(
 def with_structures(wide: DataFrame, catalog: DataFrame, has_probe: bool) -> DataFrame:
     """Add hairpin and homodimer records of each oligo from a catalog of distinct oligos."""
     names = [c for c in catalog.columns if c.startswith(("hairpin", "homodimer"))]
+    catalog = cut_lineage(catalog)
     for side in ("forward", "reverse", *(["probe"] if has_probe else [])):
         table = catalog.select(
             F.col("sequence").alias(f"{side}_sequence"), *[F.col(c).alias(f"{side}_{c}") for c in names])
-        wide = salted_lookup(wide, table, [f"{side}_sequence"])
+        wide = counted_lookup(wide, table, [f"{side}_sequence"])
     return wide
 
 

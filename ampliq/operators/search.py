@@ -10,7 +10,7 @@ from ..functions.sequence import (
     MAX_CODED, PAIR_BITS, ambiguity_code, ambiguity_digits, base_code, base_digits, digits_to_code,
     low_mask, mismatch_bits, revcomp, shl, shr,
 )
-from ..joins import BROADCAST_ROWS, SALTS, once, salted_lookup
+from ..joins import BROADCAST_ROWS, SALTS, counted_lookup, once
 
 WORD = 8
 
@@ -30,16 +30,14 @@ def oligo_seeds(oligos: DataFrame, word: int = WORD) -> DataFrame:
 
 def _check_reach(tiles: DataFrame, before: int, behind: int) -> None:
     """Raise unless every tile holds that many bases on both sides of its core, or all there are in its contig."""
-    ends = tiles.select(
-        "chrom", "tile_start", "lead", (F.col("tile_start") + F.col("core_len")).alias("core_end"),
-        (F.length("seq") - F.col("lead") - F.col("core_len")).alias("overlap"),
+    core_end = F.col("tile_start") + F.col("core_len")
+    seen = core_end + F.length("seq") - F.col("lead") - F.col("core_len")
+    # One row per contig: where it ends, and the least end of a tile that sees less than it should.
+    contig = tiles.groupBy("chrom").agg(
+        F.max(core_end).alias("end"), F.min(F.when(seen < core_end + behind, seen)).alias("seen"),
+        F.max(F.col("lead") < F.least(F.col("tile_start"), F.lit(before))).alias("short"),
     )
-    contig = ends.groupBy("chrom").agg(F.max("core_end").alias("contig_end"))
-    short = ends.join(contig, "chrom").filter(
-        (F.col("lead") < F.least(F.col("tile_start"), F.lit(before)))
-        | (F.col("overlap") < F.least(F.col("contig_end") - F.col("core_end"), F.lit(behind)))
-    )
-    if short.take(1):
+    if contig.filter("short or seen < end").take(1):
         raise ValueError(f"tiles need lead {before} and overlap {behind} for these oligos")
 
 
@@ -177,14 +175,22 @@ def hit_filter(hits: DataFrame, min_identity: float, min_length: int) -> DataFra
 
 
 def hit_cap(hits: DataFrame, limit: int = 200, key: tuple[str, ...] = ("sequence",)) -> DataFrame:
-    """At most ``limit`` alignments per oligo, best first.  Spark drops the rest before the shuffle."""
-    order = W.partitionBy(*key).orderBy(F.desc("pident"), "chrom", "start", "strand")
-    return hits.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= limit).drop("_rank")
+    """At most ``limit`` alignments per oligo, best first.
+
+    An oligo's hits are first ranked in ``SALTS`` parts by place and cut there, so that the last ranking meets at most
+    ``SALTS * limit`` rows of an oligo, however many places a repeat has.
+    """
+    order = [F.desc("pident"), "chrom", "start", "strand"]
+    part = F.pmod(F.xxhash64("chrom", "start"), F.lit(SALTS))
+    for parts in ([part], []):
+        rank = F.row_number().over(W.partitionBy(*key, *parts).orderBy(*order))
+        hits = hits.withColumn("_rank", rank).filter(F.col("_rank") <= limit).drop("_rank")
+    return hits
 
 
 def known_query_semi(hits: DataFrame, oligos: DataFrame, key: str = "sequence") -> DataFrame:
     """Hits whose query is one of the oligos."""
-    return salted_lookup(hits, oligos.select(key).distinct(), [key], "left_semi")
+    return counted_lookup(hits, oligos.select(key).distinct(), [key], "left_semi")
 
 
 def hit_counts(hits: DataFrame, oligos: DataFrame, key: str = "sequence") -> DataFrame:

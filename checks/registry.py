@@ -25,7 +25,7 @@ from ampliq.plans.pair_qc import profile_hits
 from ampliq.plans.region_design import region_templates
 from ampliq.profiles import ALL_FLAGS, STRICT_AMPLICON, QcProfile
 from ampliq.session import cut_lineage, scratch_path
-from ampliq.sinks import design_bundle_write, qc_report_write, ranked_json_write
+from ampliq.sinks import design_bundle_write, qc_report_write, ranked_json_read, ranked_json_write
 from ampliq.sources import (
     bed_record_scan, contig_tiles, fasta_contig_scan, fasta_tile_scan, hit_tsv_scan, pair_tsv_scan, region_table_scan,
 )
@@ -767,7 +767,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_path(spark, "ranked")
     ranked_json_write(_ranked(spark, sf, "probe"), path)
-    back = spark.read.schema("forward string, reverse string, probe string, score double, position int, job_id string").json(path)
+    back = ranked_json_read(spark, path, "job_id string, position int, forward string, reverse string, probe string, score double")
     return _named(back, "probe", F.round("score", 4).alias("score"))
 
 
