@@ -147,7 +147,7 @@ def block_rows(counts: pd.DataFrame, groups: pd.DataFrame, low: int, high: int,
 
 
 def source_divergence(
-    docs: DataFrame, least_docs: int = 10, top: int = 10, block_postings: int = 500_000, group_rows: int = 1_024
+    docs: DataFrame, least_docs: int = 10, top: int = 10, block_postings: int = 50_000, group_rows: int = 1_024
 ) -> DataFrame:
     """Per source of a language the distance to each other source, and the terms that it uses more than the language
     does: lang, source, part (``pair`` or ``term``), item, value, rank.
