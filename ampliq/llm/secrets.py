@@ -23,6 +23,10 @@ KINDS = ["assign", "access", "hex", "entropy"]
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Counts times their logarithm, in millionths, so that sums are whole numbers.
 _MILLION = 1_000_000
+#: Windows of a candidate that are judged together.
+_PIECE = 1024
+#: A count of 0 is written as this character code.
+_RAISED = 32
 
 
 @dataclass(frozen=True)
@@ -93,42 +97,76 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(_as_kind(assign, "assign"), _as_kind(access, "access"), _as_kind(runs, "hex")))
 
 
-def high_entropy(string: Column, least_bits: Column, window: int) -> Column:
-    """Stretches of a string whose windows all have at least so many bits a character: array of (start, end).
+def _stretches(data: Column, begin: Column, most: Column, window: int) -> Column:
+    """Stretches within one piece of a candidate; ``begin`` is the piece's place, ``most`` the largest sum a secret has.
 
-    The window slides by one character at a time; only the counts of the entering and the leaving character change,
-    and with them the sum of count * log2(count).
+    The counts of the window's characters are carried from place to place in a string: the character at place c tells
+    the count of the character with code c, raised by ``_RAISED``.  A step changes the counts of the entering and the
+    leaving character only, and with them the sum of count * log2(count).
     """
     weights = [round(c * math.log2(c) * _MILLION) if c else 0 for c in range(window + 2)]
-    weigh = lambda count: F.get(F.lit(weights), count)
-    most = ((math.log2(window) - least_bits) * window * _MILLION).cast("long")
+    gains = F.lit([after - before for before, after in zip(weights, weights[1:])])
+    code = lambda i: F.ascii(F.substr(data, i + 1, F.lit(1)).cast("string")) + 1
+    last = F.length(data)
+    # One step more than characters: a step judges the window that ended before it.
+    places = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(
+        i.alias("i"), F.when(i < last, code(i)).alias("enters"), F.when(i >= window, code(i - window)).alias("leaves"),
+    ))
 
-    def step(acc: Column, i: Column) -> Column:
-        # The window so far, from `left` to the character before i; the one at i enters.
-        left = F.greatest(i - window, F.lit(0))
-        leaves = i >= window
-        held = F.substr(string, left + 1, i - left)
-        leaving = F.substr(string, left + 1, F.lit(1))
-        count = F.length(held) - F.length(F.replace(held, leaving, F.lit("")))
-        rest = F.when(leaves, acc["sum"] - weigh(count) + weigh(count - 1)).otherwise(acc["sum"])
-        kept = F.when(leaves, F.substr(held, F.lit(2))).otherwise(held)
-        entering = F.substr(string, i + 1, F.lit(1))
-        before = F.length(kept) - F.length(F.replace(kept, entering, F.lit("")))
-        total = rest - weigh(before) + weigh(before + 1)
-        flagged = (i >= window - 1) & (total <= most)
-        start, last = i - window + 1, F.element_at(acc["spans"], -1)
-        joins = (F.size(acc["spans"]) > 0) & (F.get(acc["spans"], F.size(acc["spans"]) - 1)["end"] >= start)
-        longer = F.concat(
-            F.slice(acc["spans"], 1, F.greatest(F.size(acc["spans"]) - 1, F.lit(0))),
-            F.array(F.struct(last["start"].alias("start"), (i + 1).alias("end"))),
+    def step(acc: Column, x: Column) -> Column:
+        count = lambda c: F.ascii(F.substr(acc["counts"], c, F.lit(1))) - _RAISED
+        leaves = x["leaves"].isNotNull()
+        same = F.coalesce(x["leaves"] == x["enters"], F.lit(False))
+        less = F.when(leaves, F.get(gains, count(x["leaves"]) - 1)).otherwise(F.lit(0))
+        more = F.get(gains, count(x["enters"]) - same.cast("int"))
+        without = F.overlay(acc["counts"], F.char(count(x["leaves"]) - 1 + _RAISED), x["leaves"], F.lit(1))
+        rest = F.when(leaves, without).otherwise(acc["counts"])
+        counts = F.when(same, acc["counts"]).otherwise(
+            F.overlay(rest, F.char(count(x["enters"]) + 1 + _RAISED), x["enters"], F.lit(1))
         )
-        spans = F.when(~flagged, acc["spans"]).when(joins, longer).otherwise(
-            F.array_append(acc["spans"], F.struct(start.alias("start"), (i + 1).alias("end")))
+        flagged = leaves & (acc["sum"] <= most)
+        opens = flagged & (acc["to"] < x["i"] - window)
+        return F.struct(
+            (acc["sum"] - less + more).cast("long").alias("sum"), counts.alias("counts"),
+            F.when(opens, x["i"] - window).otherwise(acc["from"]).alias("from"),
+            F.when(flagged, x["i"]).otherwise(acc["to"]).alias("to"),
+            F.when(opens, closed(acc)).otherwise(acc["spans"]).alias("spans"),
         )
-        return F.struct(total.cast("long").alias("sum"), spans.alias("spans"))
 
-    begin = F.struct(F.lit(0).cast("long").alias("sum"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"))
-    return F.aggregate(F.sequence(F.lit(0), F.length(string) - 1), begin, step, lambda acc: acc["spans"])
+    def closed(acc: Column) -> Column:
+        span = F.struct((begin + acc["from"]).alias("start"), (begin + acc["to"]).alias("end"))
+        return F.when(acc["to"] >= 0, F.array_append(acc["spans"], span)).otherwise(acc["spans"])
+
+    start = F.struct(
+        F.lit(0).cast("long").alias("sum"), F.lit(chr(_RAISED) * 128).alias("counts"), F.lit(-1).alias("from"),
+        F.lit(-1).alias("to"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("spans"),
+    )
+    return F.aggregate(places, start, step, closed)
+
+
+def high_entropy(string: Column, least_bits: Column, window: int) -> Column:
+    """Stretches of an ASCII string whose windows all have at least so many bits a character: array of (start, end).
+
+    The window slides by one character at a time.  The string is cut into pieces that overlap by one character less
+    than the window, so each window lies in one piece and the work grows with the length; touching stretches of
+    neighbouring pieces are one.  The threshold is worked out once per string.  ``window`` is at most 200.
+    """
+    most = ((math.log2(window) - least_bits) * window * _MILLION).cast("long")
+    given = F.array(F.struct(string.cast("binary").alias("data"), most.alias("most")))
+
+    def whole(c: Column) -> Column:
+        begins = F.sequence(F.lit(0), F.greatest(F.length(c["data"]) - window, F.lit(0)), F.lit(_PIECE))
+        return F.flatten(F.transform(begins, lambda begin: _stretches(
+            F.substr(c["data"], begin + 1, F.lit(_PIECE + window - 1)), begin, c["most"], window
+        )))
+
+    def joined(spans: Column) -> Column:
+        first = F.filter(spans, lambda s, i: (i == 0) | (F.get(spans, F.greatest(i - 1, F.lit(0)))["end"] < s["start"]))
+        final = F.filter(spans, lambda s, i: F.coalesce(F.get(spans, i + 1)["start"] > s["end"], F.lit(True)))
+        return F.zip_with(first, final, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end")))
+
+    # A one-element array binds what a lambda uses many times, so that it is worked out once.
+    return F.flatten(F.transform(F.transform(given, whole), joined))
 
 
 def entropy_spans(
@@ -153,8 +191,9 @@ def entropy_spans(
 def find_secrets(docs: DataFrame, text: str = "text", window: int = 20) -> DataFrame:
     """Every row with ``base`` and ``spans``: sorted arrays of (start, kind, end), kind as a place in ``KINDS``.
 
-    Whole texts are scanned, each row on its own.  ``spans`` holds all of ``base`` and those entropy stretches
-    that no base span covers.  Null and empty texts have no spans; repeated rows are scanned each; input columns
+    Whole texts are scanned, each row on its own, in time that grows with their length, also where a text is one
+    unbroken run.  ``spans`` holds all of ``base`` and those entropy stretches that no base span covers.  Null and
+    empty texts have no spans; repeated rows are scanned each; an empty table gives an empty result; input columns
     named ``base`` or ``spans`` are replaced.
     """
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), text_of(docs[text]).alias("text"))
