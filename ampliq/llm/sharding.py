@@ -9,8 +9,10 @@ from pyspark.sql.types import LongType
 from ampliq.llm.common import with_columns
 from ampliq.session import cut_lineage
 
-#: Beyond this many rows numpy cannot draw exactly; a rounded normal draw within the same bounds takes over.
-_EXACT_DRAW = 1_000_000_000
+#: Numpy draws from urns of fewer balls than this.
+_NUMPY_URN = 1_000_000_000
+#: Samples of at most this size are drawn ball by ball from larger urns.
+_FEW = 64
 #: Entries of the communication matrix that may be broadcast (16 bytes each).
 _BROADCAST_ENTRIES = 2_000_000
 #: Slots of a shard that are laid down together.
@@ -18,12 +20,25 @@ _RUN = 1024
 
 
 def _draw(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
-    if good + bad < _EXACT_DRAW:
-        return int(rng.hypergeometric(good, bad, sample)) if good + bad else 0
-    share, total = good / (good + bad), good + bad
-    spread = (sample * share * (1 - share) * (total - sample) / max(total - 1, 1)) ** 0.5
-    drawn = round(rng.normal(sample * share, spread))
-    return min(max(drawn, 0, sample - bad), good, sample)
+    """How many of ``sample`` balls drawn without replacement are good; exact for urns of any size.
+
+    Beyond numpy's limit every ball is first taken with the same chance, independently: two binomial draws.  Such a
+    subset is uniform among those of its size.  What it holds too much, about the root of the sample, is taken out of
+    it again, or what it lacks is taken from the others; both are the same question with a much smaller sample.
+    """
+    if not sample or not good:
+        return 0
+    if good + bad < _NUMPY_URN:
+        return int(rng.hypergeometric(good, bad, sample))
+    if sample <= _FEW:
+        drawn = 0
+        for taken in range(sample):
+            drawn += int(rng.integers(good + bad - taken) < good - drawn)
+        return drawn
+    share = sample / (good + bad)
+    a, b = int(rng.binomial(good, share)), int(rng.binomial(bad, share))
+    over = a + b - sample
+    return a - _draw(rng, a, b, over) if over > 0 else a + _draw(rng, good - a, bad - b, -over)
 
 
 def communication_matrix(counts: list[int], n_shards: int, seed: int) -> list[list[int]]:

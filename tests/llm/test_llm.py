@@ -5,13 +5,14 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ampliq.llm import minhash, mixing, secrets, toxicity
+from ampliq.llm import minhash, mixing, secrets, sharding, toxicity
 from ampliq.llm.chat import format_chats, masked_text, read_back, unescaped
 from ampliq.llm.minhash import MinHashPlan, components, deduplicated, near_duplicates, shingle_set, word_list
 from ampliq.llm.mixing import mix, mixed_documents
@@ -51,6 +52,26 @@ def test_matrix_margins():
         assert sorted(got) == list(range(size))
 
 
+def test_matrix_beyond_a_thousand_million_rows(monkeypatch):
+    counts = [2_500_000_000, 7, 0, 900_000_000_001]
+    matrix = communication_matrix(counts, 5, 1)
+    assert [sum(r) for r in matrix] == counts
+    sizes = list(map(sum, zip(*matrix)))
+    assert sum(sizes) == sum(counts) and max(sizes) - min(sizes) <= 1
+    # With the limit at one ball all draws take the long way; they must follow the law of the urn.
+    monkeypatch.setattr(sharding, "_NUMPY_URN", 1)
+    rng, rounds = np.random.default_rng(2), 40_000
+    for few, (good, bad, sample) in [(0, (9, 6, 7)), (2, (9, 6, 7)), (0, (3, 12, 13)), (4, (40, 60, 50))]:
+        monkeypatch.setattr(sharding, "_FEW", few)
+        drawn = collections.Counter(sharding._draw(rng, good, bad, sample) for _ in range(rounds))
+        for k in range(good + 1):
+            chance = math.comb(good, k) * math.comb(bad, sample - k) / math.comb(good + bad, sample) if k <= sample else 0
+            assert abs(drawn[k] - rounds * chance) <= 5 * math.sqrt(rounds * chance * (1 - chance)) + 1e-9
+    large = [sharding._draw(rng, 10**12, 10**12, 10**11) for _ in range(2000)]
+    spread = math.sqrt(10**11 / 4 * 0.95)
+    assert abs(np.mean(large) - 5 * 10**10) < 5 * spread / math.sqrt(2000) and abs(np.std(large) / spread - 1) < 0.1
+
+
 def test_shards(spark, odd):
     rows = hypergeometric_shards(odd, 4, seed=1).collect()
     assert len(rows) == odd.count()
@@ -233,6 +254,48 @@ def _plain_base(text):
     return sorted(spans)
 
 
+def _entropy(spark, strings, least=3.75):
+    df = spark.createDataFrame(list(enumerate(strings)), "i int, s string").repartition(4)
+    rows = df.select("i", secrets.high_entropy(F.col("s"), F.lit(least), 20).alias("spans")).collect()
+    return [[tuple(x) for x in r.spans] for r in sorted(rows)]
+
+
+def _plain_entropy(s, least):
+    want = []
+    for i in range(len(s) - 19):
+        counts = collections.Counter(s[i : i + 20]).values()
+        if -sum(c / 20 * math.log2(c / 20) for c in counts) >= least - 1e-7:
+            if want and want[-1][1] >= i:
+                want[-1] = (want[-1][0], i + 20)
+            else:
+                want.append((i, i + 20))
+    return want
+
+
+def test_entropy_equals_brute_force(spark):
+    rng, strings = random.Random(12), ["", "a", "x" * 19, "x" * 20, "abcdefghijklmnopqrst"]
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+    for n in [20, 21, 39, 60, 200, 1042, 1043, 1044, 1045, 2066, 2067, 2068, 2069, 5000] * 3:
+        parts = []
+        while sum(map(len, parts)) < n:  # lively and dull parts in turn
+            parts.append("".join(rng.choices(alphabet[: rng.choice([2, 6, 12, 20, 67])], k=rng.randrange(1, 90))))
+        strings.append("".join(parts)[:n])
+    for least in (2.9, 3.6, 3.75):
+        want = [_plain_entropy(s, least) for s in strings]
+        assert _entropy(spark, strings, least) == want and sum(map(len, want)) > 50
+
+
+def test_one_unbroken_run_of_a_million_characters(spark):
+    rng = random.Random(13)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    run = "".join(rng.choices(alphabet, k=1_000_000))
+    df = spark.createDataFrame([(1, "see " + run), (2, "w" * 1_000_000)], "doc_id long, text string")
+    began = time.time()
+    found = {r.doc_id: [(s.start - 4, s.end - 4) for s in r.spans if s.kind == 3] for r in secrets.find_secrets(df).collect()}
+    assert time.time() - began < 120  # it takes seconds; work by the square of the length would take days
+    assert found == {1: _plain_entropy(run, 3.75), 2: []}
+
+
 def test_secrets(spark, odd):
     rng = random.Random(8)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -251,18 +314,7 @@ def test_secrets(spark, odd):
             assert more[0][0] >= r.text.index(key) and key not in r.hidden
         if not r.spans:
             assert r.hidden == r.text
-    stretch = spark.createDataFrame([(key,), ("ab" * 30,)], "s string")
-    got = [[tuple(x) for x in r[0]] for r in stretch.select(secrets.high_entropy(F.col("s"), F.lit(3.75), 20)).collect()]
-    for s, spans in zip((key, "ab" * 30), got):
-        want = []
-        for i in range(len(s) - 19):
-            counts = collections.Counter(s[i : i + 20]).values()
-            if -sum(c / 20 * math.log2(c / 20) for c in counts) >= 3.75:
-                if want and want[-1][1] >= i:
-                    want[-1] = (want[-1][0], i + 20)
-                else:
-                    want.append((i, i + 20))
-        assert spans == want
+    assert _entropy(spark, [key, "ab" * 30]) == [_plain_entropy(s, 3.75) for s in (key, "ab" * 30)]
     assert secrets.find_secrets(odd).count() == 11 and secrets.find_secrets(_none(odd)).count() == 0
     assert secrets.masked_documents(odd).columns == odd.columns
 
