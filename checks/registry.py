@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ampliq.constants import AMPLICON_THRESHOLDS, DESIGN_DEFAULTS, QC_REPORT_COLUMNS, SCORING
 from ampliq.functions import hits as H
 from ampliq.functions import sequence as S
+from ampliq.joins import counted_lookup
 from ampliq.operators import amplicons as AM
 from ampliq.operators import binding as B
 from ampliq.operators import design as DS
@@ -416,6 +417,23 @@ def _(spark, sf):
         F.coalesce("min_size", F.lit(-1)).alias("min_size"), "info")
 
 
+@query("external_pair_qc", ["flag_strict"], f"""
+  SELECT pair_id, f_hits, r_hits, amplicons, coalesce(min_size,-1) AS min_size, info, {', '.join(_FLAGS)}, final_result FROM flag_strict""")
+def _(spark, sf):
+    """The hits go out as an external search writes them, one line per pair and primer, and come back by name."""
+    pairs = D.pairs(spark, sf)
+    # Such a search caps the alignments of each query; the limits are applied by whoever reads them.
+    hits = cut_lineage(SE.hit_cap(_hits(spark, sf), STRICT_AMPLICON.max_alignments))
+    named = pairs.select(F.inline(F.array(*[
+        F.struct(F.col(f"{p}_name").alias("qseqid"), F.col(f"{p}_seq").alias("sequence")) for p in "fr"])))
+    columns = ["qseqid", "chrom", "pident", "length", "mismatch", F.lit(0), "qstart", "qend", "sstart", "send",
+               F.lit("0.01"), F.lit("30.2"), "qseq", "sseq"]
+    path = scratch_path(spark, "external")
+    counted_lookup(named, hits, ["sequence"], "inner").select(F.concat_ws("\t", *columns).alias("value")).write.text(path)
+    return pair_qc(pairs, None, STRICT_AMPLICON, hits=hit_tsv_scan(spark, path)).results.select(
+        "pair_id", "f_hits", "r_hits", "amplicons", F.coalesce("min_size", F.lit(-1)).alias("min_size"), "info", *_FLAGS, "final_result")
+
+
 @query("qc_flags", ["flag_strict"], f"SELECT pair_id, {', '.join(_FLAGS)} FROM flag_strict")
 def _(spark, sf):
     return _qc(spark, sf, STRICT_AMPLICON).select("pair_id", *_FLAGS)
