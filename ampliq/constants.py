@@ -35,6 +35,13 @@ MONOVALENT_MM = 50.0
 DIVALENT_MM = 1.5
 DNTP_MM = 0.6
 DNA_NM = 50.0
+# Names of these conditions in records.
+REACTION_CONDITIONS = {
+    "salt_monovalent_conc": MONOVALENT_MM,
+    "salt_divalent_conc": DIVALENT_MM,
+    "dntp_conc": DNTP_MM,
+    "dna_conc": DNA_NM,
+}
 
 # Design defaults.
 DESIGN_DEFAULTS = {

@@ -69,20 +69,35 @@ def terminal_sums(seq: str) -> tuple[Column, Column]:
 
 def _tm_text(
     seq: str, dh: str, ds: str, itself: str, ends: list[str], mono: float = MONOVALENT_MM, div: float = DIVALENT_MM,
-    dntp: float = DNTP_MM, dna_nm: float = DNA_NM,
+    dntp: float = DNTP_MM, dna_nm: float = DNA_NM, logs: tuple[str, str, str] | None = None,
 ) -> str:
+    """``logs`` names the logarithms of salt, strands and a quarter of the strands, where they differ by row."""
     molar = dna_nm * 1e-9
-    salt = math.log(sodium_molar(mono, div, dntp))
+    salt, all_strands, quarter = logs or tuple(
+        _double(math.log(x)) for x in (sodium_molar(mono, div, dntp), molar, molar / 4.0)
+    )
     entropy = (
         f"({ds} + {ends[1]} + if({itself}, {SYMMETRY_DS}, 0)) / 10.0D"
-        f" + {_double(SALT_FACTOR)} * (length({seq}) - 1) * {_double(salt)}"
-        f" + {_double(GAS_CONSTANT)} * if({itself}, {_double(math.log(molar))}, {_double(math.log(molar / 4.0))})"
+        f" + {_double(SALT_FACTOR)} * (length({seq}) - 1) * {salt}"
+        f" + {_double(GAS_CONSTANT)} * if({itself}, {all_strands}, {quarter})"
     )
     return f"if(length({seq}) >= 2, ({dh} + {ends[0]}) * 100.0D / ({entropy}) - {_double(KELVIN)}, null)"
 
 
+def condition_logs(mono: str, div: str, dntp: str, dna: str) -> dict[str, Column]:
+    """Logarithms that stand for a row's reaction conditions (columns in mM and nM); null where the mixture has none."""
+    salt = f"({mono} + 120.0D * sqrt(greatest(0.0D, {div} - {dntp}))) / 1000.0D"
+    return {
+        "salt_ln": F.expr(f"ln({salt})"), "dna_ln": F.expr(f"ln({dna} * 1e-9D)"),
+        "dna4_ln": F.expr(f"ln({dna} * 1e-9D / 4.0D)"),
+    }
+
+
 def with_melting_temperature(df: DataFrame, seq: str, **conditions: float) -> DataFrame:
-    """Add ``tm``, the duplex melting temperature of any oligo in Celsius; null for fewer than two bases."""
+    """Add ``tm``, the duplex melting temperature of any oligo in Celsius; null for fewer than two bases.
+
+    Conditions are numbers for all rows, or ``logs`` names columns of ``condition_logs``.
+    """
     dh, ds = step_sums(seq)
     known = once(df, _dh=dh, _ds=ds, _self=F.expr(f"{seq} = reverse(translate({seq}, 'ACGTN', 'TGCAN'))"))
     ends = [_terminal_sum(seq, 0), _terminal_sum(seq, 1)]
@@ -134,7 +149,7 @@ def with_masked_tm(df: DataFrame, seq: str) -> DataFrame:
     return once(known, tm=F.expr(_tm_text(seq, "_dh", "_ds", "_self", ends))).drop("_dh", "_ds", "_self", "_weak")
 
 
-def stem_entropy(ds: Column, pairs: Column, hairpin: bool, salt_ln: float) -> Column:
+def stem_entropy(ds: Column, pairs: Column, hairpin: bool, salt_ln: Column | float) -> Column:
     s = ds / F.lit(10.0) + F.lit(SALT_FACTOR) * (pairs - 1) * F.lit(salt_ln)
     return s + F.lit(HAIRPIN_LOOP_DS) if hairpin else s
 

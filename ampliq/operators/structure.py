@@ -10,13 +10,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import DNA_NM, GAS_CONSTANT, HAIRPIN_MIN_LOOP, KELVIN
+from ..constants import DNA_NM, GAS_CONSTANT, HAIRPIN_MIN_LOOP, KELVIN, REACTION_CONDITIONS
 from ..functions.sequence import (
     MAX_CODED, PAIR_BITS, ambiguity_code, base_code, complement, gc_percent, low_mask, mismatch_bits,
     revcomp, shl, shr,
 )
 from ..functions.thermo import (
-    drop_masks, free_energy, sodium_molar, stem_entropy, step_sums, terminal_sums, with_base_masks,
+    condition_logs, drop_masks, free_energy, sodium_molar, stem_entropy, step_sums, terminal_sums, with_base_masks,
     with_masked_step_sums, with_melting_temperature,
 )
 from ..joins import once, spread
@@ -26,6 +26,12 @@ from ..joins import once, spread
 _DG_UNIT = 1_000_000
 _FIELD = 256
 _SHIFT_ZERO = 128
+#: Logarithms of a row's reaction conditions; a duplex without them has the default conditions.
+_LOGS = ["salt_ln", "dna_ln", "dna4_ln"]
+
+
+def _duplex_key(df: DataFrame) -> list[str]:
+    return ["x", "y", *[c for c in _LOGS if c in df.columns]]
 
 
 def _rank(dg: Column, packed: bool) -> Column:
@@ -50,8 +56,9 @@ def _unrank(packed: bool) -> dict[str, Column]:
 
 def _coded_stems(df: DataFrame, hairpin: bool) -> DataFrame:
     """Stems of short oligos by bit operations: (x, y, n, k, i, m); a row with m = 0 per pair without any."""
+    key = _duplex_key(df)
     ready = df.select(
-        "x", "y", F.length("x").alias("n"), F.length("y").alias("ny"),
+        *key, F.length("x").alias("n"), F.length("y").alias("ny"),
         base_code(F.reverse("x")).alias("xc"), ambiguity_code(F.reverse("x")).alias("xn"),
         base_code(complement(F.col("y"))).alias("yc"), ambiguity_code(complement(F.col("y"))).alias("yn"),
     )
@@ -75,7 +82,7 @@ def _coded_stems(df: DataFrame, hairpin: bool) -> DataFrame:
     paired = once(bounded, e=equal)
     paired = paired.filter(none | (F.col("e").bitwiseAND(F.shiftrightunsigned("e", 2)) != 0))
     first = F.when(none, F.array(F.lit(0))).otherwise(F.sequence(F.col("lo"), F.col("hi") - 1))
-    at = paired.select("x", "y", "k", "ny", "e", F.explode(first).alias("i"))
+    at = paired.select(*key, "k", "ny", "e", F.explode(first).alias("i"))
     here = shr(F.col("e"), (F.col("i") - 1) * 2)
     begins = (
         (here.bitwiseAND(F.lit(5).cast("bigint")) == 5)
@@ -85,13 +92,14 @@ def _coded_stems(df: DataFrame, hairpin: bool) -> DataFrame:
     filled = here.bitwiseOR(F.shiftleft(here, 1))
     lowest_zero = F.bitwise_not(filled).bitwiseAND(filled + F.lit(1).cast("bigint"))
     length = (F.bit_count(lowest_zero - F.lit(1).cast("bigint")) / 2).cast("int")
-    return runs.select("x", "y", "k", "i", F.when(F.col("i") == 0, 0).otherwise(length).alias("m"))
+    return runs.select(*key, "k", "i", F.when(F.col("i") == 0, 0).otherwise(length).alias("m"))
 
 
 def _any_stems(df: DataFrame, hairpin: bool) -> DataFrame:
     """The same for oligos of any length, letter by letter."""
+    key = _duplex_key(df)
     ready = df.select(
-        "x", "y", F.length("x").alias("n"), F.length("y").alias("ny"),
+        *key, F.length("x").alias("n"), F.length("y").alias("ny"),
         F.split("x", "").alias("xa"), F.split(revcomp(F.col("y")), "").alias("ya"),
     )
     shifted = ready.select("*", F.explode(F.expr("sequence(-ny, n - 1)")).alias("k"))
@@ -104,13 +112,13 @@ def _any_stems(df: DataFrame, hairpin: bool) -> DataFrame:
         "if(xa[i - 1] = ya[i - k - 1] and xa[i - 1] in ('A', 'C', 'G', 'T'), '1', '0')), ''))"
     )
     # The runs of two or more, each with the text before it, give the first index and the length.
-    marked = bounded.selectExpr("x", "y", "k", "ny", "lo", f"{marks} as marks").filter("k = -ny or instr(marks, '11') > 0")
-    at = marked.selectExpr("x", "y", "k", "ny", "lo", "marks", "explode(sequence(0, length(marks))) as o")
+    marked = bounded.selectExpr(*key, "k", "ny", "lo", f"{marks} as marks").filter("k = -ny or instr(marks, '11') > 0")
+    at = marked.selectExpr(*key, "k", "ny", "lo", "marks", "explode(sequence(0, length(marks))) as o")
     starts = at.filter(
         "(k = -ny) or (o > 0 and substr(marks, o, 2) = '11' and (o = 1 or substr(marks, o - 1, 1) = '0'))"
     )
     return starts.selectExpr(
-        "x", "y", "k", "if(k = -ny, 0, lo + o - 1) as i",
+        *key, "k", "if(k = -ny, 0, lo + o - 1) as i",
         "if(k = -ny, 0, length(regexp_extract(substr(marks, greatest(o, 1)), '^1*', 0))) as m",
     )
 
@@ -121,8 +129,9 @@ def stem_screen(duplexes: DataFrame, kind: str, max_length: int | None = None) -
     ``kind`` is homodimer (y = x), heterodimer or hairpin (y = x).  All stems of a duplex come from one
     input row that is already on the partition of its key, so picking the best needs no shuffle of its own.
     Oligos may have any length; each row takes the way for its own.  ``max_length`` promises that none is longer.
+    Where the rows bring the logarithms of their reaction conditions, these belong to the key.
     """
-    distinct = duplexes.select("x", "y").distinct()
+    distinct = duplexes.select(*_duplex_key(duplexes)).distinct()
     if max_length is not None and max_length <= MAX_CODED:
         return screen_by(distinct, kind, True)
     short = F.greatest(F.length("x"), F.length("y")) <= MAX_CODED
@@ -132,8 +141,10 @@ def stem_screen(duplexes: DataFrame, kind: str, max_length: int | None = None) -
 def screen_by(distinct: DataFrame, kind: str, coded: bool) -> DataFrame:
     """The screen by bit operations (``coded``, short oligos only) or letter by letter."""
     hairpin = kind == "hairpin"
-    stems = (_coded_stems if coded else _any_stems)(spread(distinct, "x", "y"), hairpin)
-    salt_ln = math.log(sodium_molar())
+    key = _duplex_key(distinct)
+    by_row = "salt_ln" in key
+    stems = (_coded_stems if coded else _any_stems)(spread(distinct, *key), hairpin)
+    salt_ln = F.col("salt_ln") if by_row else F.lit(math.log(sodium_molar()))
 
     def with_sums(df: DataFrame) -> DataFrame:
         """Energies of the stem text ``s``; its bases are paired, hence never ambiguous."""
@@ -149,7 +160,7 @@ def screen_by(distinct: DataFrame, kind: str, coded: bool) -> DataFrame:
 
     scored = with_sums(once(stems, s=F.substring("x", F.col("i"), F.col("m"))))
     dg = free_energy(F.col("dh"), stem_entropy(F.col("ds"), F.col("m"), hairpin, salt_ln))
-    best = scored.groupBy("x", "y").agg(F.min(_rank(dg, coded)).alias("rank"))
+    best = scored.groupBy(*key).agg(F.min(_rank(dg, coded)).alias("rank"))
 
     # Unpack the winner and work its energies out once more, now for one stem per duplex.
     won = once(best, **_unrank(coded))
@@ -160,15 +171,18 @@ def screen_by(distinct: DataFrame, kind: str, coded: bool) -> DataFrame:
     if hairpin:
         tm = F.lit(100.0) * F.col("dh") / F.col("_e") - F.lit(KELVIN)
     else:
-        strands = math.log(molar) if kind == "homodimer" else math.log(molar / 4.0)
-        tm = F.lit(100.0) * F.col("dh") / (F.col("_e") + F.lit(GAS_CONSTANT * strands)) - F.lit(KELVIN)
+        if by_row:
+            strands = F.lit(GAS_CONSTANT) * F.col("dna_ln" if kind == "homodimer" else "dna4_ln")
+        else:
+            strands = F.lit(GAS_CONSTANT * (math.log(molar) if kind == "homodimer" else math.log(molar / 4.0)))
+        tm = F.lit(100.0) * F.col("dh") / (F.col("_e") + strands) - F.lit(KELVIN)
     found = F.coalesce(dg < 0, F.lit(False))
 
     def when_found(value: Column) -> Column:
         return F.when(found, value).otherwise(F.lit(0.0))
 
     return won.select(
-        "x", "y", found.alias("found"),
+        *key, found.alias("found"),
         when_found(dg).alias("dg"), when_found(F.col("dh") / F.lit(10.0)).alias("dh"),
         when_found(F.col("_e")).alias("ds"), when_found(tm).alias("tm"),
     )
@@ -214,3 +228,38 @@ def oligo_catalog(oligos: DataFrame, max_length: int | None = None) -> DataFrame
         .join(hairpin_screen(oligos, max_length), "sequence")
         .join(homodimer_screen(oligos, max_length), "sequence")
     )
+
+
+def reaction_catalog(oligos: DataFrame, max_length: int | None = None) -> DataFrame:
+    """The full record per distinct oligo and reaction condition.
+
+    ``oligos`` has ``sequence`` and may have any of the columns of ``REACTION_CONDITIONS`` (mM, DNA in nM); missing
+    ones and nulls mean the default.  One table may hold any number of conditions.  Columns: the key (sequence and all
+    four conditions), ``length``, ``tm``, ``gc_percent`` (ambiguous letters count as bases), and for ``hairpin`` and
+    ``homodimer`` whether one is found, with ``_tm``, ``_dg``, ``_dh`` (kcal/mol) and ``_ds`` (kcal/mol/K).
+    Temperatures are null where a mixture has neither salt nor strands, or an oligo fewer than two bases; a null
+    sequence gives no row.
+    """
+    key = ["sequence", *REACTION_CONDITIONS]
+    given = [
+        F.coalesce(F.col(c).cast("double") if c in oligos.columns else F.lit(None).cast("double"), F.lit(default)).alias(c)
+        for c, default in REACTION_CONDITIONS.items()
+    ]
+    keyed = oligos.dropna(subset=["sequence"]).select("sequence", *given).distinct()
+    keyed = once(keyed, **condition_logs(*REACTION_CONDITIONS))
+    known = with_melting_temperature(keyed, "sequence", logs=tuple(_LOGS))
+    known = known.select(
+        *key, *_LOGS, F.length("sequence").alias("length"), "tm", gc_percent(F.col("sequence"), "ignore").alias("gc_percent")
+    )
+    for kind in ("hairpin", "homodimer"):
+        duplexes = keyed.select(F.col("sequence").alias("x"), F.col("sequence").alias("y"), *_LOGS)
+        got = stem_screen(duplexes, kind, max_length)
+        got = got.select(
+            F.col("x").alias("_x"), *[F.col(c).alias(f"_{c}") for c in _LOGS], F.col("found").alias(kind),
+            *[F.col(c).alias(f"{kind}_{c}") for c in ("tm", "dg", "dh")], (F.col("ds") / 1000.0).alias(f"{kind}_ds"),
+        )
+        same = F.col("sequence") == F.col("_x")
+        for c in _LOGS:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        known = known.join(got, same, "left").drop("_x", *[f"_{c}" for c in _LOGS])
+    return known.drop(*_LOGS)

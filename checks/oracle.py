@@ -52,13 +52,13 @@ def ends(s: str) -> tuple[str, str]:
     )
 
 
-def tm(s: str) -> str:
+def tm(s: str, salt: str = LN_NA, all_strands: str = LN_C, quarter: str = LN_C4) -> str:
     (dh, ds), (eh, es) = steps(s), ends(s)
     self_ = f"{s}={rc(s)}"
     return (
         f"(({dh}+{eh})*100.0::DOUBLE/(({ds}+{es}+CASE WHEN {self_} THEN -14 ELSE 0 END)/10.0::DOUBLE"
-        f"+0.368::DOUBLE*(length({s})-1)*({LN_NA})::DOUBLE"
-        f"+1.987::DOUBLE*(CASE WHEN {self_} THEN ({LN_C})::DOUBLE ELSE ({LN_C4})::DOUBLE END))-273.15::DOUBLE)"
+        f"+0.368::DOUBLE*(length({s})-1)*({salt})::DOUBLE"
+        f"+1.987::DOUBLE*(CASE WHEN {self_} THEN ({all_strands})::DOUBLE ELSE ({quarter})::DOUBLE END))-273.15::DOUBLE)"
     )
 
 
@@ -194,7 +194,9 @@ for _name, _src in (("strict", "amplicon_strict"), ("flags", "fr_flags")):
 
 
 # --- structures ---------------------------------------------------------------------------------
-def stems(name: str, source: str, kind: str, deps: list[str]) -> None:
+def stems(
+    name: str, source: str, kind: str, deps: list[str], salt: str = LN_NA, all_strands: str = LN_C, quarter: str = LN_C4
+) -> None:
     """Best stem per (x, y) of ``source`` by runs of paired cells."""
     hairpin = kind == "hairpin"
     loop = "AND 2*i<=length(x)+k-3" if hairpin else ""
@@ -207,12 +209,12 @@ def stems(name: str, source: str, kind: str, deps: list[str]) -> None:
     if hairpin:
         eh = es = "0"
     loop_cost = "-11.3::DOUBLE" if hairpin else ""
-    strands = "0" if hairpin else (f"1.987::DOUBLE*({LN_C})::DOUBLE" if kind == "homodimer" else f"1.987::DOUBLE*({LN_C4})::DOUBLE")
+    strands = "0" if hairpin else (f"1.987::DOUBLE*({all_strands})::DOUBLE" if kind == "homodimer" else f"1.987::DOUBLE*({quarter})::DOUBLE")
     cte(f"{name}_best", [f"{name}_cell"], f"""
       SELECT x, y, dg, h/10.0::DOUBLE AS dh, e AS ds, 100.0::DOUBLE*h/(e+{strands})-273.15::DOUBLE AS tm FROM (
         SELECT *, row_number() OVER (PARTITION BY x,y ORDER BY floor(dg*1000000+0.5::DOUBLE), k, i) AS rnk FROM (
           SELECT *, h/10.0::DOUBLE-310.15::DOUBLE*e/1000.0::DOUBLE AS dg FROM (
-            SELECT x, y, k, i, m, {dh}+{eh} AS h, ({ds}+{es})/10.0::DOUBLE+0.368::DOUBLE*(m-1)*({LN_NA})::DOUBLE{loop_cost} AS e FROM (
+            SELECT x, y, k, i, m, {dh}+{eh} AS h, ({ds}+{es})/10.0::DOUBLE+0.368::DOUBLE*(m-1)*({salt})::DOUBLE{loop_cost} AS e FROM (
               SELECT x, y, k, min(i) AS i, count(*) AS m, substr(x,min(i)::BIGINT,count(*)) AS s FROM {name}_cell GROUP BY x,y,k,g HAVING count(*)>=2))))
       WHERE rnk=1""")
     cte(name, [f"{name}_best", *deps], f"""
@@ -226,6 +228,22 @@ stems("hair", "SELECT sequence AS x, sequence AS y FROM oligo", "hairpin", ["oli
 stems("hetero", "SELECT f_seq AS x, r_seq AS y FROM pair", "heterodimer", ["pair"])
 cte("thermo", ["oligo"], f"SELECT sequence, length(sequence) AS length, {tm('sequence')} AS tm, {gc_pct('sequence')} AS gc FROM oligo")
 
+# Two mixtures in one table: the default one, which is not stated, and a richer one.
+RICH = {"salt_monovalent_conc": 100.0, "salt_divalent_conc": 3.0, "dntp_conc": 0.2, "dna_conc": 250.0}
+_RICH_LOGS = [repr(math.log(v)) for v in ((100.0 + 120.0 * math.sqrt(3.0 - 0.2)) / 1000.0, 250.0e-9, 250.0e-9 / 4.0)]
+stems("homo_rich", "SELECT sequence AS x, sequence AS y FROM oligo", "homodimer", ["oligo"], *_RICH_LOGS)
+stems("hair_rich", "SELECT sequence AS x, sequence AS y FROM oligo", "hairpin", ["oligo"], *_RICH_LOGS)
+cte("reaction", ["oligo", "homo", "hair", "homo_rich", "hair_rich"], " UNION ALL ".join(
+    f"""SELECT sequence, {mono}::DOUBLE AS salt_monovalent_conc, {div}::DOUBLE AS salt_divalent_conc, {dntp}::DOUBLE AS dntp_conc,
+      {dna}::DOUBLE AS dna_conc, length(sequence)::INTEGER AS length, {melting} AS tm,
+      length(regexp_replace(sequence,'[^GC]','','g'))*100.0::DOUBLE/length(sequence) AS gc_percent,
+      h.found AS hairpin, h.tm AS hairpin_tm, h.dg AS hairpin_dg, h.dh AS hairpin_dh, h.ds/1000.0::DOUBLE AS hairpin_ds,
+      o.found AS homodimer, o.tm AS homodimer_tm, o.dg AS homodimer_dg, o.dh AS homodimer_dh, o.ds/1000.0::DOUBLE AS homodimer_ds
+      FROM oligo JOIN hair{mix} h ON h.x=sequence JOIN homo{mix} o ON o.x=sequence"""
+    for mix, (mono, div, dntp, dna), melting in (
+        ("", (50.0, 1.5, 0.6, 50.0), tm("sequence")), ("_rich", RICH.values(), tm("sequence", *_RICH_LOGS)),
+    )))
+
 # --- pair QC ------------------------------------------------------------------------------------
 for _name in ("strict", "flags"):
     cte(f"qc_{_name}", ["pair", "thermo", "homo", "hair", "hetero", f"count_{_name}", f"total_{_name}"], f"""

@@ -33,7 +33,7 @@ from ampliq.sources import (
 from ampliq.sources.tile_store import TileStore
 
 from . import derived as D
-from .oracle import rc, with_ctes
+from .oracle import RICH, rc, with_ctes
 
 Job = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Job] = {}
@@ -399,6 +399,17 @@ def _(spark, sf):
     return ST.heterodimer_screen(D.pairs(spark, sf)).select("f_seq", "r_seq", F.col("heterodimer").alias("found"), *_screen("heterodimer"))
 
 
+_REACTION = ["tm", "gc_percent", *[f"{k}_{c}" for k in ("hairpin", "homodimer") for c in ("tm", "dg", "dh", "ds")]]
+_MIXED = ["sequence", *RICH, "length", "hairpin", "homodimer"]
+
+
+@query("reaction_catalog", ["reaction"], f"SELECT {', '.join(_MIXED)}, {r6s(*_REACTION)} FROM reaction")
+def _(spark, sf):
+    mixtures = [F.struct(*[F.lit(v if rich else None).cast("double").alias(c) for c, v in RICH.items()]) for rich in (True, False)]
+    asked = D.oligos(spark, sf).select("sequence", F.inline(F.array(*mixtures)))
+    return ST.reaction_catalog(asked).select(*_MIXED, *[r6(c) for c in _REACTION])
+
+
 # --- pair QC --------------------------------------------------------------------------------------
 
 def _qc(spark, sf, profile: QcProfile, searched: DataFrame | None = None) -> DataFrame:

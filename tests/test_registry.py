@@ -14,7 +14,7 @@ QUICK = [
     "pair_tsv_scan", "bed_record_scan", "region_table_scan", "fasta_contig_scan", "fasta_tile_scan", "hit_tsv_scan", "gc_percent", "cpg_count",
     "non_cpg_c_count", "three_prime_is", "locate_oligo", "full_annotation", "ref_aligned_line", "bisulfite_convert", "param_defaults",
     "template_window_fetch", "tile_store_fetch", "subseq_fetch", "methylation_join", "homodimer_screen", "hairpin_screen", "heterodimer_screen", "thermo_catalog",
-    "binding_window", "highlight_spans", "pair_alignment_rows", "seed_extend_hits", "fr_amplicon_join", "self_amplicon_join", "external_pair_qc",
+    "binding_window", "highlight_spans", "pair_alignment_rows", "seed_extend_hits", "fr_amplicon_join", "self_amplicon_join", "external_pair_qc", "reaction_catalog",
 ]
 
 
