@@ -224,9 +224,15 @@ def masked(text: Column, spans: Column, mark: str = "[secret]") -> Column:
 
 
 def masked_documents(docs: DataFrame, window: int = 20) -> DataFrame:
-    """The documents with their secrets masked and ``n_chars`` (where present) as the new text has; a null text stays null."""
-    found = find_secrets(docs.withColumn("_text", F.col("text")), "_text", window)
-    text = F.when(F.size("spans") > 0, masked(F.col("_text"), F.col("spans"))).otherwise(F.col("_text"))
-    found = once(found, _new=text)
-    made = {"text": F.col("_new"), "n_chars": F.when(F.size("spans") > 0, F.length("_new").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return found.select(*[made[c].alias(c) if made.get(c) is not None else F.col(f"`{c}`") for c in docs.columns])
+    """The documents with their secrets masked and ``n_chars`` (where present) as the new text has; a null text stays null.
+
+    Columns stay as they are, whatever their names; an empty table gives an empty result.
+    """
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
+    found = find_secrets(docs.select(whole.alias("row"), F.col("text").alias("text")), "text", window)
+    text = F.when(F.size("spans") > 0, masked(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    found = once(found, shown=text)
+    made = {"text": F.col("shown")}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.when(F.size("spans") > 0, F.length("shown").cast("long")).otherwise(F.col("row")["n_chars"])
+    return found.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
