@@ -7,9 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ampliq.llm.common import rank_among, with_columns, words
+from ampliq.llm.common import SPACE, rank_among, words
 from ampliq.session import cut_lineage
 
+#: Fixed value: what a word is.
+WORD = r"[^\x20\x09-\x0D]+"
 #: Points of the golden-ratio sequence are multiples of 1 / 2^31; the step is odd, so all of them come up.
 POINTS, STEP = 1 << 31, 1_327_217_885
 #: Slots that are ranked together, and hexadecimal digits that split a source for its running sums.
@@ -134,22 +136,39 @@ def mix(docs: DataFrame, block_words: int = 64, seed: int = 7, weights: tuple[in
 
 
 def mixed_documents(docs: DataFrame, block_words: int = 64, seed: int = 7) -> DataFrame:
-    """The documents as often as the mixture takes them: whole passes, a part of a pass where it is half or more.
+    """The documents as the mixture takes them: one row for each whole pass, and one cut after its last word taken
+    where a source's target ends within a document, so that each source has the words that the mixture gives it.
 
-    Rows that agree in doc_id, source and size get the same number.  Columns stay as they are.
+    A cut row's ``text`` ends with the last word taken, spaces before it as they were, and its ``n_chars`` (where
+    present) tells its new length.  Rows that agree in doc_id, source and size share what is taken of them equally, to
+    a word.  Documents without words, and those of which nothing is taken, have no row; an empty table gives an empty
+    result.  Columns stay as they are.
     """
     keys = ["doc_id", "source", "size"]
-    taken = mix(docs, block_words, seed).groupBy(*keys).agg((F.sum("taken") / F.count("taken")).alias("taken"))
-    taken = taken.select(*[F.col(k).alias(f"_{k}") for k in keys], copies(F.col("taken"), F.col("size")).alias("_copies"))
-    taken = taken.where("_copies > 0")
+    taken = mix(docs, block_words, seed).groupBy(*keys).agg(F.round(F.sum("taken") / F.count("taken")).cast("long").alias("taken"))
+    taken = taken.where("taken > 0").select(*[F.col(k).alias(f"_{k}") for k in keys], "taken")
     rows = docs.select(
         F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.col("doc_id"), F.col("source"),
         F.size(words(F.col("text"))).cast("long").alias("size"),
     )
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    rows = rows.join(taken, same).select("row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
-    return with_columns(rows, "row", {})
-
-
-def copies(taken: Column, size: Column) -> Column:
-    return F.when(size > 0, F.floor(taken / size + 0.5)).otherwise(0).cast("int")
+    rows = rows.join(taken, same).select("row", "size", F.explode(passes("taken", "size")).alias("n"))
+    text = F.when(F.col("n") < F.col("size"), first_words(F.col("row")["text"], F.col("n"))).otherwise(F.col("row")["text"])
+    rows = rows.select("row", "size", "n", text.alias("_text"))
+    made = {"text": F.col("_text")}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        made["n_chars"] = F.when(F.col("n") < F.col("size"), F.length("_text").cast(kind)).otherwise(F.col("row")["n_chars"])
+    return rows.select(*[made.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
+def passes(taken: str, size: str) -> Column:
+    """Words of each pass over a document of which ``taken`` words are used: whole passes, then what is left."""
+    whole = F.array_repeat(F.col(size), F.floor(F.col(taken) / F.col(size)).cast("int"))
+    left = F.pmod(F.col(taken), F.col(size))
+    return F.concat(whole, F.when(left > 0, F.array(left)).otherwise(F.expr("cast(array() as array<bigint>)")))
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"(?:{SPACE})?{WORD}"), F.lit(0)), F.lit(1), n.cast("int")), "")

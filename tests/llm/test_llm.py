@@ -173,6 +173,34 @@ def test_mixing(spark, odd):
     assert sorted(map(str, rows)) == sorted(map(str, mix(odd, block_words=4).collect()))
     assert mix(_none(odd)).count() == 0
     assert mixed_documents(odd).columns == odd.columns
+    assert mixed_documents(_none(odd)).count() == 0
+
+
+def test_mixed_documents_have_the_words_of_the_mixture(spark):
+    rng, rows = random.Random(3), []
+    for i in range(120):
+        n = 4000 if i % 40 == 0 else rng.choice([1, 7, 30])
+        gaps = rng.choices([" ", "\n\t", "  ", "\x0b"], k=n)
+        rows.append((i, rng.choice(["", "  "]) + "".join(f"é{i}w{k}{g}" for k, g in enumerate(gaps)), "abc"[i % 3], 5, "t"))
+    rows += [(500, None, "a", 0, "t"), (501, " \n ", None, 3, "t"), (502, "lone", None, 4, "t"), (503, "b c", "c", 3, "t"), (503, "c d", "c", 3, "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, _text string")
+    mixture, got = mix(docs, block_words=16).collect(), mixed_documents(docs, block_words=16).collect()
+    size = lambda text: len(re.findall(r"[^\x20\x09-\x0D]+", text))
+    words_of, taken, target = collections.Counter(), collections.Counter(), {}
+    for r in got:
+        words_of[r.source] += size(r.text)
+    for r in mixture:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert words_of == taken and all(abs(taken[s] - t) <= 1 for s, t in target.items())
+    texts = collections.defaultdict(list)
+    for i, text, *_ in rows:
+        texts[i].append(text)
+    cut = [r for r in got if r.text not in texts[r.doc_id]]
+    assert 0 < len(cut) <= 4
+    for r in cut:
+        assert texts[r.doc_id][0].startswith(r.text) and not r.text[-1:].isspace() and r.n_chars == len(r.text)
+    assert all(r.n_chars == 5 for r in got if r not in cut and r.doc_id < 500) and {r._text for r in got} == {"t"}
 
 
 def test_top_k(spark):
@@ -317,6 +345,10 @@ def test_secrets(spark, odd):
     assert _entropy(spark, [key, "ab" * 30]) == [_plain_entropy(s, 3.75) for s in (key, "ab" * 30)]
     assert secrets.find_secrets(odd).count() == 11 and secrets.find_secrets(_none(odd)).count() == 0
     assert secrets.masked_documents(odd).columns == odd.columns
+    clash = df.select("doc_id", "text", F.lit("s").alias("spans"), F.lit("t").alias("_text"), F.lit("u").alias("shown"), F.lit(9).alias("n_chars"))
+    for r in secrets.masked_documents(clash).collect():
+        assert (r.spans, r._text, r.shown) == ("s", "t", "u") and (r.text == texts[r.doc_id] or "[secret]" in r.text)
+        assert r.n_chars == (9 if r.text == texts[r.doc_id] else len(r.text))
 
 
 def test_registered():
