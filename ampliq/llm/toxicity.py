@@ -16,10 +16,14 @@ from ampliq.llm.common import with_columns
 
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e"}
-#: Costs of the channel in nats: a sign for a letter, a repeated letter dropped, a gap between letters dropped.
-SIGN_COST, REPEAT_COST, GAP_COST = 1.0, 0.3, 0.5
-#: Costs of leaving things as they stand: a sign, a run of three and more, a gap.
-KEEP_SIGN_COST, KEEP_RUN_COST, KEEP_GAP_COST = 4.0, 6.0, 2.5
+#: Costs of the channel in nats: a sign for a letter, one of a doubled letter dropped, each letter of a longer run dropped.
+SIGN_COST, DOUBLE_COST, REPEAT_COST = 1.0, 6.0, 0.3
+#: Costs of leaving a sign, or a run of three and more, as it stands.
+KEEP_SIGN_COST, KEEP_RUN_COST = 4.0, 6.0
+#: Gaps: (cost of dropping one, cost of keeping it) between letters set apart one by one, and between parts of a token.
+SPELLED_GAP, TOKEN_GAP = (0.5, 2.5), (2.0, 0.0)
+#: Cost of a space that does not belong between two fragments; marks between parts of a token that are as good as a space.
+SPACE_COST, SPACE_MARKS = 7.0, frozenset(",;:?()[]{}/\\\"")
 
 #: Letters of the language model: a-z, Latin-1 letters, and one for all that separates words.
 _LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xDF, 0x100)))
@@ -30,8 +34,11 @@ _CODES = np.zeros(0x250, dtype=np.int64)
 for _letter, _code in _CODE.items():
     _CODES[ord(_letter)] = _code
 
-_GAPPED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€])(?:[ .*_\-]+(?:[^\W_]|[@$!|+€])){3,}(?![^\s.,;:?!])")
-_TRIPLE = re.compile(r"([^\W\d_])\1\1")
+_GAPPED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€])(?:[ .,/*_\-]+(?:[^\W_]|[@$!|+€])){2,}(?![^\s.,;:?!])")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
+_GAPS = re.compile("(?:[^\\w" + re.escape("".join(c for c in LEET if not c.isalnum())) + "]|_)+")
+#: A run of an equal letter, digit or sign (group 1), or a gap.
+_RUN = re.compile("(?s)" + _GAPS.pattern + "|(.)\\1*")
 _EDGES = ".,;:?\"'()[]{}<>«»„“”*#%&~=_-/\\"
 
 
@@ -82,81 +89,134 @@ def letter_model(docs: DataFrame) -> LetterModel:
     return LetterModel.of(counts)
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
-    """For each run of an equal character the texts it may stand for, with the channel's costs."""
-    runs = [(m.group(1), len(m.group(0))) for m in re.finditer(r"(.)\1*", token, re.S)]
-    steps = []
-    for sign, n in runs:
-        if sign in " .*_-":
-            steps.append([("", GAP_COST), (" ", KEEP_GAP_COST)])
+def _option(letters: str, cost: float) -> tuple[str, tuple[int, ...], float]:
+    return letters, tuple(_CODE.get(letter, _OTHER) for letter in letters), cost
+
+
+def lattice(token: str, gap: tuple[float, float] = TOKEN_GAP) -> Iterator[list[tuple[str, tuple[int, ...], float]]]:
+    """For each run of an equal character the texts it may stand for, their letter codes and the channel's costs.
+
+    A run of signs that are neither letters, digits nor in ``LEET`` is a gap: dropped, or kept as the end of a word.
+    """
+    for found in _RUN.finditer(token):
+        sign, n = found.group(1) or " ", found.end() - found.start()
+        if not found.group(1):
+            spaced = gap == TOKEN_GAP and not SPACE_MARKS.isdisjoint(found.group(0))
+            yield [("", (), SPACE_COST if spaced else gap[0]), (found.group(0), (_END,), gap[1])]
             continue
-        options = [(sign * n, (KEEP_SIGN_COST if sign in LEET else 0.0) * n + (KEEP_RUN_COST if n > 2 else 0.0))]
-        letters = LEET.get(sign, sign)
-        for letter in letters:
-            cost = 0.0 if letter == sign else SIGN_COST
-            options += [(letter * k, cost * n + REPEAT_COST * (n - k)) for k in (1, 2) if k <= n and (letter != sign or k != n)]
-        steps.append(options)
-    return steps
+        options = [_option(sign * n, (KEEP_SIGN_COST if sign in LEET else 0.0) * n + (KEEP_RUN_COST if n > 2 else 0.0))]
+        for letter in LEET.get(sign, sign if sign.isalpha() else ""):
+            for k in (1, 2):
+                if k < n or (k == n and letter != sign):
+                    dropped = DOUBLE_COST if n == 2 and k == 1 else REPEAT_COST * (n - k)
+                    options.append(_option(letter * k, (0.0 if letter == sign else SIGN_COST) * n + dropped))
+        yield options
+
+
+def _spelt(path: tuple | None) -> str:
+    parts = []
+    while path:
+        path, letters = path
+        parts.append(letters)
+    return "".join(reversed(parts))
+
 
+def decoded(token: str, model: LetterModel, gap: tuple[float, float] = TOKEN_GAP) -> str:
+    """The likeliest text behind a token of any length: Viterbi over its lattice, with the last two letters as the state.
 
-def decoded(token: str, model: LetterModel) -> str:
-    """The likeliest text behind a token: Viterbi over its lattice, with the last two letters as the state."""
+    Paths share their beginnings, and what all have in common is put down once a single state is left, so time and
+    memory grow with the token alone.
+    """
     table = model.table
-    states: dict[tuple[int, int], tuple[float, str]] = {(_END, _END): (0.0, "")}
-    for options in lattice(token):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in states.items():
-            for letters, channel in options:
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(_END, _END): (0.0, None)}
+    settled: list[str] = []
+    for options in lattice(token, gap):
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (cost, path) in states.items():
+            for letters, codes, channel in options:
                 x, y, total = a, b, cost + channel
-                for letter in letters:
-                    z = _CODE.get(letter, _END if letter == " " else _OTHER)
+                for z in codes:
                     total += table[(x * _N + y) * _N + z]
                     x, y = y, z
                 if (x, y) not in after or total < after[x, y][0]:
-                    after[x, y] = (total, text + letters)
+                    after[x, y] = (total, (path, letters))
         states = after
-    return min((cost + table[(a * _N + b) * _N + _END], text) for (a, b), (cost, text) in states.items())[1]
+        if len(states) == 1:
+            (state, (_, path)), = states.items()
+            settled.append(_spelt(path))
+            states = {state: (0.0, None)}
+    _, best = min(((cost + table[(a * _N + b) * _N + _END], path) for (a, b), (cost, path) in states.items()), key=lambda s: s[0])
+    return "".join(settled) + _spelt(best)
+
 
+def joined_fragments(text: str, model: LetterModel) -> str:
+    """A lower-cased text without the spaces that the letters around them make unlikely.
 
-def _plain(word: str) -> str:
-    return word.strip(_EDGES)
+    Each single space between two letters is decided by itself, within the text as it stands: the cost of the two
+    letters before and after it with an end of a word between them against ``SPACE_COST`` and the cost without it.
+    Beyond two letters on either side the trigrams are the same, so for fragments of two and more letters this is the best path.
+    """
+    if len(text) < 3:
+        return text
+    codes = np.concatenate([[_END], code_array(text), [_END]])
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32)
+    at = np.nonzero(points[1:-1] == 0x20)[0] + 2  # places in ``codes``
+    at = at[(codes[at - 1] != _END) & (codes[at - 1] != _OTHER) & (codes[at + 1] != _END) & (codes[at + 1] != _OTHER)]
+    a, b, x, y = codes[at - 2], codes[at - 1], codes[at + 1], codes[at + 2]
+    costs = model.costs
+    kept = costs[a, b, _END] + costs[b, _END, x] + costs[_END, x, y]
+    wrong = at[kept > costs[a, b, x] + costs[b, x, y] + SPACE_COST] - 1
+    if not len(wrong):
+        return text
+    ends = [0, *(wrong + 1).tolist(), len(text) + 1]
+    return "".join(text[start : end - 1] for start, end in zip(ends, ends[1:]))
 
 
 class Restorer:
-    """Restores texts; tokens that came before are looked up in a table of bounded size."""
+    """Restores texts; short tokens that came before are looked up in a table of bounded size.
+
+    Every token is decoded that has more than one path through its lattice.  A token without any letter is a number or
+    a mark and stays as it is.
+    """
+
+    def __init__(self, model: LetterModel, remembered: int = 100_000, remembered_length: int = 64):
+        self.model = model
+        self.remembered_length = remembered_length
+        self._decoded = functools.lru_cache(remembered)(functools.partial(decoded, model=model))
 
-    def __init__(self, model: LetterModel, remembered: int = 100_000, longest: int = 40):
-        self.longest = longest
-        self._decoded = functools.lru_cache(remembered)(lambda token: decoded(token, model))
+    def _decode(self, token: str, gap: tuple[float, float] = TOKEN_GAP) -> str:
+        return self._decoded(token, gap=gap) if len(token) <= self.remembered_length else decoded(token, self.model, gap)
 
     def word(self, word: str) -> str:
-        """A lower-cased word as it was meant; words of more than ``longest`` runs are left as they stand."""
-        core = _plain(word)
+        """A lower-cased word as it was meant."""
+        core = word.strip(_EDGES)
         core = core.rstrip("!") or core  # at the end it is a mark, not a letter
         if core.isalpha():
-            if not _TRIPLE.search(core):
-                return core
-        elif not any(c in LEET for c in core) or not any(c.isalpha() for c in core):
-            return core
-        runs = sum(1 for _ in re.finditer(r"(.)\1*", core, re.S))
-        if runs > self.longest:
-            return core
-        return self._decoded(core)
-
-    def gapped(self, found: re.Match) -> str:
-        token = found.group(0)
-        # Letters set apart come in stretches of bounded length; a longer one is taken piece by piece.
-        return "".join(self._decoded(token[i : i + 80]) for i in range(0, len(token), 80))
+            return self._decode(core) if _DOUBLE.search(core) else core
+        return self._decode(core) if any(c.isalpha() for c in core) else core
+
+    def _pieces(self, text: str) -> Iterator[tuple[str, bool]]:
+        """The text in pieces: what was spelled out letter by letter, restored (true), and all else, fragments joined."""
+        low, last = text.lower(), 0
+        for found in _GAPPED.finditer(low):
+            yield joined_fragments(low[last : found.start()], self.model), False
+            yield self._decode(found.group(0), SPELLED_GAP), True
+            last = found.end()
+        yield joined_fragments(low[last:], self.model), False
 
     def text(self, text: str) -> str:
-        low = _GAPPED.sub(self.gapped, text.lower())
-        return re.sub(r"[^\x20\x09-\x0D]+", lambda m: self.word(m.group(0)), low)
+        return "".join(
+            piece if done else re.sub(r"[^\x20\x09-\x0D]+", lambda m: self.word(m.group(0)), piece)
+            for piece, done in self._pieces(text)
+        )
 
     def words(self, text: str) -> set[str]:
         """Distinct words of the restored text."""
-        low = _GAPPED.sub(self.gapped, text.lower())
-        restored = {self.word(word) for word in set(low.split())}
-        return {part for word in restored for part in word.split(" ")}
+        raw, found = set(), set()
+        for piece, done in self._pieces(text):
+            (found if done else raw).update(piece.split())
+        found.update(map(self.word, raw))
+        return {part for word in found for part in ((word,) if word.isalnum() else _GAPS.split(word))}
 
 
 def _buckets(words: set[str], n: int) -> np.ndarray:
@@ -243,8 +303,8 @@ def train(
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """Every row with ``score`` in 0 to 1 and ``predicted``; input columns are kept, those of the same names replaced.
 
-    Texts are restored and scored whole, each row on its own, so repeated rows get equal scores.  Null, empty and
-    blank texts have the score of a document without words.
+    Texts are restored and scored whole, however long, each row on its own, so repeated rows get equal scores.  Null,
+    empty and blank texts have the score of a document without words; an empty table gives an empty result.
     """
     @F.pandas_udf(DoubleType())
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:

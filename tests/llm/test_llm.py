@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -9,6 +10,7 @@ import time
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +163,52 @@ def test_deobfuscation_and_score(spark, odd):
     assert {r.predicted for r in toxicity.score_toxicity(odd, empty).collect()} == {0}
 
 
+def _letters_of(words):
+    frame = pd.DataFrame({"text": [" ".join(random.Random(i).sample(words, len(words))) for i in range(3000)]})
+    grams = next(toxicity._trigram_counts(iter([frame])))
+    counts = np.zeros(toxicity._N**3)
+    counts[grams.gram] = grams.n
+    return toxicity.LetterModel.of(counts)
+
+
+PLAIN = "the of you are and house tree river walking gentle paper well summer grass kitchen idiot stupid moron clown wretch ass".split()
+
+
+def test_decoding_equals_enumeration():
+    model, rng = _letters_of(PLAIN), random.Random(1)
+
+    def price(path, codes):
+        codes = [0, 0, *codes, 0]
+        costs = sum(model.costs[x, y, z] for x, y, z in zip(codes, codes[1:], codes[2:]))
+        return costs + sum(cost for *_, cost in path)
+
+    for _ in range(500):
+        token = "".join(rng.choice("aidiot10o$.- sst2") for _ in range(rng.randint(1, 7)))
+        for gap in (toxicity.TOKEN_GAP, toxicity.SPELLED_GAP):
+            paths = list(itertools.product(*toxicity.lattice(token, gap)))
+            best = min(price(path, [c for _, codes, _ in path for c in codes]) for path in paths)
+            good = {"".join(p for p, *_ in path) for path in paths
+                    if price(path, [c for _, codes, _ in path for c in codes]) < best + 1e-9}
+            assert toxicity.decoded(token, model, gap) in good, token
+
+
+def test_every_token_is_decoded(spark):
+    restorer = toxicity.Restorer(toxicity.letter_model(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    for seen, meant in [
+        ("1diot,you,are,a,m0ron,and,a,stup1d,cl0wn,wretch", {"idiot", "moron", "stupid", "clown", "wretch"}),
+        ("iidiott", {"idiot"}), ("id-iot", {"idiot"}), ("id.iot", {"idiot"}), ("st_upid", {"stupid"}), ("a s s", {"ass"}),
+        ("id iot", {"idiot"}), ("the i d i o t walking", {"the", "idiot", "walking"}), ("the id iot walking", {"the", "idiot", "walking"}),
+        ("of the and that", {"of", "the", "and", "that"}), ("river 3.14 2024", {"river", "3", "14", "2024"}), ("", set()), (" ", set()),
+    ]:
+        assert meant <= restorer.words(seen) and (meant or restorer.words(seen) <= {""}), (seen, restorer.words(seen))
+    long = "-".join(["1d10t", "m0ron"] * 20_000)  # one token of 200,000 and more runs, in linear time
+    began = time.monotonic()
+    assert {"idiot", "moron"} & restorer.words(long) or "idiotmoron" in restorer.text(long)
+    assert time.monotonic() - began < 30
+    spelled = " ".join("idiot" * 60)  # stretches are not cut every so many characters
+    assert restorer.text(spelled).replace(" ", "") == "idiot" * 60
+
+
 def test_mixing(spark, odd):
     rows = mix(odd, block_words=4).collect()
     assert len(rows) == 11 and sum(r.taken for r in rows) <= sum(r["size"] for r in rows)
