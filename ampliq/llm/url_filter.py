@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ampliq.llm.common import lower_ascii
+from ampliq.llm.url_labels import labelled_urls
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -71,14 +72,30 @@ class UrlModel:
         return 1 / (1 + np.exp(-np.clip(means + self.bias, -30, 30)))
 
 
+def loss_and_slope(
+    weights: np.ndarray, bias: float, grams: Sequence[Sequence[int]], answers: np.ndarray, decay: float
+) -> tuple[float, np.ndarray, float]:
+    """Logistic loss with both answers weighing the same in all, and its slope by weights and bias."""
+    lengths = np.array([len(g) for g in grams])
+    starts, flat, scale = np.cumsum([0, *lengths[:-1]]), np.concatenate(grams), 1 / np.sqrt(lengths)
+    balance = np.where(answers == 1, 0.5 / answers.sum(), 0.5 / (1 - answers).sum())
+    odds = np.clip(np.add.reduceat(weights[flat], starts) * scale + bias, -30, 30)
+    chance = 1 / (1 + np.exp(-odds))
+    error = (chance - answers) * balance
+    loss = -(balance * np.log(np.where(answers == 1, chance, 1 - chance))).sum() + decay / 2 * (weights**2).sum()
+    slope = np.bincount(flat, weights=np.repeat(error * scale, lengths), minlength=len(weights)) + decay * weights
+    return float(loss), slope, float(error.sum())
+
+
 def train(
     labelled: DataFrame, max_rows: int = 10_000, buckets: int = 1 << 15, sizes: tuple[int, ...] = (3, 4, 5),
-    rounds: int = 150, decay: float = 1e-4,
+    rounds: int = 300, decay: float = 1e-5, prior: float = 0.2,
 ) -> UrlModel:
     """Fit on a labelled table (host, path, blocked 0/1) of which at most ``max_rows`` distinct rows are used.
 
-    Where there are more, each verdict gives its half of the bound, chosen by a hash of the row.  With one verdict only, the model
-    gives that verdict; without any row it allows.
+    Where there are more, each verdict gives its half of the bound, chosen by a hash of the row.  ``prior`` is the
+    share of URLs that are expected to be blocked: a URL of which the model knows nothing has about that chance.
+    With one verdict only, the model gives that verdict; without any row it allows.
     """
     distinct = labelled.select("host", "path", "blocked").distinct()
     order = [F.xxhash64("host", "path"), F.col("host"), F.col("path"), F.col("blocked")]
@@ -92,33 +109,32 @@ def train(
     if not len(answers) or answers.min() == answers.max():
         return UrlModel(weights, 30.0 if len(answers) and answers[0] else -30.0, sizes)
     grams = [hashed_ngrams(row.host, row.path, sizes, buckets) for row in rows]
-    lengths = np.array([len(g) for g in grams])
-    starts, flat = np.cumsum([0, *lengths[:-1]]), np.concatenate(grams)
-    scale = 1 / np.sqrt(lengths)
-    balance = np.where(answers == 1, 0.5 / answers.sum(), 0.5 / (1 - answers).sum())
     bias, pace = 0.0, np.zeros(buckets)
     for _ in range(rounds):
-        chance = 1 / (1 + np.exp(-np.clip(np.add.reduceat(weights[flat], starts) * scale + bias, -30, 30)))
-        error = (chance - answers) * balance
-        slope = np.bincount(flat, weights=np.repeat(error * scale, lengths), minlength=buckets) + decay * weights
+        _, slope, tilt = loss_and_slope(weights, bias, grams, answers, decay)
         pace += slope**2
         weights -= 0.5 * slope / np.sqrt(pace + 1e-12)
-        bias -= 0.5 * error.sum()
-    return UrlModel(weights, float(bias), sizes)
+        bias -= 0.5 * tilt
+    return UrlModel(weights, float(bias + np.log(prior / (1 - prior))), sizes)
 
 
-def judge_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", max_labelled: int = 10_000) -> DataFrame:
+def judge_urls(
+    pages: DataFrame, rules: Sequence[Rule], url: str = "url", labelled: DataFrame | None = None,
+    max_labelled: int = 10_000, prior: float = 0.2,
+) -> DataFrame:
     """Every row with ``host``, ``path``, ``rule``, ``chance`` of a block and ``verdict``; input columns are kept.
 
-    The small labelled table is what the rules decide: the model carries their verdicts over to URLs that no rule
-    fits.  It is trained on at most ``max_labelled`` distinct URLs and applied to every row, each on its own, so
-    repeated URLs and frequent hosts cost no exchange.  Null URLs and those without ``://`` have empty parts, fit no
-    rule and are judged by the model; an empty table gives an empty result; columns of the same names are replaced.
+    ``labelled`` is a small table (url, blocked 0/1), by default the one in ``url_labels``; it has nothing to do with
+    the rules.  The model is trained on at most ``max_labelled`` of its URLs and applied to every row, each on its own,
+    so repeated URLs, frequent hosts and long URLs cost no exchange; it decides where no rule fits.  Null URLs and those
+    without ``://`` have empty parts, fit no rule and are judged by the model; an empty table gives an empty result;
+    columns of the same names are replaced.
     """
-    parts = pages.select(host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
-    ruled = parts.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules)).where("rule is not null")
+    if labelled is None:
+        labelled = pages.sparkSession.createDataFrame(list(labelled_urls()), "url string, blocked int")
     blocking = [r.name for r in rules if r.verdict == "block"]
-    model = train(ruled.withColumn("blocked", F.col("rule").isin(blocking).cast("int")), max_labelled)
+    told = labelled.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "blocked")
+    model = train(told, max_labelled, prior=prior)
 
     @F.pandas_udf(DoubleType())
     def chance(host: pd.Series, path: pd.Series) -> pd.Series:

@@ -23,7 +23,8 @@ from ampliq.llm.sentencepiece_wfst import PieceModel, encode_texts
 from ampliq.llm.sharding import communication_matrix, hypergeometric_shards, permutation
 from ampliq.llm.simhash import fingerprint_edits, fingerprints, within_radius
 from ampliq.llm.topk import block_top_k, top_k
-from ampliq.llm.url_filter import judge_urls
+from ampliq.llm.url_filter import hashed_ngrams, judge_urls, loss_and_slope
+from ampliq.llm.url_labels import labelled_urls
 
 DOCS = "doc_id long, text string, source string, shard string, score string, base string, ids string, row string"
 
@@ -134,6 +135,41 @@ def test_urls(spark):
     assert judge_urls(_none(df), RULES).count() == 0
 
 
+def test_url_model_on_held_out_labels(spark):
+    rows = list(labelled_urls())
+    out = [zlib.crc32(url.encode()) % 5 == 0 for url, _ in rows]
+    kept, held = ([r for r, o in zip(rows, out) if o == side] for side in (False, True))
+    labels = "url string, blocked int"
+    judged = judge_urls(spark.createDataFrame(held, labels), [], labelled=spark.createDataFrame(kept, labels)).collect()
+    assert len(judged) == len(held) > 80
+    assert np.mean([(r.verdict == "block") == bool(r.blocked) for r in judged]) > 0.8
+    assert np.mean([r.verdict == "block" for r in judged if not r.blocked]) < 0.05
+    bad, good = ([r.chance for r in judged if r.blocked == b] for b in (1, 0))
+    assert np.mean([b > g for b in bad for g in good]) > 0.93  # share of pairs in the right order
+
+
+def test_url_model_odd_rows(spark):
+    long = "https://quick-casino.example.org/" + "abc/" * 50_000
+    df = spark.createDataFrame([(1, long), (2, long), (3, None), (4, "")], "page_id int, URL string")
+    got = {r.page_id: r for r in judge_urls(df, RULES).collect()}
+    assert len(got) == 4 and got[1].path == long.split("example.org")[1] and got[1].chance == got[2].chance
+    assert got[3].chance == got[4].chance and got[3].verdict in ("allow", "block")
+    none = judge_urls(df, RULES, labelled=spark.createDataFrame([], "url string, blocked int")).collect()
+    assert {r.verdict for r in none} == {"allow"}
+
+
+def test_url_slope_equals_differences():
+    rng = np.random.default_rng(3)
+    grams = [hashed_ngrams(h, "/" + h, (2, 3), 64) for h in ("abc", "abd", "xyz", "bcd", "a")]
+    answers, weights, step = np.array([1.0, 0, 1, 0, 0]), rng.normal(size=64), 1e-6
+    _, slope, tilt = loss_and_slope(weights, 0.3, grams, answers, 0.01)
+    loss = lambda w, b: loss_and_slope(w, b, grams, answers, 0.01)[0]
+    for i in range(64):
+        moved = np.eye(64)[i] * step
+        assert abs((loss(weights + moved, 0.3) - loss(weights - moved, 0.3)) / (2 * step) - slope[i]) < 1e-6
+    assert abs((loss(weights, 0.3 + step) - loss(weights, 0.3 - step)) / (2 * step) - tilt) < 1e-6
+
+
 def test_deobfuscation_and_score(spark, odd):
     rng = random.Random(5)
     words = "the of and house tree river mountain walking gentle paper window kitchen".split()
