@@ -337,21 +337,21 @@ def top_pairs(n: int) -> str:
   WHERE rank<={n}"""
 
 
-cte("top3", ["all_pair"], top_pairs(3))
-cte("wide3", ["top3", "template"], f"""
+cte("best_pair", ["all_pair"], top_pairs(100))
+cte("best_row", ["best_pair", "template"], f"""
   SELECT p.*, t.template, t_start, t_end, substr(template,l_start+1,r_start+r_len-l_start) AS amplicon_sequence,
          (length(substr(template,l_start+1,l_len+1))-length(replace(substr(template,l_start+1,l_len+1),'CG','')))//2 AS f_cpg,
          (length(substr(template,r_start,r_len+1))-length(replace(substr(template,r_start,r_len+1),'CG','')))//2 AS r_cpg
-  FROM top3 p JOIN template t USING (region_id)""")
-stems("homo3", "SELECT l_seq AS x, l_seq AS y FROM top3 UNION SELECT r_seq, r_seq FROM top3", "homodimer", ["top3"])
-stems("hair3", "SELECT l_seq AS x, l_seq AS y FROM top3 UNION SELECT r_seq, r_seq FROM top3", "hairpin", ["top3"])
-stems("hetero3", "SELECT l_seq AS x, r_seq AS y FROM top3", "heterodimer", ["top3"])
-cte("design3", ["wide3", "homo3", "hair3", "hetero3"], """
+  FROM best_pair p JOIN template t USING (region_id)""")
+stems("best_homo", "SELECT l_seq AS x, l_seq AS y FROM best_pair UNION SELECT r_seq, r_seq FROM best_pair", "homodimer", ["best_pair"])
+stems("best_hair", "SELECT l_seq AS x, l_seq AS y FROM best_pair UNION SELECT r_seq, r_seq FROM best_pair", "hairpin", ["best_pair"])
+stems("best_hetero", "SELECT l_seq AS x, r_seq AS y FROM best_pair", "heterodimer", ["best_pair"])
+cte("designed", ["best_row", "best_homo", "best_hair", "best_hetero"], """
   SELECT w.*, fh.dg AS f_hair_dg, fh.tm AS f_hair_tm, rh.dg AS r_hair_dg, rh.tm AS r_hair_tm, fo.dg AS f_homo_dg, ro.dg AS r_homo_dg,
          x.dg AS het_dg, x.tm AS het_tm,
          fh.tm<=47 AND rh.tm<=47 AND fh.dg>=-5 AND rh.dg>=-5 AND fo.dg>=-6 AND ro.dg>=-6 AND x.dg>=-6 AND x.tm<=45 AS selected
-  FROM wide3 w JOIN hair3 fh ON fh.x=l_seq JOIN hair3 rh ON rh.x=r_seq JOIN homo3 fo ON fo.x=l_seq JOIN homo3 ro ON ro.x=r_seq
-  JOIN hetero3 x ON x.x=l_seq AND x.y=r_seq""")
+  FROM best_row w JOIN best_hair fh ON fh.x=l_seq JOIN best_hair rh ON rh.x=r_seq JOIN best_homo fo ON fo.x=l_seq JOIN best_homo ro ON ro.x=r_seq
+  JOIN best_hetero x ON x.x=l_seq AND x.y=r_seq""")
 cte("triple", ["probe", "flank"], f"""
   SELECT q.region_id, q.start AS p_start, q.len AS p_len, q.tm AS p_tm, q.sequence AS p_seq,
          l.start AS l_start, l.len AS l_len, l.s AS l_seq, r.start AS r_start, r.len AS r_len, {rc('r.s')} AS r_seq,

@@ -603,8 +603,8 @@ def _(spark, sf):
         F.round(F.min("penalty"), 6).alias("least"), F.round(F.max("penalty"), 6).alias("most"))
 
 
-def _best(spark, sf, n: int) -> tuple[DataFrame, DataFrame]:
-    p = {**DESIGN_DEFAULTS, "n_probes": 0, "n_primers": n}
+def _best(spark, sf) -> tuple[DataFrame, DataFrame]:
+    p = {**DESIGN_DEFAULTS, "n_probes": 0}
     templates = cut_lineage(_templates(spark, sf))
     return templates, design_amplicons(templates, p)
 
@@ -613,7 +613,7 @@ def _best(spark, sf, n: int) -> tuple[DataFrame, DataFrame]:
   SELECT region_id, rank, l_start::INTEGER AS l_start, l_len::INTEGER AS l_len, r_start::INTEGER AS r_start, r_len::INTEGER AS r_len, l_seq, r_seq, product_size, round(penalty,6) AS penalty
   FROM (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY round(penalty,6), l_start, l_len, r_start, r_len) AS rank FROM all_pair) WHERE rank<=100""")
 def _(spark, sf):
-    _, best = _best(spark, sf, 100)
+    _, best = _best(spark, sf)
     return best.select("region_id", F.col("rank").cast("bigint").alias("rank"), "l_start", "l_len", "r_start", "r_len", "l_seq", "r_seq", "product_size", r6("penalty"))
 
 
@@ -630,24 +630,24 @@ def _(spark, sf):
         DS.pair_candidates(primers, 80, 120))
 
 
-@query("amplicon_row", ["wide3"], """
+@query("amplicon_row", ["best_row"], """
   SELECT region_id, rank, template AS template_sequence, t_start::INTEGER AS target_start_index, t_end::INTEGER AS target_end_index, amplicon_sequence,
          length(amplicon_sequence)::INTEGER AS amplicon_length, l_seq AS forward_sequence, r_seq AS reverse_sequence, l_start::INTEGER AS forward_start_index,
          (l_start+l_len-1)::INTEGER AS forward_end_index, r_start::INTEGER AS reverse_start_index, (r_start+r_len-1)::INTEGER AS reverse_end_index,
          round(l_tm,6) AS forward_tm, round(r_tm,6) AS reverse_tm, round(l_gc,6) AS forward_gc_percent, f_cpg::INTEGER AS forward_cpg_count, r_cpg::INTEGER AS reverse_cpg_count
-  FROM wide3""")
+  FROM best_row""")
 def _(spark, sf):
-    templates, best = _best(spark, sf, 3)
+    templates, best = _best(spark, sf)
     return DS.amplicon_row(best, templates).select(
         "region_id", F.col("rank").cast("bigint").alias("rank"), "template_sequence", "target_start_index", "target_end_index", "amplicon_sequence",
         "amplicon_length", "forward_sequence", "reverse_sequence", "forward_start_index", "forward_end_index", "reverse_start_index",
         "reverse_end_index", r6("forward_tm"), r6("reverse_tm"), r6("forward_gc_percent"), "forward_cpg_count", "reverse_cpg_count")
 
 
-@query("cpg_range", ["wide3"], """
-  SELECT region_id, rank, f_cpg::INTEGER AS forward_cpg_count, r_cpg::INTEGER AS reverse_cpg_count FROM wide3 WHERE f_cpg BETWEEN 1 AND 2 AND r_cpg BETWEEN 0 AND 3""")
+@query("cpg_range", ["best_row"], """
+  SELECT region_id, rank, f_cpg::INTEGER AS forward_cpg_count, r_cpg::INTEGER AS reverse_cpg_count FROM best_row WHERE f_cpg BETWEEN 1 AND 2 AND r_cpg BETWEEN 0 AND 3""")
 def _(spark, sf):
-    templates, best = _best(spark, sf, 3)
+    templates, best = _best(spark, sf)
     rows = DS.amplicon_row(best, templates)
     kept = rows.filter(DS.cpg_range(F.col("forward_cpg_count"), 1, 2) & DS.cpg_range(F.col("reverse_cpg_count"), 0, 3))
     return kept.select("region_id", F.col("rank").cast("bigint").alias("rank"), "forward_cpg_count", "reverse_cpg_count")
@@ -661,7 +661,7 @@ def _(spark, sf):
 
 
 def _design(spark, sf, **params) -> DataFrame:
-    return region_design(_regions(spark, sf), D.genome_tiles(spark, sf), {"n_probes": 0, "n_primers": 3, **params})
+    return region_design(_regions(spark, sf), D.genome_tiles(spark, sf), {"n_probes": 0, **params})
 
 
 _DESIGN_NUM = {
@@ -671,27 +671,27 @@ _DESIGN_NUM = {
 _DESIGN_SQL = ", ".join(f"round({v},6) AS {k}" for k, v in _DESIGN_NUM.items())
 
 
-@query("bed_batch_design", ["design3"], f"""
-  SELECT region_id, rank, l_seq AS forward_sequence, r_seq AS reverse_sequence, {_DESIGN_SQL}, selected FROM design3""")
+@query("bed_batch_design", ["designed"], f"""
+  SELECT region_id, rank, l_seq AS forward_sequence, r_seq AS reverse_sequence, {_DESIGN_SQL}, selected FROM designed""")
 def _(spark, sf):
     return _design(spark, sf).select("region_id", F.col("rank").cast("bigint").alias("rank"), "forward_sequence", "reverse_sequence",
                                      *[r6(c) for c in _DESIGN_NUM], "selected")
 
 
-@query("amplicon_threshold_qc", ["design3"], "SELECT region_id, rank, l_seq AS forward_sequence, r_seq AS reverse_sequence FROM design3 WHERE selected")
+@query("amplicon_threshold_qc", ["designed"], "SELECT region_id, rank, l_seq AS forward_sequence, r_seq AS reverse_sequence FROM designed WHERE selected")
 def _(spark, sf):
     return QC.amplicon_threshold_qc(_design(spark, sf), AMPLICON_THRESHOLDS).select(
         "region_id", F.col("rank").cast("bigint").alias("rank"), "forward_sequence", "reverse_sequence")
 
 
-@query("qc_pass_count", ["design3"], "SELECT region_id, count(*) AS candidates, count(*) FILTER (selected) AS passing FROM design3 GROUP BY region_id")
+@query("qc_pass_count", ["designed"], "SELECT region_id, count(*) AS candidates, count(*) FILTER (selected) AS passing FROM designed GROUP BY region_id")
 def _(spark, sf):
     return QC.qc_pass_count(_design(spark, sf), AMPLICON_THRESHOLDS)
 
 
-@query("candidate_view", ["design3"], """
+@query("candidate_view", ["designed"], """
   SELECT region_id, rank::INTEGER AS rank, product_size, l_seq AS forward_seq, round(l_tm,6) AS forward_tm, round(l_gc,6) AS forward_gc, r_seq AS reverse_seq,
-         round(r_tm,6) AS reverse_tm, round(r_gc,6) AS reverse_gc, '' AS probe_seq, f_cpg::INTEGER AS forward_cpg_count, r_cpg::INTEGER AS reverse_cpg_count FROM design3 WHERE selected""")
+         round(r_tm,6) AS reverse_tm, round(r_gc,6) AS reverse_gc, '' AS probe_seq, f_cpg::INTEGER AS forward_cpg_count, r_cpg::INTEGER AS reverse_cpg_count FROM designed WHERE selected""")
 def _(spark, sf):
     view = R.candidate_view(_design(spark, sf).filter("selected"))
     return view.select("region_id", "rank", "product_size", "forward_seq", r6("forward_tm"), r6("forward_gc"), "reverse_seq", r6("reverse_tm"), r6("reverse_gc"),
@@ -707,10 +707,10 @@ def _(spark, sf):
     return top.select("region_id", F.col("rank").cast("bigint").alias("rank"), F.col("l_seq").alias("forward_seq"), F.col("r_seq").alias("reverse_seq"))
 
 
-@query("best_per_region", ["region_in", "edge_region", "design3"], """
+@query("best_per_region", ["region_in", "edge_region", "designed"], """
   SELECT r.region_id, coalesce(d.l_seq,'') AS forward_sequence, coalesce(d.r_seq,'') AS reverse_sequence FROM (
     SELECT chrom||':'||"start"||'-'||"end" AS region_id FROM region_in UNION ALL SELECT chrom||':'||"start"||'-'||"end" FROM edge_region) r
-  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY rank) AS nth FROM design3 WHERE selected) d ON d.region_id=r.region_id AND nth=1""")
+  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY rank) AS nth FROM designed WHERE selected) d ON d.region_id=r.region_id AND nth=1""")
 def _(spark, sf):
     every = region_table_scan(D.regions(spark, sf).unionByName(D.edge_regions(spark, sf))).select("region_id")
     best = R.best_per_region(every, _design(spark, sf).filter("selected"), ["rank"])
@@ -721,22 +721,21 @@ def _(spark, sf):
 _PROBE_RANK_SQL = """(SELECT *, row_number() OVER (PARTITION BY region_id ORDER BY round(abs(tm-60)+abs(len-25),6), start, len) AS probe_rank FROM probe)"""
 
 
-@query("probe_primer_append", ["triple", "probe", "top3"], f"""
+@query("probe_primer_append", ["triple", "probe", "best_pair"], f"""
   SELECT t.region_id, probe_rank, rank, p_seq AS probe_sequence, l_seq AS forward_sequence, r_seq AS reverse_sequence FROM (
     SELECT *, row_number() OVER (PARTITION BY region_id, p_start, p_len ORDER BY round(penalty,6), l_start, l_len, r_start, r_len) AS rank FROM triple) t
-  JOIN {_PROBE_RANK_SQL} q ON q.region_id=t.region_id AND q.start=p_start AND q.len=p_len AND probe_rank<=4 WHERE rank<=3
-  UNION ALL SELECT region_id, 0, rank, '', l_seq, r_seq FROM top3""")
+  JOIN {_PROBE_RANK_SQL} q ON q.region_id=t.region_id AND q.start=p_start AND q.len=p_len AND probe_rank<=100 WHERE rank<=100
+  UNION ALL SELECT region_id, 0, rank, '', l_seq, r_seq FROM best_pair""")
 def _(spark, sf):
     templates = cut_lineage(_templates(spark, sf))
-    p = {**DESIGN_DEFAULTS, "n_probes": 4, "n_primers": 3}
-    with_probe, without = design_amplicons(templates, p), design_amplicons(templates, {**p, "n_probes": 0})
+    with_probe, without = design_amplicons(templates, DESIGN_DEFAULTS), design_amplicons(templates, {**DESIGN_DEFAULTS, "n_probes": 0})
     return DS.probe_primer_append(with_probe, without).select(
         "region_id", F.coalesce("probe_rank", F.lit(0)).cast("bigint").alias("probe_rank"), F.col("rank").cast("bigint").alias("rank"),
         F.coalesce("p_seq", F.lit("")).alias("probe_sequence"), F.col("l_seq").alias("forward_sequence"), F.col("r_seq").alias("reverse_sequence"))
 
 
-@query("design_bundle_write", ["design3"], """
-  SELECT 'all_primers' AS part, region_id AS a, l_seq AS b, r_seq AS c FROM design3 UNION ALL SELECT 'selected_primers', region_id, l_seq, r_seq FROM design3 WHERE selected
+@query("design_bundle_write", ["designed"], """
+  SELECT 'all_primers' AS part, region_id AS a, l_seq AS b, r_seq AS c FROM designed UNION ALL SELECT 'selected_primers', region_id, l_seq, r_seq FROM designed WHERE selected
   UNION ALL SELECT 'thresholds', 'min_amplicon_length', '80', '' UNION ALL SELECT 'thresholds', 'reference', 'derived', ''""")
 def _(spark, sf):
     rows = cut_lineage(_design(spark, sf))
