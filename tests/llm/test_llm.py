@@ -12,6 +12,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from ampliq.llm import minhash, mixing, secrets, sharding, toxicity
@@ -102,6 +103,45 @@ def test_simhash(spark, odd):
     assert fingerprint_edits(_none(odd)).count() == 0
 
 
+def _votes(text):
+    """Fingerprint by counting votes bit by bit."""
+    listed = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    votes = [0] * 64
+    for word, after in zip(listed, [*listed[1:], None]):
+        term = xxhash.xxh64_intdigest(word.encode(), 42)
+        term = term if after is None else xxhash.xxh64_intdigest(after.encode(), term)
+        for bit in range(64):
+            votes[bit] += (len(word) + len(after or "")) * (1 if term >> bit & 1 else -1)
+    return sum(1 << bit for bit in range(64) if votes[bit] > 0)
+
+
+def test_fingerprints_equal_votes(spark, odd):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices("river stone é🙂 mill a of the kitchen paper".split(), k=rng.randrange(1, 60))) for _ in range(40)]
+    docs = odd.select("doc_id", "text").where("doc_id > 1").dropDuplicates(["doc_id"]).unionByName(
+        spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    got = {r.doc_id: r for r in fingerprint_edits(docs).collect()}
+    order = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
+    alike = lambda x, y: 1 - bin(x ^ y).count("1") / 64
+    for k, (i, text) in enumerate(order):
+        after, half = order[(k + 1) % len(order)][1], len(text) // 2
+        own, edited, following = _votes(text), _votes(text[: len(text) - half] + after[:half]), _votes(after)
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (f"{own:016x}", f"{edited:016x}"), i
+        assert (got[i].near_edited, got[i].near_next) == (alike(own, edited), alike(own, following)), i
+    assert len({r.fingerprint for r in got.values()}) > 40
+
+
+def test_shard_query_sizes_and_checksums(spark, odd, tmp_path):
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = QUERIES["op1_shards"](spark, str(tmp_path)).collect()
+    want = collections.Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in odd.collect())
+    assert collections.Counter((r.doc_id, r["size"], r.text_crc32) for r in rows) == want
+    assert {(r.law, r.grown_shard) for r in rows} == {("rows", None)}
+    for shard in {r.shard for r in rows}:
+        slots = sorted(r.slot for r in rows if r.shard == shard)
+        assert slots == list(range(slots[0], slots[0] + len(slots)))
+
+
 def test_radius(spark):
     rng = random.Random(4)
     base = [rng.getrandbits(64) for _ in range(30)]
