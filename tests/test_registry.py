@@ -15,6 +15,7 @@ QUICK = [
     "non_cpg_c_count", "three_prime_is", "locate_oligo", "full_annotation", "ref_aligned_line", "bisulfite_convert", "param_defaults",
     "template_window_fetch", "tile_store_fetch", "subseq_fetch", "methylation_join", "homodimer_screen", "hairpin_screen", "heterodimer_screen", "thermo_catalog",
     "binding_window", "highlight_spans", "pair_alignment_rows", "seed_extend_hits", "fr_amplicon_join", "self_amplicon_join", "external_pair_qc", "reaction_catalog",
+    "amplicon_row", "cpg_range", "bed_batch_design", "qc_pass_count", "candidate_view", "best_per_region", "probe_primer_append", "design_bundle_write",
 ]
 
 
