@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ampliq.joins import counted_lookup
+from ampliq.joins import counted_lookup, fits_broadcast
 
 
 def test_counted_lookup_with_a_hot_key(spark):
@@ -35,3 +35,14 @@ def test_empty_sides(spark):
     table = spark.range(0, 50).select(F.col("id").alias("k"), F.lit(1).alias("w"))
     assert counted_lookup(big, table.limit(0), ["k"], max_rows=-1).where("w is null").count() == 100
     assert counted_lookup(big.limit(0), table, ["k"], max_rows=10).count() == 0
+
+
+def test_few_rows_of_many_bytes_are_not_broadcast(spark):
+    """What the driver holds follows the bytes: a thousand long texts, arrays or blobs are no small table, ten are."""
+    wide = spark.range(0, 1000).select("id", F.repeat(F.lit("x"), 40_000).alias("text"))
+    assert not fits_broadcast(wide) and fits_broadcast(wide.limit(10))
+    assert not fits_broadcast(wide.select("id", F.array("text").alias("texts")))
+    assert not fits_broadcast(wide.select(F.col("text").cast("binary").alias("a.b")))
+    assert fits_broadcast(wide.select("id", F.lit(None).cast("string").alias("text")))
+    joined = counted_lookup(spark.range(0, 50).select("id"), wide, ["id"])
+    assert joined.where("length(text) = 40000").count() == 50
