@@ -41,6 +41,30 @@ def test_one_long_oligo_among_short_ones(spark):
     assert {tuple(r) for r in got.select("sequence", "strand", "chrom", "start", "pident", "sseq").collect()} == hits(oligos, contigs)
 
 
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("n", [20, 31])
+def test_more_seeds_than_are_broadcast_at_once(spark, n):
+    """Further seeds come in rounds; the bases of the reference meet no shuffled join, and the hits are the same."""
+    oligos, contigs = _fixture(n)
+    tiles = contig_tiles(spark.createDataFrame(contigs, "chrom string, seq string"), tile=64, lead=n, overlap=n)
+    got = seed_extend_hits(spark.createDataFrame([(o,) for o in oligos], "sequence string"), tiles, broadcast_rows=60)
+    assert "Join" not in _plan(got)
+    rows = [tuple(r) for r in got.select("sequence", "strand", "chrom", "start", "pident", "sseq").collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == hits(oligos, contigs)
+
+
+def test_cap_ranks_once(spark):
+    """Up to 1,000 alignments an oligo, one exchange and one ranking do, as every task cuts its own rows first."""
+    found = spark.range(5000).selectExpr("concat('o', id div 9999) AS sequence", "double(90) AS pident", "'c' AS chrom", "id AS start", "'+' AS strand")
+    assert _plan(hit_cap(found, 200)).count("Window [") == 1
+    assert "WindowGroupLimit" in _plan(hit_cap(found, 200))
+    for limit in (200, 1500):
+        assert [r.start for r in hit_cap(found, limit).orderBy("start").collect()] == list(range(limit))
+
+
 def test_cap_and_counts(spark):
     oligos, contigs = _fixture(20)
     tiles = contig_tiles(spark.createDataFrame(contigs, "chrom string, seq string"), tile=64, lead=20, overlap=20)
