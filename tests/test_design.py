@@ -210,3 +210,32 @@ def test_primers_by_sums_equal_primers_one_by_one(spark, contigs):
         if (r.start + r.len <= 60 if r.role == "left" else r.start >= 76) and 20 <= r.tm <= 90
     }
     assert want and got == want
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_candidate_oligos_carry_no_code(spark, contigs):
+    """Nothing reads the two-bit code of a plain candidate, so it is not worked out for each of them."""
+    templates = spark.createDataFrame([("r", contigs[0][1][:90], 40, 50)], "region_id string, template string, target_start_index int, target_end_index int")
+    got = oligo_candidates(templates, 20, 30)
+    assert "conv(" not in _plan(got)
+    assert got.count() == 2 * sum(90 - n + 1 for n in range(20, 31))
+
+
+def test_no_pair_is_looked_up_for_its_bound(spark, contigs, regions):
+    """The bound comes with the left primer: one join makes the pairs, and two lookups the primers of both sides."""
+    templates = template_window_fetch(regions, _tiles(spark, contigs), 120).filter("template is not null")
+    best = bounded_pairs(primer_candidates(templates, DESIGN_DEFAULTS), 5, 80, 120, 2.0, 60.0, 25)
+    assert _plan(best).count("Join ") == 3
+    assert "bound" not in best.columns and best.count() > 0
+
+
+def test_windows_are_fetched_once_for_the_pattern(spark, contigs, regions):
+    """The plan reads written windows, not the reference, at each of their uses."""
+    windows = template_window_fetch(regions, _tiles(spark, contigs), 120, look_ahead=1)
+    pattern = spark.createDataFrame([("c0", 450, False)], "chrom string, pos long, methylated boolean")
+    got = methylation_join(windows, pattern)
+    assert "tile" not in _plan(got.select("region_id", "converted"))
+    assert got.count() == windows.count()
