@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import pytest
 
-from ampliq.operators.search import hit_cap, hit_counts, offtarget_counts, seed_extend_hits
+from ampliq.operators.search import (
+    _packed_seeds, hit_cap, hit_counts, offtarget_counts, oligo_seeds, seed_extend_hits,
+)
 from ampliq.sources.fasta import contig_tiles
 
 from .plain import dna, hits, rc
@@ -56,6 +58,14 @@ def test_more_seeds_than_are_broadcast_at_once(spark, n):
     assert len(rows) == len(set(rows)) and set(rows) == hits(oligos, contigs)
 
 
+def test_a_packed_seed_is_one_number(spark):
+    """What is broadcast takes eight bytes a seed, not a record."""
+    frame = spark.createDataFrame([("ACGTTGCAAC" * 3 + "G",), ("GATTACAGATTACAGATTACA",)], "sequence string")
+    packed = _packed_seeds(oligo_seeds(frame), 8, False)
+    assert packed.schema["_seeds"].dataType.simpleString() == "array<bigint>"
+    assert packed.selectExpr("sum(size(_seeds))").first()[0] == 2 * (24 + 14)
+
+
 def test_cap_ranks_once(spark):
     """Up to 1,000 alignments an oligo, one exchange and one ranking do, as every task cuts its own rows first."""
     found = spark.range(5000).selectExpr("concat('o', id div 9999) AS sequence", "double(90) AS pident", "'c' AS chrom", "id AS start", "'+' AS strand")
