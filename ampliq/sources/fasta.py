@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TILE = 1024
+#: Lines that are numbered together: some 1 MB of text.
+LINES = 16_384
 
 
 def fasta_contig_scan(spark: SparkSession, path: str) -> DataFrame:
@@ -41,14 +43,15 @@ def contig_tiles(contigs: DataFrame, tile: int = TILE, lead: int = 0, overlap: i
 
 
 def fasta_tile_scan(
-    spark: SparkSession, path: str, tile: int = TILE, lead: int = 0, overlap: int = 0
+    spark: SparkSession, path: str, tile: int = TILE, lead: int = 0, overlap: int = 0, lines_at_once: int = LINES
 ) -> DataFrame:
     """Tiles straight from the lines of FASTA files, without ever holding a contig in one row.
 
-    Each file split numbers its own bases; one small row per split carries the open contig and its
-    length over to the next split.
+    Each run of ``lines_at_once`` lines of a file split numbers its own bases; one small row per run carries the open
+    contig and its length over to the next one.  No task has to sort a whole split.
     """
-    split = ["_file", "_block"]
+    place = ["_block", "_chunk"]
+    split = ["_file", *place]
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
@@ -56,6 +59,8 @@ def fasta_tile_scan(
         F.when(F.col("value").startswith(">"), F.regexp_extract("value", r"^>([^\s]*)", 1)).alias("_head"),
         F.when(~F.col("value").startswith(">"), F.upper(F.regexp_replace("value", r"\s", ""))).alias("_text"),
     )
+    # The low 33 bits of a row's number count the rows of its partition, in the order of the file.
+    lines = lines.withColumn("_chunk", F.expr(f"(_row & {(1 << 33) - 1}L) div {lines_at_once}"))
     in_split = W.partitionBy(*split).orderBy("_row").rowsBetween(W.unboundedPreceding, 0)
     numbered = (
         lines.withColumn("_n", F.coalesce(F.length("_text"), F.lit(0)).cast("bigint"))
@@ -63,20 +68,20 @@ def fasta_tile_scan(
         .withColumn("_upto", F.sum("_n").over(in_split))
         .withColumn("_base", F.last(F.when(F.col("_head").isNotNull(), F.col("_upto")), ignorenulls=True).over(in_split))
     )
-    # Per split: the contig left open at its end, and how many of its bases the split holds.
+    # Per run: the contig left open at its end, and how many of its bases the run holds.
     ends = numbered.groupBy(*split).agg(
         F.max_by("_name", "_row").alias("_open"),
         (F.max("_upto") - F.coalesce(F.max("_base"), F.lit(0))).alias("_held"),
     )
-    earlier = W.partitionBy("_file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy("_file").orderBy(*place).rowsBetween(W.unboundedPreceding, -1)
     run = ends.withColumn("_run", F.sum(F.col("_open").isNotNull().cast("int")).over(
-        W.partitionBy("_file").orderBy("_block")))
-    run = run.withColumn("_sofar", F.sum("_held").over(W.partitionBy("_file", "_run").orderBy("_block")))
+        W.partitionBy("_file").orderBy(*place)))
+    run = run.withColumn("_sofar", F.sum("_held").over(W.partitionBy("_file", "_run").orderBy(*place)))
     carried = run.select(
         *split,
         F.last("_open", ignorenulls=True).over(earlier).alias("_carry_name"),
         F.coalesce(
-            F.lag("_sofar").over(W.partitionBy("_file").orderBy("_block")), F.lit(0)
+            F.lag("_sofar").over(W.partitionBy("_file").orderBy(*place)), F.lit(0)
         ).alias("_carry_n"),
     )
     placed = (
