@@ -20,6 +20,7 @@ from ..functions.thermo import (
     with_masked_step_sums, with_melting_temperature,
 )
 from ..joins import once, spread
+from ..session import cut_lineage
 
 # Stems are ranked by dG in millionths, then shift, then first base.  Those of short oligos fit one number, in which
 # each of the last three fields takes eight bits; those of long ones are compared as structs.
@@ -34,6 +35,11 @@ def _duplex_key(df: DataFrame) -> list[str]:
     return ["x", "y", *[c for c in _LOGS if c in df.columns]]
 
 
+def _stem_key(df: DataFrame) -> list[str]:
+    """What goes along with the stems: the duplex, and all its reaction conditions at once."""
+    return ["x", "y", *[c for c in ("_mixtures",) if c in df.columns]]
+
+
 def _rank(dg: Column, packed: bool) -> Column:
     """Rank of the stem (k, i, m); null without a stem."""
     scaled = F.floor(dg * _DG_UNIT + F.lit(0.5)).cast("bigint")
@@ -55,10 +61,10 @@ def _unrank(packed: bool) -> dict[str, Column]:
 
 
 def _coded_stems(df: DataFrame, hairpin: bool) -> DataFrame:
-    """Stems of short oligos by bit operations: (x, y, n, k, i, m); a row with m = 0 per pair without any."""
-    key = _duplex_key(df)
+    """Stems of short oligos by bit operations: (x, y, k, i, m) and the code of each; a row with m = 0 per pair without any."""
+    key = [*_stem_key(df), "n", "_forward"]
     ready = df.select(
-        *key, F.length("x").alias("n"), F.length("y").alias("ny"),
+        *_stem_key(df), F.length("x").alias("n"), base_code(F.col("x")).alias("_forward"), F.length("y").alias("ny"),
         base_code(F.reverse("x")).alias("xc"), ambiguity_code(F.reverse("x")).alias("xn"),
         base_code(complement(F.col("y"))).alias("yc"), ambiguity_code(complement(F.col("y"))).alias("yn"),
     )
@@ -92,12 +98,19 @@ def _coded_stems(df: DataFrame, hairpin: bool) -> DataFrame:
     filled = here.bitwiseOR(F.shiftleft(here, 1))
     lowest_zero = F.bitwise_not(filled).bitwiseAND(filled + F.lit(1).cast("bigint"))
     length = (F.bit_count(lowest_zero - F.lit(1).cast("bigint")) / 2).cast("int")
-    return runs.select(*key, "k", "i", F.when(F.col("i") == 0, 0).otherwise(length).alias("m"))
+    found = runs.select(*key, "k", "i", F.when(F.col("i") == 0, 0).otherwise(length).alias("m"))
+    return found.withColumn("_code", _stem_code()).drop("n", "_forward")
+
+
+def _stem_code() -> Column:
+    """Two-bit code of the stem's bases, out of that of the whole oligo."""
+    behind = F.col("n") - F.col("i") - F.col("m") + 1
+    return shr(F.col("_forward"), F.when(F.col("m") > 0, behind * 2).otherwise(0)).bitwiseAND(low_mask(F.col("m") * 2))
 
 
 def _any_stems(df: DataFrame, hairpin: bool) -> DataFrame:
     """The same for oligos of any length, letter by letter."""
-    key = _duplex_key(df)
+    key = _stem_key(df)
     ready = df.select(
         *key, F.length("x").alias("n"), F.length("y").alias("ny"),
         F.split("x", "").alias("xa"), F.split(revcomp(F.col("y")), "").alias("ya"),
@@ -143,7 +156,9 @@ def screen_by(distinct: DataFrame, kind: str, coded: bool) -> DataFrame:
     hairpin = kind == "hairpin"
     key = _duplex_key(distinct)
     by_row = "salt_ln" in key
-    stems = (_coded_stems if coded else _any_stems)(spread(distinct, *key), hairpin)
+    # Which bases pair does not depend on the reaction conditions, so stems and their sums are made once for all of them.
+    duplexes = distinct.groupBy("x", "y").agg(F.collect_list(F.struct(*_LOGS)).alias("_mixtures")) if by_row else distinct
+    stems = (_coded_stems if coded else _any_stems)(spread(duplexes, "x", "y"), hairpin)
     salt_ln = F.col("salt_ln") if by_row else F.lit(math.log(sodium_molar()))
 
     def with_sums(df: DataFrame) -> DataFrame:
@@ -159,6 +174,8 @@ def screen_by(distinct: DataFrame, kind: str, coded: bool) -> DataFrame:
         return once(df, dh=F.col("_h") + end_h, ds=F.col("_s") + end_s).drop("_h", "_s")
 
     scored = with_sums(once(stems, s=F.substring("x", F.col("i"), F.col("m"))))
+    if by_row:
+        scored = scored.select("x", "y", "k", "i", "m", "dh", "ds", F.inline("_mixtures"))
     dg = free_energy(F.col("dh"), stem_entropy(F.col("ds"), F.col("m"), hairpin, salt_ln))
     best = scored.groupBy(*key).agg(F.min(_rank(dg, coded)).alias("rank"))
 
@@ -246,7 +263,8 @@ def reaction_catalog(oligos: DataFrame, max_length: int | None = None) -> DataFr
         for c, default in REACTION_CONDITIONS.items()
     ]
     keyed = oligos.dropna(subset=["sequence"]).select("sequence", *given).distinct()
-    keyed = once(keyed, **condition_logs(*REACTION_CONDITIONS))
+    # Temperatures and both screens read it, so what the oligos come from is worked out once.
+    keyed = cut_lineage(once(keyed, **condition_logs(*REACTION_CONDITIONS)))
     known = with_melting_temperature(keyed, "sequence", logs=tuple(_LOGS))
     known = known.select(
         *key, *_LOGS, F.length("sequence").alias("length"), "tm", gc_percent(F.col("sequence"), "ignore").alias("gc_percent")

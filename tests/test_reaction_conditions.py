@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ampliq.constants import REACTION_CONDITIONS
+from ampliq.operators import structure
 from ampliq.operators.structure import hairpin_screen, homodimer_screen, reaction_catalog, thermo_catalog
 
 from . import plain
@@ -64,3 +65,17 @@ def test_missing_conditions_are_the_defaults(spark):
     bare = reaction_catalog(spark.createDataFrame([(oligos[0], 0.0, 0.0, 0.0, 0.0)], COLUMNS)).collect()
     assert len(bare) == 1 and bare[0].tm is None
     assert reaction_catalog(df.filter(F.lit(False))).count() == 0
+
+
+def test_stems_are_made_once_for_all_conditions(spark, monkeypatch):
+    oligos = [dna(22, k) for k in range(4)]
+    rows = [(s, mono, None, None, None) for s in oligos for mono in (10.0, 50.0, 200.0)]
+    seen, made = [], structure._coded_stems
+
+    def watched(duplexes, hairpin):
+        seen.append(duplexes.count())
+        return made(duplexes, hairpin)
+
+    monkeypatch.setattr(structure, "_coded_stems", watched)
+    got = reaction_catalog(spark.createDataFrame(rows, COLUMNS), 22).collect()
+    assert len(got) == len(rows) and seen == [len(oligos)] * 2
