@@ -5,7 +5,11 @@ from pyspark.sql import functions as F
 
 from ampliq.constants import DESIGN_DEFAULTS
 from ampliq.operators.bisulfite import methylation_join
-from ampliq.operators.design import any_primers, bounded_pairs, pair_candidates, oligo_candidates, pair_topn, param_defaults, primer_candidates, with_tm_gc
+from ampliq.operators.design import (
+    PAIR_ORDER, any_primers, bounded_pairs, oligo_candidates, pair_candidates, pair_topn, param_defaults, primer_candidates,
+    probe_candidates, with_longest, with_tm_gc,
+)
+from ampliq.operators.ranking import candidate_rank_top
 from ampliq.operators.windows import fetch_intervals, subseq_fetch, template_window_fetch
 from ampliq.plans import region_design, score_rank_job
 from ampliq.plans.region_design import failed_regions, region_templates
@@ -239,3 +243,47 @@ def test_windows_are_fetched_once_for_the_pattern(spark, contigs, regions):
     got = methylation_join(windows, pattern)
     assert "tile" not in _plan(got.select("region_id", "converted"))
     assert got.count() == windows.count()
+
+
+def test_places_are_read_once_for_all_lengths(spark):
+    """Codes come along with the oligos; letters that are no bases, also such of several bytes, spoil only what holds them."""
+    texts = [dna(60, 71), dna(25, 72) + "N" + dna(40, 73), dna(23, 74) + "x" + dna(30, 75) + "\u00e9" + dna(28, 76), "ACGT" * 3]
+    rows = [("r", t, 30, 40) for t in texts] + [("r", texts[0], 30, 40)]
+    templates = spark.createDataFrame(rows, "region_id string, template string, target_start_index int, target_end_index int")
+    oligos = oligo_candidates(templates, 20, 30)
+    assert "_code" in oligos.columns
+    want = sorted(
+        (role, i, n, s if role == "left" else rc(s)) for _, t, _, _ in rows for n in range(20, 31) for i in range(len(t) - n + 1)
+        for s in [t[i:i + n]] if not set(s) - set("ACGT") for role in ("left", "right"))
+    got = with_tm_gc(oligos, 30).collect()
+    assert sorted((r.role, r.start, r.len, r.sequence) for r in got) == want
+    for r in got[::29]:
+        assert r.tm == pytest.approx(melting(r.sequence), abs=1e-9)
+    probes = probe_candidates(templates, {**DESIGN_DEFAULTS, "probe_min_tm": 0.0, "probe_max_tm": 99.0, "probe_min_gc": 0.0, "probe_max_gc": 100.0})
+    covering = sorted((i, n, s) for role, i, n, s in want if role == "left" and i <= 30 and i + n >= 40)
+    assert sorted((r.start, r.len, r.sequence) for r in probes.collect()) == covering
+
+
+def test_ten_shortest_products_need_few_pairs(spark):
+    rows = [(f"r{k}", dna(240, 800 + k), 110, 130) for k in range(3)] + [("none", "AT" * 120, 110, 130)]
+    templates = spark.createDataFrame(rows, "region_id string, template string, target_start_index int, target_end_index int")
+    primers = primer_candidates(templates, DESIGN_DEFAULTS)
+    every = pair_candidates(primers, 80, 120)
+    few = pair_candidates(with_longest(primers, 10, 80, 120), 80, 120)
+    assert "longest" not in few.columns and 0 < few.count() < every.count() / 4
+    tops = [candidate_rank_top(p, ["product_size", *PAIR_ORDER]).select(sorted(every.columns + ["rank"])).collect() for p in (every, few)]
+    assert sorted(tops[0]) == sorted(tops[1]) and len(tops[0]) == 30
+    # Where counts prove too few pairs, all are made.
+    assert pair_candidates(with_longest(primers, 10**9, 80, 120), 80, 120).count() == every.count()
+
+
+def test_fasta_lines_in_short_runs(spark, tmp_path, contigs):
+    """Runs of lines may end anywhere: within contigs, before headers and at blank lines."""
+    lines = []
+    for name, seq in contigs:
+        lines += [f">{name} note", *[seq[i:i + 60] for i in range(0, len(seq), 60)], ""]
+    (tmp_path / "a.fa").write_text("\n".join(lines))
+    want = sorted(_tiles(spark, contigs, tile=128, lead=16, overlap=24).select("chrom", "tile", "lead", "core_len", "seq").collect())
+    for run in (1, 7):
+        got = fasta_tile_scan(spark, str(tmp_path), tile=128, lead=16, overlap=24, lines_at_once=run)
+        assert sorted(got.select("chrom", "tile", "lead", "core_len", "seq").collect()) == want
