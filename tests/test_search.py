@@ -66,6 +66,22 @@ def test_a_packed_seed_is_one_number(spark):
     assert packed.selectExpr("sum(size(_seeds))").first()[0] == 2 * (24 + 14)
 
 
+@pytest.mark.parametrize(("lengths", "kind"), [((20, 20), "int"), ((18, 20), "int"), ((18, 25), "bigint"), ((31, 31), "bigint")])
+def test_a_seed_takes_four_bytes_where_it_fits(spark, lengths, kind):
+    """Half as much goes through the driver; lengths, offsets and strands come back from either kind of number."""
+    contigs = [("a", dna(700, 1)), ("b", rc(dna(700, 1)[200:400])), ("c", "ACGTACGT" * 40)]
+    oligos = [contigs[0][1][at:at + n] for at, n in ((0, lengths[0]), (230, lengths[1]), (231, lengths[1]), (700 - lengths[0], lengths[0]))]
+    oligos += [rc(oligos[1]), ("ACGTACGT" * 6)[:lengths[1]]]
+    frame = spark.createDataFrame([(o,) for o in oligos], "sequence string")
+    packed = _packed_seeds(oligo_seeds(frame), 8, False, *lengths)
+    assert packed.schema["_seeds"].dataType.simpleString() == f"array<{kind}>"
+    assert packed.selectExpr("min(array_min(_seeds)) >= 0").first()[0]
+    tiles = contig_tiles(spark.createDataFrame(contigs, "chrom string, seq string"), tile=64, lead=31, overlap=31)
+    for longest in (None, 31):
+        got = seed_extend_hits(frame, tiles, max_length=longest).select("sequence", "strand", "chrom", "start", "pident", "sseq").collect()
+        assert len(got) == len(set(got)) and {tuple(r) for r in got} == hits(oligos, contigs)
+
+
 def test_cap_ranks_once(spark):
     """Up to 1,000 alignments an oligo, one exchange and one ranking do, as every task cuts its own rows first."""
     found = spark.range(5000).selectExpr("concat('o', id div 9999) AS sequence", "double(90) AS pident", "'c' AS chrom", "id AS start", "'+' AS strand")
