@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ampliq.joins import counted_lookup, fits_broadcast
+from ampliq.joins import counted_lookup, dealt_lookup, fits_broadcast
 
 
 def test_counted_lookup_with_a_hot_key(spark):
@@ -46,3 +46,11 @@ def test_few_rows_of_many_bytes_are_not_broadcast(spark):
     assert fits_broadcast(wide.select("id", F.lit(None).cast("string").alias("text")))
     joined = counted_lookup(spark.range(0, 50).select("id"), wide, ["id"])
     assert joined.where("length(text) = 40000").count() == 50
+
+
+def test_a_dealt_table_is_not_gathered(spark):
+    """A table too large by its counts may be small as files; Spark must not broadcast it by their bytes."""
+    big, table = spark.range(0, 100).select(F.col("id").alias("k")), spark.range(0, 50).select(F.col("id").alias("k"), F.lit(1).alias("w"))
+    joined = dealt_lookup(big, table, ["k"])
+    assert "SortMergeJoin [k" in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.where("w = 1").count() == 50
