@@ -7,12 +7,12 @@ from ampliq.constants import DESIGN_DEFAULTS
 from ampliq.operators.bisulfite import methylation_join
 from ampliq.operators.design import (
     PAIR_ORDER, any_primers, bounded_pairs, oligo_candidates, pair_candidates, pair_topn, param_defaults, primer_candidates,
-    probe_candidates, with_longest, with_tm_gc,
+    probe_candidates, probe_primer_join, with_longest, with_tm_gc,
 )
 from ampliq.operators.ranking import candidate_rank_top
 from ampliq.operators.windows import fetch_intervals, subseq_fetch, template_window_fetch
 from ampliq.plans import region_design, score_rank_job
-from ampliq.plans.region_design import failed_regions, region_templates
+from ampliq.plans.region_design import design_amplicons, failed_regions, region_templates
 from ampliq.sinks import thresholds_table
 from ampliq.sources import contig_tiles, fasta_tile_scan, hit_tsv_scan, region_table_scan
 
@@ -287,3 +287,15 @@ def test_fasta_lines_in_short_runs(spark, tmp_path, contigs):
     for run in (1, 7):
         got = fasta_tile_scan(spark, str(tmp_path), tile=128, lead=16, overlap=24, lines_at_once=run)
         assert sorted(got.select("chrom", "tile", "lead", "core_len", "seq").collect()) == want
+
+
+def test_no_primers_are_gathered_on_the_driver(spark):
+    """A few templates give very many primers; the joins must not broadcast them by the size of the templates."""
+    text = dna(240, 77)
+    templates = spark.createDataFrame([("r", text, 110, 130)], "region_id string, template string, target_start_index int, target_end_index int")
+    primers, probes = primer_candidates(templates, DESIGN_DEFAULTS, (52.0, 59.0)), probe_candidates(templates, DESIGN_DEFAULTS)
+    made = [
+        probe_primer_join(probes, primers, DESIGN_DEFAULTS, 80, 120), pair_candidates(primers, 80, 120),
+        design_amplicons(templates, {**DESIGN_DEFAULTS, "n_probes": 2}),
+    ]
+    assert not [df for df in made if "Broadcast" in df._jdf.queryExecution().executedPlan().toString()]
