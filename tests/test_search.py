@@ -115,3 +115,28 @@ def test_tiles_without_reach_are_refused(spark):
     oligos = spark.createDataFrame([("ACGTACGTACGGCCTTAAGG",)], "sequence string")
     with pytest.raises(ValueError, match="tiles need lead 12 and overlap 19"):
         seed_extend_hits(oligos, tiles)
+
+
+def _longest_method(df) -> int:
+    """Bytes of the longest method that Spark makes for a plan; the JVM does not compile one of more than 8,000."""
+    df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        parts = df.select("*")._jdf.queryExecution().debug().codegenToSeq()
+    finally:
+        df.sparkSession.conf.unset("spark.sql.adaptive.enabled")
+    return max(parts.apply(k)._3().maxMethodCodeSize() for k in range(parts.size()))
+
+
+@pytest.mark.parametrize(("sizes", "letters"), [((20,), "ACGT"), ((18, 20), "ACGT"), ((18, 25), "ACGT"), ((20,), "ACGN")])
+def test_candidates_are_checked_by_compiled_code(spark, sizes, letters):
+    """What a candidate goes through is compiled, and neighbouring places share what is read for them."""
+    text = dna(300, 61)
+    oligos = [text[40 + 7 * k:40 + 7 * k + n] for k in range(6) for n in sizes] + [rc(text[150:150 + sizes[0]])]
+    if "N" in letters:
+        text = text[:200] + "N" + text[201:]
+        oligos = [o[:4] + "N" + o[5:] for o in oligos] + [text[195:215]]
+    tiles = contig_tiles(spark.createDataFrame([("c", text), ("d", text[41:75]), ("e", text[100:107])], "chrom string, seq string"), tile=64, lead=32, overlap=32)
+    got = seed_extend_hits(spark.createDataFrame([(o,) for o in oligos], "sequence string"), tiles)
+    assert _longest_method(got) < 8000
+    want = hits(oligos, [("c", text), ("d", text[41:75]), ("e", text[100:107])])
+    assert want and {tuple(r) for r in got.select("sequence", "strand", "chrom", "start", "pident", "sseq").collect()} == want
